@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .byte_cnn import op10_byte_cnn
+from .motion_jpeg import op5_motion_jpeg
 from .piece_bpe import op8_pieces
+from .sstable import op4_sstable
+from .token_spans import op9_token_spans
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_sstable": op4_sstable,
+    "op5_motion_jpeg": op5_motion_jpeg,
     "op8_pieces": op8_pieces,
+    "op9_token_spans": op9_token_spans,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 #: SQL twins, where SQL can express the whole query.
 ORACLE_SQL: dict = {}
