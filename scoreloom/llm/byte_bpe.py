@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,16 @@ ODD = re.compile(r" (?:\s|$)")
 SAFE = {"type": "ByteLevel", "add_prefix_space": False}
 
 
+#: Units that the tokenizer's pattern surely makes of plain words, marks and single newlines.
+PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:?|]+|\n(?=\S)")
+
+
+def units_of(piece: str) -> list[str]:
+    """The pattern's units where all of a piece is plain, else the piece itself."""
+    units = PLAIN.findall(piece)
+    return units if sum(map(len, units)) == len(piece) else [piece]
+
+
 def cut(text: str) -> list[str]:
     """Pieces that encode on their own; their concatenation is the text."""
     parts = CUT.split(text) if ODD.search(text) else text.split(" ")
@@ -30,7 +41,7 @@ def cut(text: str) -> list[str]:
 
 
 class ByteTokenizer:
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -40,9 +51,15 @@ class ByteTokenizer:
             raise ValueError("only byte-level tokenizers with their own pattern and no normaliser are supported")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.as_bytes = Recent(remembered, lambda keys: [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(keys, add_special_tokens=False)])
+        self.units = Recent(remembered // 2, lambda keys: [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(keys, add_special_tokens=False)])
+        self.as_bytes = Recent(remembered, self._ids)
         self.as_spans = Recent(remembered, self._spans)
 
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        split = [units_of(k) for k in keys]
+        table = self.units.table([u for units in split for u in units])
+        return [b"".join([table[u] for u in units]) for units in split]
+
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         pieces = cut(text) if text else []
