@@ -5,14 +5,18 @@ from __future__ import annotations
 from .byte_cnn import op10_byte_cnn
 from .motion_jpeg import op5_motion_jpeg
 from .piece_bpe import op8_pieces
+from .quality_rules import op6_quality_rules
+from .secret_scan import op1_secret_scan
 from .sstable import op4_sstable
 from .token_spans import op9_token_spans
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op4_sstable": op4_sstable,
     "op5_motion_jpeg": op5_motion_jpeg,
+    "op6_quality_rules": op6_quality_rules,
     "op8_pieces": op8_pieces,
     "op9_token_spans": op9_token_spans,
     "op10_byte_cnn": op10_byte_cnn,

@@ -91,7 +91,7 @@ def with_spans(df: DataFrame, text_col: str, reach: int) -> DataFrame:
         "_s_id": spans(t, WEAK_ID, 3, F.col("_s_m4")),
     })
     df = df.withColumns({
-        "_s_base": F.array_sort(F.concat("_s_assign", "_s_access", "_s_hex")),
+        "_s_base": F.sort_array(F.concat("_s_assign", "_s_access", "_s_hex")),
         "_s_secret": spans(t, WEAK_SECRET, 4, (F.size("_s_id") > 0) | (F.size("_s_access") > 0)),
         "_s_end": spans(t, ENDPOINT, 5, F.col("_s_m6") & ((F.size("_s_id") > 0) | (F.size("_s_access") > 0))),
     })
@@ -102,7 +102,7 @@ def with_spans(df: DataFrame, text_col: str, reach: int) -> DataFrame:
         linked("_s_secret", "_s_ids", reach),
         F.filter("_s_end", lambda w: F.exists("_s_ids", lambda o: (o["s"] <= w["e"] + reach) & (o["e"] + reach >= w["s"])) & F.exists("_s_secrets", lambda o: (o["s"] <= w["e"] + reach) & (o["e"] + reach >= w["s"]))),
     )
-    return df.withColumn("_s_all", F.array_sort(F.concat("_s_base", weak)))
+    return df.withColumn("_s_all", F.sort_array(F.concat("_s_base", weak)))
 
 
 def written(spans_col: str) -> Column:
