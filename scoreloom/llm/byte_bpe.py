@@ -11,6 +11,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -24,7 +25,10 @@ ODD = re.compile(r" (?:\s|$)")
 SAFE = {"type": "ByteLevel", "add_prefix_space": False}
 
 
+#: Marks the piece at a text's start. A piece behind a cut can't start with it: it is white space.
+FIRST = "\x1f"
 #: Units that the tokenizer's pattern surely makes of plain words, marks and single newlines.
+PLAIN_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:?|]+|\n(?=\S)")
 
 
@@ -35,13 +39,18 @@ def units_of(piece: str) -> list[str]:
 
 
 def cut(text: str) -> list[str]:
-    """Pieces that encode on their own; their concatenation is the text."""
+    """Pieces that encode on their own, as keys: the first as it is behind a mark, the others without their space."""
     parts = CUT.split(text) if ODD.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
+    parts[0] = FIRST + parts[0]
+    return parts
+
+
+def piece_of(key: str) -> str:
+    return key[1:] if key[0] == FIRST else " " + key
 
 
 class ByteTokenizer:
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -51,36 +60,55 @@ class ByteTokenizer:
             raise ValueError("only byte-level tokenizers with their own pattern and no normaliser are supported")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.units = Recent(remembered // 2, lambda keys: [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(keys, add_special_tokens=False)])
+        self.units = Recent(remembered // 4, self._units)
         self.as_bytes = Recent(remembered, self._ids)
         self.as_spans = Recent(remembered, self._spans)
 
     def _ids(self, keys: list[str]) -> list[bytes]:
-        split = [units_of(k) for k in keys]
+        split = [units_of(piece_of(k)) for k in keys]
         table = self.units.table([u for units in split for u in units])
         return [b"".join([table[u] for u in units]) for units in split]
 
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        pieces = cut(text) if text else []
-        table = self.as_bytes.table(pieces)
-        return b"".join([table[p] for p in pieces])
+    def _units(self, units: list[str]) -> list[bytes]:
+        """Words behind a space go to the library in a row, as they start a unit each; the rest one by one."""
+        found = {}
+        words = [u for u in units if len(u) > 1 and u[0] == " " and u.strip(PLAIN_LETTERS) == " "]
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            e = self.library.encode("".join(part), add_special_tokens=False)
+            ids, owners = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.searchsorted(owners, np.arange(len(part)), side="right").tolist()
+            if owners[-1] != len(part) - 1:
+                raise ValueError("the tokenizer's units are not the words")
+            start = 0
+            for u, end in zip(part, ends, strict=True):
+                found[u] = ids[start:end].tobytes()
+                start = end
+        rest = [u for u in units if u not in found]
+        found.update(zip(rest, (array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [found[u] for u in units]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        keys = [cut(t) if t else [] for t in texts]
+        values, out, at = self.as_bytes.values(list(chain.from_iterable(keys))), [], 0
+        for k in keys:
+            out.append(b"".join(values[at : at + len(k)]))
+            at += len(k)
+        return out
 
     def _spans(self, keys: list[str]) -> list[bytes]:
-        out = []
-        for e in self.library.encode_batch(keys, add_special_tokens=False):
-            out.append(np.array(e.offsets, "<u4").reshape(-1, 2).tobytes())
-        return out
+        return [np.array(e.offsets, "<u4").tobytes() for e in self.library.encode_batch([piece_of(k) for k in keys], add_special_tokens=False)]
 
     def spans(self, text: str) -> np.ndarray:
         """Code point spans of the tokens, (n, 2). Tokens that share a character all carry its span."""
-        pieces = cut(text) if text else []
-        table = self.as_spans.table(pieces)
-        blobs = [table[p] for p in pieces]
+        keys = cut(text) if text else []
+        blobs = self.as_spans.values(keys)
         if not blobs:
             return np.zeros((0, 2), np.int64)
         found = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys)) + 1
+        sizes[0] -= 2
         starts = np.cumsum(sizes) - sizes
         counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8
         return found + np.repeat(starts, counts)[:, None]

@@ -188,8 +188,7 @@ class PieceModel:
                 keys = CHUNK.findall(MARK + text.replace(" ", MARK))
             else:
                 keys = (MARK + text.replace(" ", " " + MARK)).split(" ")
-            table = self.chunks.table(keys)
-            yield ",".join([table[k] for k in keys])
+            yield ",".join(self.chunks.values(keys))
 
     def encode(self, text: str) -> list[int]:
         joined = next(self.encode_texts([text]))

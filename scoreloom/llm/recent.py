@@ -18,6 +18,17 @@ class Recent:
         self.young: dict[Hashable, object] = {}
         self.old: dict[Hashable, object] = {}
 
+    def values(self, keys: list) -> list:
+        """The values of these keys, in their order."""
+        found = list(map(self.young.get, keys))
+        if None in found:
+            missing = [k for k, v in zip(keys, found, strict=True) if v is None]
+            look = self.table(missing)
+            if len(missing) == len(keys):
+                return [look[k] for k in keys]
+            found = [look[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+        return found
+
     def table(self, keys: Iterable) -> dict:
         """A table that holds at least these keys; valid until the next call."""
         wanted = set(keys)

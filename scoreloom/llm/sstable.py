@@ -165,7 +165,12 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
         store, root = fs.FileSystem.from_uri(folder)
-        shard, first, last, nth = None, b"", None, 0
+        shard, first, last, nth, end = None, b"", None, 0, struct.pack("<I", end_id)
+
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                yield from zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1).to_pylist()), strict=True)
 
         def close() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.sst"
@@ -174,12 +179,12 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
             return pa.RecordBatch.from_pylist([{"name": name, "first_key": first, "entries": shard.entries, "ids": shard.ids}])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, blob in encoded(batch):
                 nth = nth + 1 if last == (doc_id,) else 0
                 last = (doc_id,)
                 if shard is None:
                     shard, first = Shard(block_bytes), key_of(doc_id, nth)
-                ids = np.frombuffer(tokenizer.ids(text or "") + struct.pack("<I", end_id), "<u4")
+                ids = np.frombuffer(blob + end, "<u4")
                 shard.add(key_of(doc_id, nth), ids)
                 if len(shard.out) >= shard_bytes:
                     yield close()
