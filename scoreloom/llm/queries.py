@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_cnn import op10_byte_cnn
+from .jaccard_join import op3_jaccard_join
+from .mixing import OP7_SQL, op7_mixing
 from .motion_jpeg import op5_motion_jpeg
 from .piece_bpe import op8_pieces
 from .quality_rules import op6_quality_rules
@@ -14,12 +16,16 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sstable": op4_sstable,
     "op5_motion_jpeg": op5_motion_jpeg,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
     "op9_token_spans": op9_token_spans,
     "op10_byte_cnn": op10_byte_cnn,
 }
 #: SQL twins, where SQL can express the whole query.
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = {
+    "op7_mixing": OP7_SQL,
+}
