@@ -15,8 +15,7 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
    ones split by hash); in a block the overlap counts of a document with all others are accumulated
    through the block's inverted index and pairs below the bound are dropped.
 5. The links found make components. In large gatherings, pairs across two components are still open:
-   all documents outside the gathering's most common component are paired with all that are not in
-   their own. Those pairs are counted as in 4, and the links of both rounds give the components.
+   all documents outside their most common component are paired with all that are not in their own. Those pairs are counted as in 4, and the links of both rounds give the components.
 
 So no link between different components is lost, and a group of copies or near copies never meets itself
 pair by pair. Nothing of the corpus goes to the driver but counts.
@@ -33,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
@@ -40,7 +40,9 @@ from .components import components
 from .shingles import shingle_sets
 
 SMALL = 24
-LEADERS = 5
+LEADERS = 20
+#: So many of a document's large gatherings, its largest, take part in that.
+LARGEST = 2
 #: Pairs that a block should hold at most, about.
 BLOCK_PAIRS = 4000
 #: At most so many recurring n-grams are put last (8 bytes each, sent to every task).
@@ -53,7 +55,7 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
-def recurring(docs: DataFrame, width: int, least: int = 8) -> np.ndarray:
+def recurring(docs: DataFrame, width: int, least: int = 3) -> np.ndarray:
     """n-grams that several different sets of a scan batch hold: at most MOST_COMMON, the most frequent first.
 
     Counted inside batches, so that only n-grams that recur leave a task.
@@ -115,7 +117,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     dealt = pairs.join(counts, "home").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK_PAIRS))).select("home", "block", "a", "b")
     dealt = materialise(dealt, "candidates")
     needed = dealt.select("home", "block", F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = needed.join(docs, "id").select("home", "block", "id", "text")
+    sets = needed.hint("merge").join(docs, "id").select("home", "block", "id", "text")
     rows = sets.select("home", "block", F.lit(0).alias("kind"), "id", F.lit(None).cast("bigint").alias("b"), "text").unionByName(dealt.select("home", "block", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
 
     def work(group: pa.Table) -> pa.Table:
@@ -171,24 +173,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialise(chosen.join(gathered, "gram").select("gram", "m", "home", "id", "n", "at"), "gathered")
     small, large = rows.filter(F.col("m") <= SMALL), rows.filter(F.col("m") > SMALL)
     near = small.alias("x").join(small.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & can_reach("x", "y", percent))
-    lead = large.groupBy("gram").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "at")).alias(f"l{r}") for r in range(LEADERS)])
+    # Near copies share most gatherings; a few of them do, as step 5 still looks at all.
+    main_rows = large.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy(F.desc("m"), "gram"))).filter(F.col("_k") <= LARGEST).drop("_k")
+    lead = main_rows.groupBy("gram").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "at")).alias(f"l{r}") for r in range(LEADERS)])
     lead = lead.select("gram", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{r}.{c}") for c in ("id", "n", "at")]) for r in range(LEADERS)]))).alias("l")).select("gram", "l.*")
-    far = large.alias("x").join(lead.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") != F.col("y.id")) & can_reach("x", "y", percent))
+    far = main_rows.alias("x").join(lead.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") != F.col("y.id")) & can_reach("x", "y", percent))
 
     def asked(joined: DataFrame) -> DataFrame:
         return joined.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.home").alias("home"))
 
     first = asked(near).unionByName(asked(far)).groupBy("a", "b").agg(F.min("home").alias("home"))
-    links = materialise(overlaps(docs, first, width, percent), "links")
+    first = materialise(first, "pairs")
+    asked_for = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    # The ids grow with the corpus, so they are never broadcast; only these texts move, once.
+    texts = materialise(docs.join(asked_for.hint("merge"), "id", "left_semi"), "texts")
+    links = materialise(overlaps(texts, first, width, percent), "links")
     found = materialise(components(links, "a", "b"), "components")
     # pairs across components of large gatherings
     labelled = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    main = labelled.groupBy("gram", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.max(F.struct("k", "c"))["c"].alias("most"))
-    labelled = materialise(labelled.join(main, "gram"), "labelled")
+    # Gatherings with the same smallest document share most others too; they are taken together, with
+    # the earliest place of an n-gram, which bounds the overlap from above.
+    placed = labelled.groupBy("home", "id", "n", "c").agg(F.min("at").alias("at"))
+    main = placed.groupBy("home", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("home").agg(F.max(F.struct("k", "c"))["c"].alias("most"))
+    labelled = materialise(placed.join(main, "home"), "labelled")
     outside = labelled.filter("c != most")
-    across = outside.alias("x").join(labelled.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & can_reach("x", "y", percent))
+    across = outside.alias("x").join(labelled.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.c") != F.col("y.c")) & can_reach("x", "y", percent))
     second = asked(across).groupBy("a", "b").agg(F.min("home").alias("home")).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialise(overlaps(docs, second, width, percent), "links")
+    more = materialise(overlaps(texts, second, width, percent), "links")
     joined = more.join(found.selectExpr("node as a", "component as ca"), "a", "left").join(found.selectExpr("node as b", "component as cb"), "b", "left")
     merged = materialise(components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b"), "components")
     final = found.selectExpr("node", "component as c1").join(merged.selectExpr("node as c1", "component as c2"), "c1", "left").select("node", F.coalesce("c2", "c1").alias("component"))
