@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,7 +33,7 @@ OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_
 #: How each is made of the comma-joined ids and the decoded text.
 MAKE = {
     "n_tokens": lambda ids, text: ids.count(",") + 1 if ids else 0,
-    "ids": lambda ids, text: [int(i) for i in ids.split(",")] if ids else [],
+    "ids": lambda ids, text: np.fromstring(ids, np.int32, sep=","),
     "decoded": lambda ids, text: text,
     "ids_sha256": lambda ids, text: hashlib.sha256(ids.encode()).hexdigest(),
     "decoded_sha256": lambda ids, text: hashlib.sha256(text.encode()).hexdigest(),
