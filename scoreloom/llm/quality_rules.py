@@ -109,10 +109,11 @@ def base_failed(limits: Limits) -> Column:
 
 def references(counted: DataFrame, limits: Limits) -> DataFrame:
     """One row per language group (at most the listed languages and one more): summed histograms."""
-    good = counted.filter(~base_failed(limits))
+    # Failed rows are left out inside the sums: a filter would move below the counts and repeat their expressions.
+    ok = ~base_failed(limits)
     n_classes, n_words = 7, 1 + max(map(len, COMMON_WORDS.values()))
-    sums = [F.sum(F.get("_q_classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("_q_bins", F.lit(i))).alias(f"w{i}") for i in range(n_words)]
-    return good.groupBy("_q_group").agg(*sums).select(
+    sums = [F.sum(F.when(ok, F.get("_q_classes", F.lit(i)))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.when(ok, F.get("_q_bins", F.lit(i)))).alias(f"w{i}") for i in range(n_words)]
+    return counted.groupBy("_q_group").agg(*sums).filter("c0 is not null").select(
         F.col("_q_group").alias("_q_ref"),
         F.array(*(f"c{i}" for i in range(n_classes))).alias("_q_ref_classes"),
         F.filter(F.array(*(f"w{i}" for i in range(n_words))), lambda x: x.isNotNull()).alias("_q_ref_bins"),
