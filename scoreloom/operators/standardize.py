@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from scoreloom.functions.stats import finite, z_score
 from scoreloom.functions.symbols import cleaned, keep_first, plain
 
-GENE = W.partitionBy("cohort", "gene")
-
-
 def normalised(expr: DataFrame, how: str = "plain") -> DataFrame:
     """Clean gene names and keep the first column of each name in a sample.
 
@@ -28,11 +25,12 @@ def standardised(expr: DataFrame, infinite_is_missing: bool = True) -> DataFrame
 
     All windows share one partitioning, so there is one shuffle, by cohort and gene.
     """
+    gene = W.partitionBy("cohort", "gene")
     value = finite(F.col("value")) if infinite_is_missing else F.when(F.isnan("value"), None).otherwise(F.col("value"))
-    filled = expr.withColumn("value", value).withColumn("value", F.coalesce("value", F.median("value").over(GENE)))
-    scored = filled.withColumn("z", z_score(F.col("value"), GENE))
+    filled = expr.withColumn("value", value).withColumn("value", F.coalesce("value", F.median("value").over(gene)))
+    scored = filled.withColumn("z", z_score(F.col("value"), gene))
     bad = F.col("z").isNull() | F.isnan("z")
-    return scored.withColumn("_bad", F.max(bad).over(GENE)).filter(~F.col("_bad")).drop("_bad")
+    return scored.withColumn("_bad", F.max(bad).over(gene)).filter(~F.col("_bad")).drop("_bad")
 
 
 def gene_statistics(expr: DataFrame) -> DataFrame:
