@@ -212,3 +212,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_duplicates(documents(spark, sf_dir))
+
+
+OP3_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) end as g from w
+), classes as (
+  select doc_id, g, len(g) as n, case when len(g) = 0 then doc_id else min(doc_id) over (partition by g) end as class_id from sets
+), grams as (
+  select doc_id, n, unnest(g) as gram from classes where doc_id = class_id and n > 0
+), links as (
+  select a.doc_id as a, b.doc_id as b from grams a join grams b on a.gram = b.gram and a.doc_id != b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))
+), reach as (
+  select distinct class_id as x, class_id as y from classes union select r.x, l.b from reach r join links l on l.a = r.y
+), low as (
+  select x, min(y) as component_id from reach group by x
+)
+select doc_id, cast(n as bigint) as n_shingles, class_id, component_id from classes join low on x = class_id
+"""

@@ -172,5 +172,48 @@ def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", lim
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Counts and verdict of every document."""
-    return quality_rules(documents(spark, sf_dir))
+    """Counts and verdict of every document; distances to 9 digits."""
+    found = quality_rules(documents(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("class_js", "word_js")})
+
+
+def _sql() -> str:
+    lists = " ".join(f"when '{k}' then [{', '.join(repr(w) for w in v)}]" for k, v in sorted(COMMON_WORDS.items()))
+    limits, js = Limits(), "round({0}, 9) + cast(0 as double)"
+    distance = """sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: (case when {p}[i] > 0 then {p}[i] / {tp} * log2(2 * {p}[i] / {tp} / ({p}[i] / {tp} + {q}[i] / {tq})) else 0 end) + (case when {q}[i] > 0 then {q}[i] / {tq} * log2(2 * {q}[i] / {tq} / ({p}[i] / {tp} + {q}[i] / {tq})) else 0 end))) / 2))"""
+    by_class, by_word = (f"case when {tp} > 0 and {tq} > 0 then {distance.format(p=p, q=q, tp=tp, tq=tq)} else 0 end" for p, q, tp, tq in (("classes", "ref_classes", "tc", "trc"), ("bins", "ref_bins", "tb", "trb")))
+    return f"""
+with t as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, case when lang in ('de', 'en', 'es', 'fr') then lang else 'other' end as lg from documents
+), g as (
+  select *, case lg {lists} else [] end as l, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t
+), win as (
+  select doc_id, i, array_to_string(w[i:i + 2], ' ') as s from t, unnest(range(1, len(w) - 1)) u(i)
+), rep as (
+  select doc_id, i from (select *, count(*) over (partition by doc_id, s) as c from win) where c > 1
+), cov as (
+  select doc_id, count(distinct i + d) as n from rep, (select unnest(range(3)) as d) group by doc_id
+), c as (
+  select g.doc_id, lg, len(w) as n_words, len(array_to_string(w, '')) as word_chars, len(t) as chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words,
+    len(regexp_extract_all(t, '[A-Z]')) as up, len(regexp_extract_all(t, '[0-9]')) as dg, len(regexp_extract_all(t, '[.,;:!?]')) as mk, strlen(t) - len(t) as wide, list_transform(l, lambda x: len(list_filter(w, lambda y: y = x))) as cw
+  from g left join cov on cov.doc_id = g.doc_id
+), f as (
+  select *, [up, dg, mk, n_symbols, wide, chars - word_chars, greatest(0, word_chars - up - dg - mk - n_symbols)] as classes, list_append(cw, n_words - coalesce(list_sum(cw), 0)) as bins,
+    n_words < {limits.least_words} or 100 * n_repeat_words > {limits.repeat_percent} * n_words as base_failed from c
+), rc as (
+  select lg, list(s order by i) as ref_classes from (select lg, i, sum(classes[i]) as s from f, unnest(range(1, 8)) u(i) where not base_failed group by lg, i) group by lg
+), rb as (
+  select lg, list(s order by i) as ref_bins from (select lg, i, sum(bins[i]) as s from f, unnest(range(1, len(bins) + 1)) u(i) where not base_failed group by lg, i) group by lg
+), s as (
+  select f.*, ref_classes, ref_bins, cast(list_sum(classes) as double) as tc, cast(list_sum(bins) as double) as tb, cast(list_sum(ref_classes) as double) as trc, cast(list_sum(ref_bins) as double) as trb from f left join rc using (lg) left join rb using (lg)
+), d as (
+  select *, {by_class} as cj, case when lg = 'other' then 0 else {by_word} end as wj from s
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not base_failed and not (chars >= {limits.guard_chars} and cj > {limits.class_distance}::double + {limits.class_slack}::double / sqrt(greatest(1, chars))) and not (n_words >= {limits.guard_words} and wj > {limits.word_distance}::double + {limits.word_slack}::double / sqrt(greatest(1, n_words))) as kept,
+  {js.format('cj')} as class_js, {js.format('wj')} as word_js
+from d
+"""
+
+
+OP6_SQL = _sql()

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .byte_cnn import op10_byte_cnn
-from .jaccard_join import op3_jaccard_join
+from .jaccard_join import OP3_SQL, op3_jaccard_join
 from .mixing import OP7_SQL, op7_mixing
 from .motion_jpeg import op5_motion_jpeg
 from .piece_bpe import op8_pieces
-from .quality_rules import op6_quality_rules
+from .quality_rules import OP6_SQL, op6_quality_rules
 from .secret_scan import op1_secret_scan
 from .sstable import op4_sstable
 from .token_spans import op9_token_spans
@@ -27,5 +27,7 @@ QUERIES = {
 }
 #: SQL twins, where SQL can express the whole query.
 ORACLE_SQL: dict = {
+    "op3_jaccard_join": OP3_SQL,
+    "op6_quality_rules": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
