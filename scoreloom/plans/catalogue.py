@@ -488,3 +488,65 @@ def empirical_p(spark, sf_dir):
     """Empirical p from counts; the count is found again from p."""
     p = S.p_values(spark, sf_dir).filter("p_value is not null").withColumn("c", F.rint(F.round(F.col("p_value") * 100)).cast("bigint")).withColumn("p", stats.empirical_p(F.col("c"), 100))
     return tidy(p.select("p_partkey", verify.count_of_p(F.col("p"), 100).alias("k"), "p"))
+
+
+# ---- recurrence and assay quality -------------------------------------------------------------------
+
+
+@query()
+def gene_modules(spark, sf_dir):
+    """Genes clustered anew in each cohort."""
+    from scoreloom.operators import recurrence
+
+    _, z, _ = _z(spark, sf_dir)
+    return tidy(recurrence.gene_modules(z, 0.02, 3))
+
+
+@query(f"with {S.SQL_EXPRESSION}, {EDGES} select module_label, count(*)::bigint as n_edges, {r('avg(cast(sign(r_ref) = sign(r_ext) as int))', 'sign_concordance')} from both_edges where r_ref != 0 and r_ext != 0 group by module_label")
+def sign_concordance(spark, sf_dir):
+    """Share of edges with the same sign in both cohorts."""
+    from scoreloom.operators import recurrence
+
+    return tidy(recurrence.sign_concordance(preservation.edges(_genes(spark, sf_dir)), "reference", "external"))
+
+
+@query(f"with {S.SQL_P_VALUES} select family, count(p_value)::bigint as n_null, {r('avg(cast(p_value <= 0.3 as int))', 'percentile')}, {r('(1 + count(case when p_value >= 0.3 then 1 end)) / (cast(1 as double) + count(p_value))', 'p_value')} from pv group by family")
+def null_position(spark, sf_dir):
+    """Where an observed value lies in its null distribution."""
+    from scoreloom.operators import recurrence
+
+    return tidy(recurrence.null_position(S.p_values(spark, sf_dir).withColumn("o", F.lit(0.3)), "p_value", "o", "family"))
+
+
+SQL_PROBES = "pr as (select l_suppkey as probe, l_linenumber as sample, cast(l_quantity as double) as value, cast(l_discount as double) + 0.005 as det from lineitem)"
+
+
+def _probes(spark, sf_dir):
+    return S.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("probe"), F.col("l_linenumber").alias("sample"), F.col("l_quantity").cast("double").alias("value"), (F.col("l_discount").cast("double") + F.lit(0.005)).alias("det"))
+
+
+@query(f"with {SQL_PROBES} select probe::bigint as probe, count(value)::bigint as n, {r('avg(value)', 'mean')}, {r('median(value)', 'median')}, {r('var_samp(value)', 'variance')}, {r('stddev_samp(value)', 'sd')}, {r('median(det)', 'detection_median')}, {r('avg(det)', 'detection_mean')}, {r('avg(cast(det < 0.01 as int))', 'detected_01')}, {r('avg(cast(det < 0.05 as int))', 'detected_05')} from pr group by probe")
+def probe_quality(spark, sf_dir):
+    """Value and detection statistics of each probe."""
+    from scoreloom.operators import recurrence
+
+    return tidy(recurrence.probe_quality(_probes(spark, sf_dir), "probe", "value", "det"))
+
+
+@query(f"with {SQL_PROBES} select sample::bigint as sample, count(*)::bigint as n_probes, count(case when det < 0.01 then 1 end)::bigint as n_detected_01, count(case when det < 0.05 then 1 end)::bigint as n_detected_05, {r('avg(cast(det < 0.01 as int))', 'share_01')}, {r('avg(cast(det < 0.05 as int))', 'share_05')} from pr group by sample")
+def sample_quality(spark, sf_dir):
+    """Detected probes of each sample."""
+    from scoreloom.operators import recurrence
+
+    return tidy(recurrence.sample_quality(_probes(spark, sf_dir), "sample", "det"))
+
+
+@query(f"""with {S.SQL_CELLS}, {BULK}, v as (select row_number() over (order by donor, cell_type) - 1 as pos, mean from bulk), n as (select count(*) as n from v), s as (select rep, k, ((rep * 7 + 3) * (k * k + 1) + k) % n as idx from n, (select unnest(range(40)) as rep), (select unnest(range(30)) as k) where k < n),
+m as (select rep, avg(mean) as m from s join v on v.pos = s.idx group by rep) select count(m)::bigint as repeats, {r('quantile_cont(m, 0.025)', 'low')}, {r('quantile_cont(m, 0.975)', 'high')} from m""")
+def bootstrap_interval(spark, sf_dir):
+    """Percentile interval of a mean under a stored schedule."""
+    v = _bulk(spark, sf_dir).withColumn("pos", F.row_number().over(W.orderBy("donor", "cell_type")) - 1).select("pos", "mean")
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    s = spark.range(1200).select((F.col("id") % 40).alias("rep"), F.floor(F.col("id") / 40).alias("k")).crossJoin(F.broadcast(n)).filter("k < n")
+    s = s.select("rep", F.col("k").alias("pos"), (((F.col("rep") * 7 + 3) * (F.col("k") * F.col("k") + 1) + F.col("k")) % F.col("n")).alias("idx"))
+    return tidy(localization.bootstrap_interval(v, "mean", s))

@@ -81,3 +81,13 @@ def test_edges_agree_and_monotone_edges_are_one(spark):
     assert preservation.edge_preservation(joined, "reference", "external").first()["spearman"] == pytest.approx(1.0)
     pc = preservation.leading_component(genes, "external").collect()
     assert pc[0]["orientation_correlation"] > 0
+
+
+def test_average_linkage():
+    from scoreloom.operators.recurrence import average_linkage, spearman_matrix
+
+    x = np.array([0.0, 0.1, 0.2, 5.0, 5.1, 9.0])
+    labels = average_linkage(np.abs(x[:, None] - x[None]), 1.0)
+    assert [len(set(labels[a])) for a in (slice(0, 3), slice(3, 5))] == [1, 1] and len(set(labels)) == 3
+    m = spearman_matrix(np.array([[1, 10, 3], [2, 20, 2], [2, 30, 1], [4, 40, 0.0]]))
+    assert m[0, 0] == 1 and m[1, 2] == pytest.approx(-1)
