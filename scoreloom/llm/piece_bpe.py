@@ -43,7 +43,7 @@ MAKE = {
 class PieceModel:
     """Encoder and decoder for one model file (merge type, identity normaliser, byte fallback)."""
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -143,7 +143,7 @@ class PieceModel:
                     else:
                         good = known.get(pair := before + "\n" + token)
                         if good is None:
-                            if len(known) >= self.remembered:
+                            if len(known) >= self.remembered // 3:
                                 known.clear()
                             good = known[pair] = apart(before, token)
                         if good:
