@@ -54,3 +54,17 @@ def parsed_boolean(text: Column) -> Column:
 def symbol_list(text: Column) -> Column:
     """Distinct upper-case symbols of a ;-joined list in their order."""
     return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), plain), lambda x: x != ""))
+
+
+def mapped(x: Column, values: dict, default=None) -> Column:
+    """The value a fixed table gives to x; others the default."""
+    table = F.create_map(*[F.lit(v) for kv in values.items() for v in kv])
+    return F.coalesce(F.try_element_at(table, x), F.lit(default)) if values else F.lit(default)
+
+
+def first_rule(x: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The label of the first pattern that the text matches; the order of the rules decides."""
+    out = F.lit(default)
+    for pattern, label in reversed(rules):
+        out = F.when(F.coalesce(x, F.lit("")).rlike(pattern), label).otherwise(out)
+    return out

@@ -102,3 +102,20 @@ def cases(df: DataFrame, id_col: str = "case_id", follow_ups: str = "follow_ups"
     longest = F.array_max(F.transform(follow_ups, lambda f: f["days_to_follow_up"]))
     death = F.array_max(F.transform(follow_ups, lambda f: f["days_to_death"]))
     return df.select(id_col, status.alias("vital_status"), F.coalesce(death, longest).cast("double").alias("time_days"), (F.lower(status) == "dead").cast("int").alias("event"))
+
+
+def sample_columns(df: DataFrame, pattern: str = r"^CCB\d+|^GSM\d+", least: int = 30, least_numeric: float = 0.95) -> list[str]:
+    """Columns that hold samples: named like one, or else almost all numeric; fewer than `least` raises.
+
+    The shares of numeric values are one aggregate over the table.
+    """
+    import re
+
+    named = [c for c in df.columns if re.search(pattern, c)]
+    if len(named) >= least:
+        return named
+    shares = df.agg(*[F.avg(F.expr(f"try_cast(`{c}` as double)").isNotNull().cast("double")).alias(c) for c in df.columns]).first()
+    numeric = [c for c in df.columns if (shares[c] or 0) >= least_numeric]
+    if len(numeric) < least:
+        raise ValueError("no sample columns found")
+    return numeric

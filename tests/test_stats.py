@@ -127,3 +127,21 @@ def test_seeds():
     assert [resampling.permutation_seeds(i) for i in range(3)] == [(42, 43, 44), (142, 143, 144), (242, 243, 244)]
     with pytest.raises(ValueError):
         resampling.permutation_seeds(-1)
+
+
+def test_maps_and_rules(spark):
+    df = spark.createDataFrame([("a",), ("x",), (None,)], "s string")
+    assert [r[0] for r in df.select(symbols.mapped(F.col("s"), {"a": 1, "b": 2}, 0)).collect()] == [1, 0, 0]
+    rules = [("^run_", "runner"), ("test", "test")]
+    names = spark.createDataFrame([("run_test.py",), ("my_test.py",), ("x.py",)], "s string")
+    assert [r[0] for r in names.select(symbols.first_rule(F.col("s"), rules, "other")).collect()] == ["runner", "test", "other"]
+
+
+def test_sample_columns(spark):
+    from scoreloom.sources.tables import sample_columns
+
+    df = spark.createDataFrame([("g", "1", "2", "x"), ("h", "3", "4", "5")], "gene string, a string, b string, c string")
+    assert sample_columns(df, least=2) == ["a", "b"]
+    assert sample_columns(df.withColumnRenamed("c", "GSM1"), least=1) == ["GSM1"]
+    with pytest.raises(ValueError):
+        sample_columns(df, least=3)
