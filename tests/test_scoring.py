@@ -91,3 +91,18 @@ def test_average_linkage():
     assert [len(set(labels[a])) for a in (slice(0, 3), slice(3, 5))] == [1, 1] and len(set(labels)) == 3
     m = spearman_matrix(np.array([[1, 10, 3], [2, 20, 2], [2, 30, 1], [4, 40, 0.0]]))
     assert m[0, 0] == 1 and m[1, 2] == pytest.approx(-1)
+
+
+def test_matched_panels(spark):
+    from scoreloom.operators.controls import matched_panels
+
+    binned = spark.createDataFrame([(f"G{i}", i % 3) for i in range(30)], "gene string, bin int")
+    modules = spark.createDataFrame([("m", f"G{i}") for i in range(6)], "module_label string, gene string")
+    rows = matched_panels(spark, binned, modules, 5, 1).collect()
+    for panel in range(5):
+        genes = [r["gene"] for r in rows if r["panel"] == panel]
+        assert len(set(genes)) == 6 and not set(genes) & {f"G{i}" for i in range(6)}
+        assert sorted(int(g[1:]) % 3 for g in genes) == [0, 0, 1, 1, 2, 2]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, matched_panels(spark, binned, modules, 5, 1).collect()))
+    with pytest.raises(ValueError):
+        matched_panels(spark, binned.limit(8), modules, 1, 1)
