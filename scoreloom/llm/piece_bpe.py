@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .recent import Recent
+from .recent import Recent, Rest
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -76,8 +76,13 @@ class PieceModel:
         self.names = {p: str(i) for p, i in self.ids.items()}
         self.spoken = {str(i): p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {str(i): bytes([b]) for b, i in self.byte_ids.items()}
         self.neighbours: dict[str, bool] = {}
+        self.rest = Rest(self.forget)
         self.chunks = Recent(remembered, lambda keys: [self._value(k) for k in keys])
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.neighbours.clear()
+
     def split(self, token: str) -> tuple[str, str] | None:
         """The two pieces whose merge makes this one; None if merging never arrives at it."""
         if token not in self.halves:
@@ -223,14 +228,15 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_path)
         decodes = any(o.startswith("decoded") for o in outputs)
-        for batch in batches:
-            found: dict[str, list] = {o: [] for o in outputs}
-            for joined in model.encode_texts(batch.column(1).to_pylist()):
-                decoded = model.decode(joined) if decodes else ""
-                for o, values in found.items():
-                    values.append(MAKE[o](joined, decoded))
-            types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[o], types.get(o, pa.string())) for o in outputs)], ["id", *outputs])
+        with model.rest:
+            for batch in batches:
+                found: dict[str, list] = {o: [] for o in outputs}
+                for joined in model.encode_texts(batch.column(1).to_pylist()):
+                    decoded = model.decode(joined) if decodes else ""
+                    for o, values in found.items():
+                        values.append(MAKE[o](joined, decoded))
+                types = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[o], types.get(o, pa.string())) for o in outputs)], ["id", *outputs])
 
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(work, schema).withColumnRenamed("id", id_col)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Hashable, Iterable
 
 
@@ -18,6 +19,9 @@ class Recent:
         self.young: dict[Hashable, object] = {}
         self.old: dict[Hashable, object] = {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def values(self, keys: list) -> list:
         """The values of these keys, in their order."""
         found = list(map(self.young.get, keys))
@@ -46,3 +50,30 @@ class Recent:
         if missing:
             self.young.update(zip(missing, self.compute(missing), strict=True))
         return self.young
+
+
+class Rest:
+    """Calls `forget` when nothing has been at work for `after` seconds, so that a worker that waits gives its memory back."""
+
+    def __init__(self, forget: Callable[[], None], after: float = 5.0):
+        self.forget, self.after = forget, after
+        self.lock, self.busy, self.timer = threading.Lock(), 0, None
+
+    def __enter__(self) -> None:
+        with self.lock:
+            self.busy += 1
+            if self.timer:
+                self.timer.cancel()
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            self.busy -= 1
+            if not self.busy:
+                self.timer = threading.Timer(self.after, self._fire)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def _fire(self) -> None:
+        with self.lock:
+            if not self.busy:
+                self.forget()
