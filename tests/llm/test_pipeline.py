@@ -33,6 +33,17 @@ def test_stages(spark):
     assert sorted((r["doc_id"], list(r["ids"])) for r in frames[5].collect()) == want
 
 
+def test_near_copies_between_the_bounds_go(spark):
+    """A text with a fifth of it appended (similarity 0.83) is a near copy here; one with a third isn't."""
+    text = " ".join(f"w{i}" for i in range(1000))
+    more = text + " " + " ".join(f"x{i}" for i in range(200))
+    other = " ".join(f"y{i}" for i in range(900))
+    rows = [(1, text), (2, more), (3, other), (4, other + " " + " ".join(f"z{i}" for i in range(300)))]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    kept = sorted(r["doc_id"] for r in got.collect())
+    assert kept == sorted({c for _, _, c in brute(rows, 5, 80)}) == [1, 3, 4]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns) and got.count() > 0
