@@ -11,6 +11,9 @@ spread evenly and their number times the block size is within a few blocks of th
 of a source takes the r-th block of its stream of shuffled documents; after the last block the stream
 starts again, `most` times at the most. Blocks are cut by words, so a document may be taken in part.
 
+A source whose target is less than SETTLED blocks would feel whole blocks: it takes the first words of its
+stream instead, as often as its target says, exactly to the (rounded) word and whatever the block size.
+
 Sizes: nothing is ranked or summed over a whole source in one task. Documents are dealt by source and
 hash range (4096 ranges), slots by source and stretch of 4096; only a row per range or stretch meets in
 a window over its source. Only two numbers (all words and sources) come to the driver.
@@ -31,6 +34,8 @@ from .common import documents, materialise, words
 GOLDEN = 0.6180339887498949
 STRETCH = 4096
 CELLS = 4096
+#: Below so many blocks a source's target is met by words.
+SETTLED = 1024
 BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -92,6 +97,15 @@ def block_size(total_words: int, share: float, slots: int) -> tuple[int, int]:
     return block, int(-(-wanted // block))
 
 
+def settled(most: int) -> Column:
+    """Words of a document that its source takes with exactly its target of the stream, passes added up."""
+    at, size, wanted = F.col("_m_at"), F.col("_m_size"), F.round("_m_target").cast("bigint")
+    out = F.lit(0).cast("bigint")
+    for p in range(most):
+        out = out + F.greatest(F.lit(0), F.least(at + size, wanted - p * F.col("_m_total")) - at)
+    return out
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, slots: int = 1 << 18) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
     sized = materialise(df.select(F.col(id_col).alias("_m_id"), source_key(F.col(source_col).cast("string")).alias("_m_key"), F.size(words(F.col(text_col))).cast("bigint").alias("_m_size")), "sizes")
@@ -100,10 +114,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     block, n_slots = block_size(total, share, slots)
     takes = schedule(targets, block, n_slots, most).groupBy("_m_key", "_m_block").agg(F.count(F.lit(1)).alias("_m_takes"))
     at, size = F.col("_m_at"), F.col("_m_size")
-    pieces = streams(sized, targets).withColumn("_m_block", F.explode_outer(F.when(size > 0, F.sequence(F.floor(at / block), F.floor((at + size - 1) / block)))))
+    placed = streams(sized, targets).withColumn("_m_settled", F.col("_m_target") < SETTLED * block)
+    placed = placed.withColumn("_m_exact", F.when(F.col("_m_settled"), settled(most)))
+    pieces = placed.withColumn("_m_block", F.explode_outer(F.when((size > 0) & ~F.col("_m_settled"), F.sequence(F.floor(at / block), F.floor((at + size - 1) / block)))))
     held = F.least(at + size, (F.col("_m_block") + 1) * block) - F.greatest(at, F.col("_m_block") * block)
     taken = pieces.join(takes, ["_m_key", "_m_block"], "left").withColumn("_m_taken", F.coalesce(held * F.col("_m_takes"), F.lit(0)))
-    done = taken.groupBy("_m_key", "_m_range", "_m_row").agg(*[F.first(c).alias(c) for c in ("_m_id", "_m_size", "_m_total", "_m_target")], F.sum("_m_taken").alias("_m_taken"))
+    done = taken.groupBy("_m_key", "_m_range", "_m_row").agg(*[F.first(c).alias(c) for c in ("_m_id", "_m_size", "_m_total", "_m_target")], F.coalesce(F.first("_m_exact"), F.sum("_m_taken")).alias("_m_taken"))
     return done.select(F.col("_m_id").alias(id_col), F.col("_m_size").alias("size"), F.col("_m_total").alias("source_size"), F.col("_m_target").alias("target"), F.col("_m_taken").cast("bigint").alias("taken"))
 
 

@@ -116,6 +116,21 @@ def test_targets_by_repeated_sharing(spark, documents):
     assert all(abs(taken[s] - target[s]) <= max(10, 0.02 * target[s]) for s in order)
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources below some blocks take their target to the word, however large a block is."""
+    rows = [(i, "w " * 1000, "a") for i in range(60)] + [(100 + i, "w " * (3 + i), f"b{i}") for i in range(9)] + [(200 + i, "w " * 40, "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for how in ({}, {"slots": 64}, {"slots": 8, "most": 3}, {"slots": 64, "share": 0.5}):
+        taken, target = Counter(), {}
+        for r in mixing.mix(df, **how).collect():
+            source = "a" if r["doc_id"] < 100 else "c" if r["doc_id"] >= 200 else f"b{r['doc_id'] - 100}"
+            taken[source] += r["taken"]
+            target[source] = r["target"]
+            assert 0 <= r["taken"] <= how.get("most", 2) * r["size"]
+        assert all(abs(taken[s] - target[s]) <= 0.5 for s in target if s != "a")
+    assert taken["c"] > 0
+
+
 def test_mixing_odd(odd, clashing, empty):
     got = mixing.mix(clashing).collect()
     assert len(got) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
