@@ -12,7 +12,8 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
    sizes, and what can still follow the shared n-gram in both orders) is a candidate. In a large one, as
    large groups of near copies cause, first `leaders` of its documents are paired with all.
 4. Candidates are dealt into blocks of documents (by the smallest document of their gathering, large
-   ones split by hash); in a block the overlap counts of a document with all others are accumulated
+   ones split by hash of the smaller document of a pair, or of the larger one where the smaller has
+   too many pairs for a block); in a block the overlap counts of a document with all others are accumulated
    through the block's inverted index and pairs below the bound are dropped.
 5. The links found make components. In large gatherings, pairs across two components are still open:
    all documents outside their most common component are paired with all that are not in their own. Those pairs are counted as in 4, and the links of both rounds give the components.
@@ -111,14 +112,29 @@ def can_reach(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def blocks(pairs: DataFrame) -> DataFrame:
+    """Candidates (home, block, salt, a, b), about BLOCK_PAIRS of them in a block and salt.
+
+    Pairs are dealt by b. Those of a b with more than BLOCK_PAIRS pairs, as leaders have, are dealt by a, and
+    by both where that a has as many of such pairs.
+    """
+    n = F.count(F.lit(1))
+    wide = pairs.groupBy("home", "b").agg(n.alias("k")).filter(F.col("k") > BLOCK_PAIRS).select("home", "b", F.lit(True).alias("wide"))
+    marked = pairs.select("home", "a", "b").join(wide, ["home", "b"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    counts = marked.groupBy("home", "wide").agg(n.alias("m"))
+    steep = marked.filter("wide").groupBy("home", "a").agg(n.alias("k")).filter(F.col("k") > BLOCK_PAIRS).withColumn("wide", F.lit(True))
+    split = marked.join(counts, ["home", "wide"]).join(steep, ["home", "a", "wide"], "left")
+    block = F.pmod(F.when(F.col("wide"), F.xxhash64("a")).otherwise(F.xxhash64("b")), F.ceil(F.col("m") / BLOCK_PAIRS))
+    salt = F.when(F.col("wide"), 1 + F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.coalesce("k", F.lit(1)) / BLOCK_PAIRS))).otherwise(F.lit(0))
+    return split.select("home", block.alias("block"), salt.cast("bigint").alias("salt"), "a", "b")
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) among candidates (a, b, home) that reach the similarity."""
-    counts = pairs.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
-    dealt = pairs.join(counts, "home").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK_PAIRS))).select("home", "block", "a", "b")
-    dealt = materialise(dealt, "candidates")
-    needed = dealt.select("home", "block", F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = needed.hint("merge").join(docs, "id").select("home", "block", "id", "text")
-    rows = sets.select("home", "block", F.lit(0).alias("kind"), "id", F.lit(None).cast("bigint").alias("b"), "text").unionByName(dealt.select("home", "block", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
+    dealt = materialise(blocks(pairs), "candidates")
+    needed = dealt.select("home", "block", "salt", F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = needed.hint("merge").join(docs, "id").select("home", "block", "salt", "id", "text")
+    rows = sets.select("home", "block", "salt", F.lit(0).alias("kind"), "id", F.lit(None).cast("bigint").alias("b"), "text").unionByName(dealt.select("home", "block", "salt", F.lit(1).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("text")))
 
     def work(group: pa.Table) -> pa.Table:
         kinds = group.column("kind").to_numpy()
@@ -157,7 +173,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
                         out_b.append(y)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return rows.groupBy("home", "block").applyInArrow(work, "a bigint, b bigint")
+    return rows.groupBy("home", "block", "salt").applyInArrow(work, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -199,6 +215,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     outside = labelled.filter("c != most")
     across = outside.alias("x").join(labelled.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.c") != F.col("y.c")) & can_reach("x", "y", percent))
     second = asked(across).groupBy("a", "b").agg(F.min("home").alias("home")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = materialise(second, "pairs")
     more = materialise(overlaps(texts, second, width, percent), "links")
     joined = more.join(found.selectExpr("node as a", "component as ca"), "a", "left").join(found.selectExpr("node as b", "component as cb"), "b", "left")
     merged = materialise(components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b"), "components")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -72,6 +73,17 @@ def test_equals_all_pairs(spark, seed, monkeypatch):
         assert found(df) == brute(rows)
 
 
+@pytest.mark.parametrize("shape", ["leaders", "star", "all"])
+def test_blocks_are_bounded(spark, shape, monkeypatch):
+    """A document with many pairs, on either side, doesn't bring them all to one task; no pair is lost or doubled."""
+    monkeypatch.setattr(J, "BLOCK_PAIRS", 40)
+    pairs = {"leaders": [(a, b, 0) for b in range(3) for a in range(3, 2000)], "star": [(9999, b, 0) for b in range(2000)], "all": [(a, b, 0) for a in range(120) for b in range(a)]}[shape]
+    got = J.blocks(spark.createDataFrame(pairs, "a long, b long, home long")).collect()
+    assert sorted((r["a"], r["b"], r["home"]) for r in got) == sorted(pairs)
+    sizes = Counter((r["home"], r["block"], r["salt"]) for r in got)
+    assert max(sizes.values()) <= 6 * 40
+
+
 def test_odd(odd, clashing, empty):
     want = brute([(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None])
     got = J.near_duplicates(clashing).collect()
