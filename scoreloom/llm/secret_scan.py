@@ -6,7 +6,9 @@ Patterns run only on texts that hold a literal which every match needs.
 
 Strong spans (`assign`, `access`, `hex`) are always reported. Weak parts are identifiers (user, login,
 client id), secrets (mixed strings of 20 or more characters) and endpoints (addresses with a scheme, or
-host settings). Two parts are linked when the gap between their intervals is at most `reach` code points;
+host settings). Two parts are linked when one lies in the innermost {...} around the other (at any depth), when
+both are on different lines of one paragraph (blank lines end it), or when the gap between their intervals is
+at most `reach` code points;
 weak parts that overlap a strong span are left out, as they are reported already.
 An identifier is reported if a secret (weak, `assign` or `hex`) is linked to it, a secret if an identifier
 (weak or `access`) is, an endpoint if an identifier and a secret are. The interval join happens inside the
@@ -30,8 +32,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 # The weak parts.
 WEAK_ID = r"""(?i)(?<![a-z])(?:user|username|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])(?=[0-9+/_=-]{0,60}[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""(?i)(?:https?|ftp|ssh|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+|(?<![a-z])(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?"""
+BLANK = r"\n[\x20\t\r]*\n"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 SPAN = "array<struct<s:int,k:int,e:int>>"
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -67,9 +70,50 @@ def any_of(text: Column, literals: tuple[str, ...]) -> Column:
     return out
 
 
-def linked(weak: str, others: str, reach: int) -> Column:
-    """Those of array column `weak` with an interval of array column `others` within reach."""
-    return F.filter(weak, lambda w: F.exists(others, lambda o: (o["s"] <= w["e"] + reach) & (o["e"] + reach >= w["s"])))
+def objects(text: Column) -> Column:
+    """Spans of all {...} of a text, whatever their depth; braces without a partner are none."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("open"), none().alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        s, depth = a["at"] + x["g"], F.size(a["open"])
+        closes = (x["b"] == "}") & (depth > 0)
+        left = F.when(x["b"] == "{", F.concat(a["open"], F.array(s))).when(closes, F.slice(a["open"], 1, depth - 1)).otherwise(a["open"])
+        out = F.when(closes, F.concat(a["out"], F.array(F.struct(F.element_at(a["open"], -1).alias("s"), F.lit(0).alias("k"), (s + 1).alias("e"))))).otherwise(a["out"])
+        return F.struct((s + 1).alias("at"), left.alias("open"), out.alias("out"))
+
+    both = F.zip_with(F.transform(F.split(text, "[{}]", -1), F.length), F.regexp_extract_all(text, F.lit("[{}]"), F.lit(0)), lambda g, b: F.struct(g.alias("g"), b.alias("b")))
+    return F.aggregate(F.filter(both, lambda x: x["b"].isNotNull()), start, step, lambda a: a["out"])
+
+
+def placed(parts: str) -> Column:
+    """Parts with their innermost object `o` (null: none), paragraph `p` and line `l`."""
+    def before(of: str, w: Column) -> Column:
+        return F.size(F.filter(of, lambda x: x["s"] < w["s"]))
+
+    return F.transform(parts, lambda w: F.struct(
+        w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e"),
+        F.array_max(F.filter("_s_objects", lambda c: (c["s"] <= w["s"]) & (c["e"] > w["s"]))).alias("o"),
+        before("_s_breaks", w).alias("p"), before("_s_lines", w).alias("l"),
+    ))
+
+
+def near(w: Column, o: Column, reach: int) -> Column:
+    """Whether two placed parts are linked."""
+    def inside(x: Column, y: Column) -> Column:
+        return F.coalesce((y["s"] >= x["o"]["s"]) & (y["s"] < x["o"]["e"]), F.lit(False))
+
+    return ((o["s"] <= w["e"] + reach) & (o["e"] + reach >= w["s"])) | inside(w, o) | inside(o, w) | ((w["p"] == o["p"]) & (w["l"] != o["l"]))
+
+
+def linked(weak: str, others: tuple[str, ...], reach: int) -> Column:
+    """Those of the placed parts `weak` that are linked with one of each of `others`, as spans."""
+    def all_of(w: Column) -> Column:
+        out = F.exists(others[0], lambda o: near(w, o, reach))
+        for x in others[1:]:
+            out = out & F.exists(x, lambda o: near(w, o, reach))
+        return out
+
+    return F.transform(F.filter(weak, all_of), lambda w: F.struct(w["s"].alias("s"), w["k"].alias("k"), w["e"].alias("e")))
 
 
 def apart(weak: Column, strong: str) -> Column:
@@ -97,11 +141,10 @@ def with_spans(df: DataFrame, text_col: str, reach: int) -> DataFrame:
     })
     df = df.withColumns({"_s_id": apart(F.col("_s_id"), "_s_base"), "_s_secret": apart(F.col("_s_secret"), "_s_base"), "_s_end": apart(F.col("_s_end"), "_s_base")})
     df = df.withColumns({"_s_ids": F.concat("_s_id", "_s_access"), "_s_secrets": F.concat("_s_secret", "_s_assign", "_s_hex")})
-    weak = F.concat(
-        linked("_s_id", "_s_secrets", reach),
-        linked("_s_secret", "_s_ids", reach),
-        F.filter("_s_end", lambda w: F.exists("_s_ids", lambda o: (o["s"] <= w["e"] + reach) & (o["e"] + reach >= w["s"])) & F.exists("_s_secrets", lambda o: (o["s"] <= w["e"] + reach) & (o["e"] + reach >= w["s"]))),
-    )
+    need, t = (F.size("_s_ids") > 0) & (F.size("_s_secrets") > 0), F.col("_s_text")
+    df = df.withColumns({"_s_objects": F.when(need, objects(t)).otherwise(none()), "_s_breaks": spans(t, BLANK, 0, need), "_s_lines": spans(t, "\n", 0, need)})
+    df = df.withColumns({c: placed(c) for c in ("_s_id", "_s_secret", "_s_end", "_s_ids", "_s_secrets")})
+    weak = F.concat(linked("_s_id", ("_s_secrets",), reach), linked("_s_secret", ("_s_ids",), reach), linked("_s_end", ("_s_ids", "_s_secrets"), reach))
     return df.withColumn("_s_all", F.sort_array(F.concat("_s_base", weak)))
 
 

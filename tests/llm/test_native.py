@@ -40,6 +40,19 @@ def test_weak_parts_need_each_other(spark):
     assert kinds == {1: ["weak_id", "weak_secret", "endpoint"], 2: [], 3: [], 4: [], 5: [], 6: ["access", "weak_secret"]}
 
 
+def test_parts_of_one_scope_are_linked(spark):
+    secret, far = "Zx9" + "a" * 21, "-" * 300
+    rows = [
+        (1, '{"installed":{"client_id":"bob","x":"' + far + '","auth_uri":"https://a.example.com/b","y":{"z":"' + far + '"},"client_secret":"' + secret + '"}}'),
+        (2, '[{"user":"bob"},{"x":"' + far + '"},{"key":"' + secret + '"}]'),
+        (3, f"user: bob\n# {far}\nkey: {secret}\n"), (4, f"user: bob\n# {far}\n\nkey: {secret}\n"),
+        (5, "user: bob " + "z" * 70 + "1"), (6, "user: bob } { " + far + " " + secret),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = {k: [x.split(":")[0] for x in v.split(",")] if v else [] for k, v in got.items()}
+    assert kinds == {1: ["weak_id", "endpoint", "assign"], 2: [], 3: ["weak_id", "weak_secret"], 4: [], 5: ["weak_id", "weak_secret"], 6: []}
+
+
 def test_redact_keeps_columns(clashing):
     got = secret_scan.redact(clashing)
     assert got.columns == clashing.columns and got.count() == clashing.count()
