@@ -7,7 +7,8 @@ stay apart when merged as a pair. The ids are then read backwards from the end.
 the text, also for texts without any space.
 
 Pieces hold the space mark only at their start, so a text falls into chunks before each run of marks,
-which encode independently; repeated chunks are remembered (a bounded memory per task).
+which encode independently, and before each newline where no piece holds one with other characters.
+Repeated chunks are remembered, up to a number of bytes per worker; long ones (texts without spaces) never.
 
 Defined results: a null text counts as empty and has no tokens; decoded text is ''. Rows are mapped one
 to one, so repeated rows stay repeated; other columns of the input are not read.
@@ -28,6 +29,9 @@ from .recent import Recent, Rest
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: At most so many verdicts on neighbouring pieces are remembered (both are short).
+PAIRS = 200_000
+TAIL = ".,;:!?*%#&$@"
 #: Output columns and their Spark types.
 OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 #: How each is made of the comma-joined ids and the decoded text.
@@ -43,7 +47,7 @@ MAKE = {
 class PieceModel:
     """Encoder and decoder for one model file (merge type, identity normaliser, byte fallback)."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 128 << 20):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -64,6 +68,8 @@ class PieceModel:
         plain = sorted((p for p in self.ids if p.strip(MARK)), key=self.score.__getitem__, reverse=True)
         if len({self.score[p] for p in plain}) < len(plain):
             raise ValueError("pieces tie in score")
+        #: Neighbouring characters that a piece may hold; no merge crosses others.
+        self.bigrams = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         #: Order in which merges are made; single characters are there from the start.
         self.order = {p: i for i, p in enumerate(plain) if len(p) > 1}
         self.halves: dict[str, tuple[str, str] | None] = {}
@@ -72,12 +78,11 @@ class PieceModel:
             if p == MARK or p.strip(MARK) and (len(p) == 1 or self.split(p)):
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.remembered = remembered
         self.names = {p: str(i) for p, i in self.ids.items()}
         self.spoken = {str(i): p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {str(i): bytes([b]) for b, i in self.byte_ids.items()}
         self.neighbours: dict[str, bool] = {}
         self.rest = Rest(self.forget)
-        self.chunks = Recent(remembered, lambda keys: [self._value(k) for k in keys])
+        self.chunks = Recent(remembered, self._values)
 
     def forget(self) -> None:
         self.chunks.clear()
@@ -148,7 +153,7 @@ class PieceModel:
                     else:
                         good = known.get(pair := before + "\n" + token)
                         if good is None:
-                            if len(known) >= self.remembered // 3:
+                            if len(known) >= PAIRS:
                                 known.clear()
                             good = known[pair] = apart(before, token)
                         if good:
@@ -184,6 +189,24 @@ class PieceModel:
                 ids.append(i)
         return ",".join(ids)
 
+    def _values(self, keys: list[str]) -> dict[str, str]:
+        """Values of new chunks. Signs at the end are cut off where no piece holds both neighbours of the cut."""
+        found: dict[str, str] = {}
+
+        def value(key: str) -> str:
+            known = found.get(key) or self.chunks.known(key)
+            if known is None:
+                known = found[key] = self._value(key)
+            return known
+
+        for k in keys:
+            bare = k.rstrip(TAIL)
+            if len(bare) > 1 and bare != k and bare[-1] + k[len(bare)] not in self.bigrams:
+                found[k] = value(bare) + "," + value(k[len(bare) :])
+            elif k not in found:
+                found[k] = self._value(k)
+        return found
+
     def encode_texts(self, texts: list[str]) -> Iterator[str]:
         """For each text its ids as decimal text, joined by commas."""
         for text in texts:
@@ -193,7 +216,8 @@ class PieceModel:
             if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
                 keys = CHUNK.findall(MARK + text.replace(" ", MARK))
             else:
-                keys = (MARK + text.replace(" ", " " + MARK)).split(" ")
+                spaced = MARK + text.replace(" ", " " + MARK)
+                keys = (spaced.replace("\n", " \n") if self.splits_lines else spaced).split(" ")
             yield ",".join(self.chunks.values(keys))
 
     def encode(self, text: str) -> list[int]:

@@ -3,53 +3,53 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable
+from sys import getsizeof
+
+#: Bytes of a table's slot for one entry, with its room to grow.
+SLOT = 104
 
 
 class Recent:
-    """Values by key in two generations; when the young one is full it becomes the old one.
+    """Values by text key in two generations; when the young one is full it becomes the old one.
 
-    It never holds more than `limit` entries, so a task's memory has a fixed bound, and it only saves
-    time: what is forgotten is computed again.
+    Keys and values together take `limit` bytes and those of one call at most, whatever the texts look like;
+    keys longer than `longest` (texts without spaces are one key) are worked out each time and never kept. The memory only
+    saves time: what is forgotten is computed again. `compute` gives the values of these keys, perhaps with others.
     """
 
-    def __init__(self, limit: int, compute: Callable[[list], Iterable]):
-        self.half = max(1, limit // 2)
+    def __init__(self, limit: int, compute: Callable[[list[str]], dict], longest: int = 64):
+        self.half, self.longest = max(1, limit // 2), longest
         self.compute = compute
-        self.young: dict[Hashable, object] = {}
-        self.old: dict[Hashable, object] = {}
+        self.clear()
 
     def clear(self) -> None:
-        self.young, self.old = {}, {}
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        self.size = 0
 
-    def values(self, keys: list) -> list:
+    def values(self, keys: list[str]) -> list:
         """The values of these keys, in their order."""
         found = list(map(self.young.get, keys))
-        if None in found:
-            missing = [k for k, v in zip(keys, found, strict=True) if v is None]
-            look = self.table(missing)
-            if len(missing) == len(keys):
-                return [look[k] for k in keys]
-            found = [look[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+        at = [i for i, v in enumerate(found) if v is None]
+        if at:
+            look = self._more(list({keys[i] for i in at}))
+            for i in at:
+                found[i] = look[keys[i]]
         return found
 
-    def table(self, keys: Iterable) -> dict:
-        """A table that holds at least these keys; valid until the next call."""
-        wanted = set(keys)
-        new = wanted.difference(self.young)
-        if new and len(self.young) + len(new) > self.half:
-            self.old, self.young = self.young, {}
-            new = wanted
-        missing = []
-        for key in new:
-            value = self.old.get(key)
-            if value is None:
-                missing.append(key)
-            else:
-                self.young[key] = value
-        if missing:
-            self.young.update(zip(missing, self.compute(missing), strict=True))
-        return self.young
+    def known(self, key: str) -> object | None:
+        return self.young.get(key) or self.old.get(key)
+
+    def _more(self, keys: list[str]) -> dict:
+        look = dict(zip(keys, map(self.old.get, keys)))
+        look.update(self.compute([k for k, v in look.items() if v is None]))
+        kept = look if max(map(len, look)) <= self.longest else {k: v for k, v in look.items() if len(k) <= self.longest}
+        if self.size >= self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young.update(kept)
+        self.size += SLOT * len(kept) + sum(map(getsizeof, kept)) + sum(map(getsizeof, kept.values()))
+        return look
 
 
 class Rest:

@@ -8,17 +8,19 @@ Layout of a shard (all integers little-endian):
     footer    u64 index offset, u32 blocks, u64 bloom offset, u32 bloom bits, u32 probes, u64 entries,
               u64 ids, 8 bytes magic
 
-A key is the identifier as 8 bytes, big-endian with the sign bit flipped, and a u32 that numbers rows
-of the same identifier, so that byte order is the order of identifiers; neighbours share most bytes and
-only the rest is stored, anew at each block's start. A value is u16 ids, or u32 ids behind a leading
+A key has 13 bytes: 0 for a null identifier, else 1; the identifier as 8 bytes, big-endian with the sign bit
+flipped; and a u32, big-endian, that numbers rows of the same identifier. So byte order is the order of
+identifiers; neighbours share most bytes and only the rest is stored, anew at each block's start. A value is u16 ids, or u32 ids behind a leading
 marker entry size when an id needs it: the value's first byte says which (2 or 4).
 
-Lookup reads footer, Bloom filter and index, finds the block by binary search and scans only it.
+Lookup reads, by ranges of the file, the footer, then Bloom filter and index, finds the block by binary
+search and reads only it.
 
 Writing: rows are range-partitioned by identifier, sorted inside the partition and streamed to shards
 below the shared folder; a shard is written under a name of its own attempt, and only what successful
-tasks report in the manifest is read, so lost or repeated attempts leave no trace in the result. Reading
-goes by Spark's binary reader. Row offsets come from the manifest's running sums (a row per shard).
+tasks report in the manifest is read, so lost or repeated attempts leave no trace in the result. To read
+all, the manifest's rows are dealt out and each task opens its own shards: stored bytes are never shuffled.
+Row offsets are running sums of the manifest: within a partition's shards, and over partitions.
 
 Defined results: a null text counts as empty and yields just the end id; rows whose identifier is null
 come first, under the smallest key of all; rows that share an identifier are kept and ordered by text.
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,28 +112,36 @@ class Shard:
 
 
 class Table:
-    """Reads a shard's bytes."""
-
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        self.index_at, blocks, self.bloom_at, self.bits, self.probes, self.entries, self.ids, magic = FOOTER.unpack(self.data[-FOOTER.size :])
+    """Reads a shard, either its bytes or an open file of which only the needed ranges are read."""
+
+    def __init__(self, data: bytes | pa.NativeFile):
+        if isinstance(data, bytes):
+            view, size = memoryview(data), len(data)
+            self.read = lambda at, n: view[at : at + n]
+        else:
+            size = data.size()
+            self.read = lambda at, n: memoryview(data.read_at(n, at))
+        if size < FOOTER.size:
+            raise ValueError("not a shard of this format")
+        index_at, blocks, bloom_at, self.bits, self.probes, self.entries, self.ids, magic = FOOTER.unpack(self.read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        self.blocks, self.firsts, at = [], [], self.index_at
+        index = self.read(index_at, bloom_at - index_at)
+        self.bloom = self.read(bloom_at, size - FOOTER.size - bloom_at)
+        self.blocks, self.firsts, at = [], [], 0
         for _ in range(blocks):
-            offset, size, n = INDEX.unpack_from(self.data, at)
-            self.firsts.append(bytes(self.data[at + INDEX.size : at + INDEX.size + n]))
+            offset, size, n = INDEX.unpack_from(index, at)
+            self.firsts.append(bytes(index[at + INDEX.size : at + INDEX.size + n]))
             self.blocks.append((offset, size))
             at += INDEX.size + n
 
     def scan(self, block: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        at, size = self.blocks[block]
-        end, key = at + size, b""
-        while at < end:
-            shared, own, n = ENTRY.unpack_from(self.data, at)
+        data, at, key = self.read(*self.blocks[block]), 0, b""
+        while at < len(data):
+            shared, own, n = ENTRY.unpack_from(data, at)
             at += ENTRY.size
-            key = key[:shared] + bytes(self.data[at : at + own])
-            value = self.data[at + own : at + own + n]
+            key = key[:shared] + bytes(data[at : at + own])
+            value = data[at + own : at + own + n]
             yield key, np.frombuffer(value[1:], "<u2" if value[0] == 2 else "<u4")
             at += own + n
 
@@ -139,8 +150,7 @@ class Table:
             yield from self.scan(k)
 
     def may_hold(self, doc_id: int | None) -> bool:
-        bloom = self.data[self.bloom_at :]
-        return all(bloom[b >> 3] >> (b & 7) & 1 for b in _probes(key_of(doc_id, 0)[:9], self.bits))
+        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _probes(key_of(doc_id, 0)[:9], self.bits))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The id arrays of one identifier: Bloom filter, then binary search of the index, then a block."""
@@ -165,18 +175,19 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokenizer_path)
         store, root = fs.FileSystem.from_uri(folder)
+        task = TaskContext.get().partitionId()
         shard, first, last, nth, end = None, b"", None, 0, struct.pack("<I", end_id)
 
         def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 yield from zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1).to_pylist()), strict=True)
 
         def close() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.sst"
             with store.open_output_stream(f"{root}/{name}") as f:
                 f.write(shard.finish())
-            return pa.RecordBatch.from_pylist([{"name": name, "first_key": first, "entries": shard.entries, "ids": shard.ids}])
+            return pa.RecordBatch.from_pylist([{"part": task, "name": name, "first_key": first, "entries": shard.entries, "ids": shard.ids}])
 
         for batch in batches:
             for doc_id, blob in encoded(batch):
@@ -194,29 +205,34 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
 
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(partitions or shuffle_partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return dealt.mapInArrow(work, "name string, first_key binary, entries bigint, ids bigint")
+    return dealt.mapInArrow(work, "part bigint, name string, first_key binary, entries bigint, ids bigint")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """One row per stored document: doc_id, start, n_tokens, ids_crc32, from the files alone.
 
-    `manifest` must be a stored table: it names the shards that count. Its running sum is over one row
-    per shard, not per document.
+    `manifest` must be a stored table: it names the shards that count.
     """
-    offsets = manifest.select("name", F.coalesce(F.sum("ids").over(W.orderBy("first_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("before"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    zero, before = F.lit(0), (W.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("n"), F.min("first_key").alias("least"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("least").rowsBetween(*before)), zero).alias("ahead"))
+    own = F.coalesce(F.sum("ids").over(W.partitionBy("part").orderBy("first_key").rowsBetween(*before)), zero)
+    offsets = manifest.withColumn("own", own).join(parts, "part").select("name", (F.col("ahead") + F.col("own")).cast("bigint").alias("before"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content, before in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{root}/{name}") as f:
+                    table = Table(f.read())
                 found: tuple[list, list, list, list] = ([], [], [], [])
-                for key, ids in Table(content.as_py()):
-                    for c, v in zip(found, (id_of(key), before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
+                for key, ids in table:
+                    for c, v in zip(found, (id_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                         c.append(v)
-                    before += len(ids)
+                    at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(offsets, "name").select("content", "before").mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return offsets.repartition(shuffle_partitions(spark)).mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def lookup(folder: str, manifest_rows: list, doc_id: int | None) -> list[np.ndarray]:
@@ -229,7 +245,7 @@ def lookup(folder: str, manifest_rows: list, doc_id: int | None) -> list[np.ndar
     k, found = max(0, bisect.bisect_right(firsts, key_of(doc_id, 0)) - 1), []
     while k < len(firsts) and firsts[k][:9] <= key_of(doc_id, 0)[:9]:
         with store.open_input_file(f"{root}/{manifest_rows[k][0]}") as f:
-            found += Table(f.read()).get(doc_id)
+            found += Table(f).get(doc_id)
         k += 1
     return found
 

@@ -66,9 +66,9 @@ def section_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokenizer = tokenizer_of(tokenizer_path)
         for batch in batches:
             rows, columns = [], [[] for _ in names]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                text = text or ""
-                bounds, spans = line_bounds(text), tokenizer.spans(text)
+            texts = batch.column(1).to_pylist()
+            for i, (text, spans) in enumerate(zip(texts, tokenizer.spans(texts), strict=True)):
+                bounds = line_bounds(text or "")
                 counts, crossing = allocate(spans, bounds, rule)
                 n = len(counts)
                 rows.append(np.full(n, i))

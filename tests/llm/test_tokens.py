@@ -27,9 +27,7 @@ def texts(n, seed):
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BYTES)
 
 
 def test_pieces_equal_the_library():
@@ -62,11 +60,32 @@ def test_pieces_query(odd, clashing, empty, documents):
 
 
 def test_byte_tokens_equal_the_library(library):
-    ours = ByteTokenizer(BYTES, 400)
-    for t in texts(3000, 3):
-        want = library.encode(t, add_special_tokens=False)
-        assert np.frombuffer(ours.ids([t])[0], "<u4").tolist() == want.ids
-        assert ours.spans(t).tolist() == [list(o) for o in want.offsets]
+    for ours in (ByteTokenizer(BYTES), ByteTokenizer(BYTES, 4000)):
+        some = texts(3000, 3)
+        for t, ids, spans in zip(some, ours.ids(some), ours.spans(some)):
+            want = library.encode(t, add_special_tokens=False)
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids
+            assert spans.tolist() == [list(o) for o in want.offsets]
+
+
+def test_added_tokens_are_found_as_the_library_finds_them(library):
+    ours = ByteTokenizer(BYTES)
+    for t in ("a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|> y", "a\n <|endoftext|>\nb", "<|endoftext|><|endoftext|> z", "<|endoftext"):
+        assert np.frombuffer(next(ours.ids([t])), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_memory_is_bounded_in_bytes(library):
+    """Texts without spaces are one key each: none is kept, and short ones only up to the limit."""
+    r = random.Random(6)
+    ours, pieces = ByteTokenizer(BYTES, 1 << 20), PieceModel(PIECES, 1 << 20)
+    for _ in range(60):
+        some = ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(5000))] + [" ".join(str(r.random()) for _ in range(200))]
+        ids = list(ours.ids(some))
+        assert np.frombuffer(ids[0], "<u4").tolist() == library.encode(some[0], add_special_tokens=False).ids
+        list(pieces.encode_texts(some))
+        for memory in (ours.pieces, pieces.chunks):
+            assert memory.size <= memory.half + 200_000
+            assert max(map(len, memory.young), default=0) <= memory.longest
 
 
 def test_shard_lookup():
