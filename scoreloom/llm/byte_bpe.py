@@ -76,7 +76,7 @@ def groups(texts: list[str | None]) -> Iterator[list[str]]:
 class ByteTokenizer:
     """`remembered`: bytes of memory for pieces that were met before."""
 
-    def __init__(self, path: str, remembered: int = 160 << 20):
+    def __init__(self, path: str, remembered: int = 320 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -4,7 +4,8 @@ Only DataFrame functions. Sources, in code point order with null last, weigh `we
 `share` times all words; a target stops at `most` times its source's size and the excess goes to the
 others by weight. That fixed point is found in one pass over the sources ordered by size per weight.
 
-The schedule has `slots` slots or fewer of equal size (`block` words). Slot k has the point frac(k * g),
+The schedule has slots of equal size (`block` words): `slots` of them or fewer as long as a block stays below
+BLOCK words, and as many more as blocks of BLOCK words need beyond, so that blocks don't grow with the corpus. Slot k has the point frac(k * g),
 g the golden ratio's fraction; the cumulative target shares map the point to a source. Such points fall
 into every interval in proportion to its length with a logarithmic error, so each source's slots are
 spread evenly and their number times the block size is within a few blocks of the target. The r-th slot
@@ -14,6 +15,8 @@ starts again, `most` times at the most. Blocks are cut by words, so a document m
 A source whose target is less than SETTLED blocks would feel whole blocks: it takes the first words of its
 stream instead, as often as its target says, exactly to the (rounded) word and whatever the block size.
 
+Rows without an identifier are shuffled by a hash of their text.
+
 Sizes: nothing is ranked or summed over a whole source in one task. Documents are dealt by source and
 hash range (4096 ranges), slots by source and stretch of 4096; only a row per range or stretch meets in
 a window over its source. Only two numbers (all words and sources) come to the driver.
@@ -32,6 +35,10 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, words
 
 GOLDEN = 0.6180339887498949
+#: No block has more words than this.
+BLOCK = 1024
+#: Slots are numbered by two digits of this base, so that points keep their precision for large numbers.
+DIGIT = 1 << 20
 STRETCH = 4096
 CELLS = 4096
 #: Below so many blocks a source's target is met by words.
@@ -64,7 +71,7 @@ def schedule(targets: DataFrame, block: int, n_slots: int, most: int) -> DataFra
     """One row per slot that takes a block: slot, _m_key, rank, pass, _m_block."""
     spark = targets.sparkSession
     cells = targets.filter("_m_hi > _m_lo").withColumn("_m_cell", F.explode(F.sequence(F.floor(F.col("_m_lo") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("_m_hi") * CELLS)))))
-    point = F.col("slot") * F.lit(GOLDEN)
+    point = F.floor(F.col("slot") / DIGIT) * F.lit(DIGIT * GOLDEN % 1) + F.col("slot") % DIGIT * F.lit(GOLDEN)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("_m_u", point - F.floor(point)).withColumn("_m_cell", F.floor(F.col("_m_u") * CELLS))
     placed = slots.join(cells, "_m_cell").filter("_m_u >= _m_lo and _m_u < _m_hi").select("slot", "_m_key", "_m_total", F.floor(F.col("slot") / STRETCH).alias("_m_stretch"))
     counts = placed.groupBy("_m_key", "_m_stretch").agg(F.count(F.lit(1)).alias("_m_n"))
@@ -76,7 +83,7 @@ def schedule(targets: DataFrame, block: int, n_slots: int, most: int) -> DataFra
 
 def streams(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Each document with its first word's place in its source's shuffled stream, `_m_at`."""
-    dealt = sized.withColumn("_m_hash", F.md5(F.coalesce(F.col("_m_id").cast("string"), F.lit("")).cast("binary"))).withColumn("_m_range", F.substring("_m_hash", 1, 3))
+    dealt = sized.withColumn("_m_hash", F.md5(F.coalesce(F.col("_m_id").cast("string"), F.col("_m_salt"), F.lit("")).cast("binary"))).withColumn("_m_range", F.substring("_m_hash", 1, 3))
     sums = dealt.groupBy("_m_key", "_m_range").agg(F.sum("_m_size").alias("_m_sum"))
     sums = sums.withColumn("_m_ahead", F.coalesce(F.sum("_m_sum").over(W.partitionBy("_m_key").orderBy("_m_range").rowsBetween(*BEFORE)), F.lit(0)))
     sums = sums.join(targets.select("_m_key", "_m_total", "_m_target"), "_m_key").drop("_m_sum")
@@ -93,7 +100,7 @@ def source_key(source: Column) -> Column:
 def block_size(total_words: int, share: float, slots: int) -> tuple[int, int]:
     """Words in a block and the number of slots, for a mix of share * total_words words."""
     wanted = share * total_words
-    block = max(1, int(-(-wanted // slots)))
+    block = min(BLOCK, max(1, int(-(-wanted // slots))))
     return block, int(-(-wanted // block))
 
 
@@ -108,7 +115,7 @@ def settled(most: int) -> Column:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, slots: int = 1 << 18) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
-    sized = materialise(df.select(F.col(id_col).alias("_m_id"), source_key(F.col(source_col).cast("string")).alias("_m_key"), F.size(words(F.col(text_col))).cast("bigint").alias("_m_size")), "sizes")
+    sized = materialise(df.select(F.col(id_col).alias("_m_id"), source_key(F.col(source_col).cast("string")).alias("_m_key"), F.size(words(F.col(text_col))).cast("bigint").alias("_m_size"), F.when(F.col(id_col).isNull(), F.md5(F.col(text_col).cast("binary"))).alias("_m_salt")), "sizes")
     targets = materialise(source_targets(sized, weights, share, most), "targets")
     total = targets.agg(F.sum("_m_total")).first()[0] or 0
     block, n_slots = block_size(total, share, slots)
@@ -126,11 +133,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The input's rows and columns, each row as often as the mix takes it (its taken share rounded).
 
-    Rows that share an identifier share its mean; rows with a null identifier or without words go.
+    Rows that share an identifier, or a text where that is null, share its mean; rows without words go. A
+    document taken in part counts as taken wholly or not at all, whichever is nearer.
     """
-    copies = mix(df, id_col=id_col, **how).groupBy(F.col(id_col).alias("_m_id")).agg(F.floor(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)) + F.lit(0.5)).cast("int").alias("_m_copies")).filter("_m_copies > 0")
-    joined = df.join(copies, df[id_col] == F.col("_m_id"))
-    return joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), "_m_copies"))).select(*[df[c] for c in df.columns])
+    text = F.col(how.get("text_col", "text"))
+    df_key = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("t"), F.md5(text.cast("binary"))), F.lit(""))
+    keyed = df.withColumn("_m_id", df_key)
+    copies = mix(keyed, id_col="_m_id", **how).groupBy("_m_id").agg(F.floor(F.sum("taken") / F.nullif(F.sum("size"), F.lit(0)) + F.lit(0.5)).cast("int").alias("_m_copies")).filter("_m_copies > 0")
+    joined = keyed.join(copies, "_m_id")
+    return joined.withColumn("_m_copy", F.explode(F.sequence(F.lit(1), "_m_copies"))).select(*df.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +151,8 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 with sized as (
-  select doc_id, coalesce('0' || source, '1') as k, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size
+  select doc_id, coalesce('0' || source, '1') as k, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+    md5(coalesce(doc_id::varchar, md5(text), '')) as h
   from documents
 ), per as (
   select k, cast(sum(size) as bigint) as total, (case (row_number() over (order by k) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end)::double as w
@@ -160,14 +172,14 @@ with sized as (
          row_number() over (order by part > 0 desc nulls last, k desc) = 1 as is_last
   from shares
 ), params as (
-  select greatest(1, ceil(max(budget) / {1 << 18})::bigint) as block, max(budget) as budget from targets
+  select least({BLOCK}, greatest(1, ceil(max(budget) / {1 << 18})::bigint)) as block, max(budget) as budget from targets
 ), slots as (
   select r.range * {GOLDEN!r}::double - floor(r.range * {GOLDEN!r}::double) as u
   from params, range(0, ceil(params.budget / params.block)::bigint) r
 ), slot_counts as (
   select b.k, count(*) as n from slots s join bounds b on s.u >= b.lo and s.u < (case when b.is_last then 1 else b.lo + b.part end) group by b.k
 ), placed as (
-  select doc_id, s.k, size, coalesce(sum(size) over (partition by s.k order by md5(coalesce(doc_id::varchar, '')), size rows between unbounded preceding and 1 preceding), 0) as pos
+  select doc_id, s.k, size, coalesce(sum(size) over (partition by s.k order by h, size rows between unbounded preceding and 1 preceding), 0) as pos
   from sized s
 )
 select p.doc_id, p.size, t.total as source_size, t.target,

@@ -36,6 +36,10 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Z
 ENDPOINT = r"""(?i)(?:https?|ftp|ssh|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+|(?<![a-z])(?:host|hostname|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?"""
 BLANK = r"\n[\x20\t\r]*\n"
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
+#: Elements that a fold gathers before it moves them on.
+CHUNK = 128
+#: Code points of the blocks from which masked texts are put together.
+BLOCK = 4096
 SPAN = "array<struct<s:int,k:int,e:int>>"
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ID_WORDS = ("user", "login", "account", "client_id", "clientid", "access_key", "accesskey")
@@ -46,16 +50,32 @@ def none() -> Column:
     return F.array().cast(SPAN)
 
 
+def appended(state: Column, element: Column) -> tuple[Column, Column]:
+    """The arrays `part` and `parts` of a fold's state with one more element.
+
+    Elements gather in a short array that is moved to `parts` when it is full, so that a fold over n
+    elements copies about CHUNK * n + (n / CHUNK)^2 / 2 of them and not n^2 / 2.
+    """
+    part = F.concat(state["part"], F.array(element))
+    full = F.size(state["part"]) + 1 >= CHUNK
+    return F.when(full, F.slice(state["part"], 1, 0)).otherwise(part), F.when(full, F.concat(state["parts"], F.array(part))).otherwise(state["parts"])
+
+
+def all_appended(state: Column) -> Column:
+    return F.concat(F.flatten(state["parts"]), state["part"])
+
+
 def spans_of(gaps: Column, found: Column, kind: int) -> Column:
     """Spans (start, kind, end) of matches, from the stretches before them and the matches themselves."""
-    start = F.struct(F.lit(0).alias("at"), none().alias("out"))
+    start = F.struct(F.lit(0).alias("at"), none().alias("part"), F.array().cast(f"array<{SPAN}>").alias("parts"))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + x["g"]
-        return F.struct((s + x["m"]).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + x["m"]).alias("e")))).alias("out"))
+        part, parts = appended(a, F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + x["m"]).alias("e")))
+        return F.struct((s + x["m"]).alias("at"), part.alias("part"), parts.alias("parts"))
 
     both = F.zip_with(F.transform(gaps, F.length), F.transform(found, F.length), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), start, step, lambda a: a["out"])
+    return F.aggregate(F.filter(both, lambda x: x["m"].isNotNull()), start, step, all_appended)
 
 
 def spans(text: Column, pattern: str, kind: int, may: Column) -> Column:
@@ -169,17 +189,33 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 def redact(df: DataFrame, text_col: str = "text", reach: int = 160, mask: str = "[SECRET]") -> DataFrame:
     """The input's rows and columns; every reported span of the text is replaced by `mask`.
 
-    Overlapping spans are replaced together. Rows without spans, null texts included, stay as they are.
+    Overlapping spans are replaced together, touching ones one by one. Rows without spans, null texts included, stay as they are.
     """
     done = with_spans(df, text_col, reach)
-    t, first = F.col("_s_text"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    t = F.col("_s_text")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("part"), F.array().cast("array<array<struct<s:int,e:int>>>").alias("parts"))
 
     def step(a: Column, x: Column) -> Column:
+        # the stretch before a span that starts behind all earlier ones
         new = x["s"] >= a["at"]
-        head = F.concat(a["out"], t.substr(a["at"] + 1, x["s"] - a["at"]), F.lit(mask))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(new, head).otherwise(a["out"]).alias("out"))
+        part, parts = appended(a, F.struct(a["at"].alias("s"), x["s"].alias("e")))
+        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(new, part).otherwise(a["part"]).alias("part"), F.when(new, parts).otherwise(a["parts"]).alias("parts"))
+
+    kept = F.aggregate("_s_all", first, step, lambda a: F.concat(all_appended(a), F.array(F.struct(a["at"].alias("s"), F.length(t).alias("e")))))
+    done = done.withColumn("_s_kept", F.when(F.size("_s_all") > 0, kept))
+    # A substring is counted out from the start of its text: stretches are cut from short blocks.
+    done = done.withColumn("_s_blocks", F.when(F.col("_s_kept").isNotNull(), F.transform(F.sequence(F.lit(0), (F.length(t) / BLOCK).cast("int")), lambda i: t.substr(i * BLOCK + 1, F.lit(BLOCK)))))
+
+    def stretch(x: Column) -> Column:
+        def of_block(i: Column) -> Column:
+            a, b = F.greatest(x["s"] - i * BLOCK, F.lit(0)), F.least(x["e"] - i * BLOCK, F.lit(BLOCK))
+            return F.get("_s_blocks", i).substr(a + 1, b - a)
+
+        whole = F.sequence((x["s"] / BLOCK).cast("int"), ((x["e"] - 1) / BLOCK).cast("int"))
+        return F.when(x["e"] > x["s"], F.array_join(F.transform(whole, of_block), "")).otherwise("")
 
-    masked = F.aggregate("_s_all", first, step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
+    # Two uses of the blocks keep them a column of their own, which isn't moved into the lambda and made for each element.
+    masked = F.when(F.size("_s_blocks") > 0, F.array_join(F.transform("_s_kept", stretch), mask))
     done = done.withColumn("_s_masked", F.when(F.size("_s_all") > 0, masked).otherwise(F.col(text_col)))
     return done.select(*[F.col("_s_masked").alias(c) if c == text_col else F.col(c) for c in df.columns])
 
