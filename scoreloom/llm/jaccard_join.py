@@ -5,9 +5,12 @@ product with its transpose. The product is taken in blocks, and only where an en
 two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s) * (a + b) or more.
 
 1. Equal sets form a class; from here on only one document of each class counts.
-2. n-grams are ordered: those that recur within a scan batch behind all others (repeated passages,
-   boilerplate), the rest by hash. The order affects the cost, never the result. A set's prefix are its
-   first |A| - ceil(s |A|) + 1 n-grams; sets that reach s share one in their prefixes.
+2. n-grams are ordered: frequent ones (repeated passages, boilerplate) behind all others, the rest by hash.
+   Frequent is what more than SMALL documents of the whole table hold among the first n-grams by hash, a
+   stretch somewhat longer than a prefix; other n-grams can't come into many prefixes. The counts are added
+   up by a shuffle; up to BROADCAST_GRAMS frequent ones go to every task, more of them meet the documents'
+   n-grams in a join. The order affects the cost, never the result. A set's prefix are its first
+   |A| - ceil(s |A|) + 1 n-grams; sets that reach s share one in their prefixes.
 3. Documents are gathered by prefix n-gram. In a small gathering every pair within the size bounds (total
    sizes, and what can still follow the shared n-gram in both orders) is a candidate. In a large one, as
    large groups of near copies cause, first `leaders` of its documents are paired with all.
@@ -19,7 +22,10 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
    all documents outside their most common component are paired with all that are not in their own. Those pairs are counted as in 4, and the links of both rounds give the components.
 
 So no link between different components is lost, and a group of copies or near copies never meets itself
-pair by pair. Nothing of the corpus goes to the driver but counts.
+pair by pair. Nothing of the corpus goes to the driver but counts and at most BROADCAST_GRAMS hashes.
+Documents that all hold one passage have it behind their prefixes and aren't gathered by it, unless more than
+the similarity's share of a text is made of frequent n-grams. The pairs of step 5 can still grow with the
+square of a gathering of such texts that are not alike.
 
 Defined results: null and empty texts have empty sets and are linked with nothing (component: their own
 id); rows that share an id count as one node with the links of all; a null id is a node of its own and
@@ -44,10 +50,11 @@ SMALL = 24
 LEADERS = 20
 #: So many of a document's large gatherings, its largest, take part in that.
 LARGEST = 2
-#: Pairs that a block should hold at most, about.
-BLOCK_PAIRS = 4000
-#: At most so many recurring n-grams are put last (8 bytes each, sent to every task).
-MOST_COMMON = 100_000
+#: Pairs that a block should hold at most, about; so many shingles of a pair count as one more.
+BLOCK_PAIRS = 1000
+PAIR_SHINGLES = 4000
+#: Up to so many frequent n-grams (8 bytes each) are sent to every task; more are joined.
+BROADCAST_GRAMS = 500_000
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -56,26 +63,26 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
-def recurring(docs: DataFrame, width: int, least: int = 3) -> np.ndarray:
-    """n-grams that several different sets of a scan batch hold: at most MOST_COMMON, the most frequent first.
+def frequent(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """n-grams that more than SMALL documents hold among their first ones by hash: column gram.
 
-    Counted inside batches, so that only n-grams that recur leave a task.
+    Counted over the whole table, added up before and after the shuffle.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _batches(batches):
             seen, parts = set(), []
             for s in shingle_sets(batch.column(0).to_pylist(), width):
                 key = hash(s.tobytes())
-                if key not in seen:
+                if len(s) and key not in seen:
                     seen.add(key)
-                    parts.append(s)
+                    p = len(s) - least_common(len(s), percent) + 1
+                    parts.append(s[: p + p // 2 + 16])
             if parts:
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[n >= least].view(np.int64)), pa.array(n[n >= least].astype(np.int64))], ["gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
 
-    found = docs.select("text").mapInArrow(work, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(MOST_COMMON)
-    return np.sort(np.array([r["gram"] for r in found.collect()], np.int64).view(np.uint64))
+    return docs.select("text").mapInArrow(work, "gram bigint, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > SMALL).select("gram")
 
 
 def least_common(n: int, percent: int) -> int:
@@ -83,8 +90,8 @@ def least_common(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, class_key, grams): set size, a digest of the set and its prefix in order."""
+def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int, whole: bool = False) -> DataFrame:
+    """(id, n, class_key, grams): set size, a digest of the set and its prefix in order (or the whole set)."""
     import hashlib
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +104,7 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
                 if n and len(common):
                     late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                     s = np.concatenate((s[~late], s[late]))
-                grams.append(s[: n - least_common(n, percent) + 1 if n else 0].view(np.int64))
+                grams.append((s if whole else s[: n - least_common(n, percent) + 1 if n else 0]).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "class_key", "grams"])
@@ -105,6 +112,18 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int) -> D
     return docs.select("id", "text").mapInArrow(work, "id bigint, n bigint, class_key binary, grams array<bigint>")
 
 
+def joined_prefixes(docs: DataFrame, common: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same prefixes where the frequent n-grams are too many for every task: they meet the sets in a join."""
+    sets = prefixes(docs, np.zeros(0, np.uint64), width, percent, whole=True)
+    kept = sets.filter("n = 0 or id is null").select("id", "n", "class_key", F.slice("grams", 1, 0).alias("grams"))
+    marked = sets.filter("n > 0 and id is not null").select("id", "n", "class_key", F.explode("grams").alias("gram")).join(common.withColumn("late", F.lit(True)), "gram", "left")
+    # the order of unsigned numbers, frequent ones last
+    key = F.struct(F.coalesce("late", F.lit(False)).alias("late"), (F.col("gram") < 0).alias("high"), "gram")
+    ordered = marked.groupBy("id", "n", "class_key").agg(F.sort_array(F.collect_set(key)).alias("g"))
+    size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
+    return kept.unionByName(ordered.select("id", "n", "class_key", F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), size.cast("int")).alias("grams")))
+
+
 def can_reach(a: str, b: str, percent: int) -> Column:
     """Size bounds of two gathered rows (columns id, n, at under these prefixes), the n-gram being the first shared."""
     na, nb, ia, ib = (F.col(f"{x}.{c}") for x, c in ((a, "n"), (b, "n"), (a, "at"), (b, "at")))
@@ -116,16 +135,18 @@ def blocks(pairs: DataFrame) -> DataFrame:
     """Candidates (home, block, salt, a, b), about BLOCK_PAIRS of them in a block and salt.
 
     Pairs are dealt by b. Those of a b with more than BLOCK_PAIRS pairs, as leaders have, are dealt by a, and
-    by both where that a has as many of such pairs.
+    by both where that a has as many of such pairs. A pair with a column `w` counts as so many, so that pairs
+    of long texts make smaller blocks.
     """
-    n = F.count(F.lit(1))
+    pairs = pairs if "w" in pairs.columns else pairs.withColumn("w", F.lit(1.0))
+    n = F.sum("w")
     wide = pairs.groupBy("home", "b").agg(n.alias("k")).filter(F.col("k") > BLOCK_PAIRS).select("home", "b", F.lit(True).alias("wide"))
-    marked = pairs.select("home", "a", "b").join(wide, ["home", "b"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    marked = pairs.select("home", "a", "b", "w").join(wide, ["home", "b"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     counts = marked.groupBy("home", "wide").agg(n.alias("m"))
     steep = marked.filter("wide").groupBy("home", "a").agg(n.alias("k")).filter(F.col("k") > BLOCK_PAIRS).withColumn("wide", F.lit(True))
     split = marked.join(counts, ["home", "wide"]).join(steep, ["home", "a", "wide"], "left")
     block = F.pmod(F.when(F.col("wide"), F.xxhash64("a")).otherwise(F.xxhash64("b")), F.ceil(F.col("m") / BLOCK_PAIRS))
-    salt = F.when(F.col("wide"), 1 + F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.coalesce("k", F.lit(1)) / BLOCK_PAIRS))).otherwise(F.lit(0))
+    salt = F.when(F.col("wide"), 1 + F.pmod(F.xxhash64("b", F.lit(1)), F.ceil(F.coalesce("k", F.lit(1.0)) / BLOCK_PAIRS))).otherwise(F.lit(0))
     return split.select("home", block.alias("block"), salt.cast("bigint").alias("salt"), "a", "b")
 
 
@@ -179,8 +200,13 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    common = recurring(docs, width)
-    sets = materialise(prefixes(docs, common, width, percent), "prefixes")
+    often = materialise(frequent(docs, width, percent), "frequent")
+    if often.count() <= BROADCAST_GRAMS:
+        common = np.sort(np.array([r["gram"] for r in often.collect()], np.int64).view(np.uint64))
+        found = prefixes(docs, common, width, percent)
+    else:
+        found = joined_prefixes(docs, often, width, percent)
+    sets = materialise(found, "prefixes")
     classes = sets.filter("n > 0 and id is not null").groupBy("class_key").agg(F.min("id").alias("class_id"))
     of_class = materialise(sets.select("id", "n", "class_key").join(classes, "class_key", "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "classes")
     heads = classes.select("class_key", F.col("class_id").alias("id"))
@@ -196,14 +222,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     far = main_rows.alias("x").join(lead.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") != F.col("y.id")) & can_reach("x", "y", percent))
 
     def asked(joined: DataFrame) -> DataFrame:
-        return joined.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.home").alias("home"))
+        return joined.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.col("x.home").alias("home"), (1 + (F.col("x.n") + F.col("y.n")) / PAIR_SHINGLES).alias("w"))
 
-    first = asked(near).unionByName(asked(far)).groupBy("a", "b").agg(F.min("home").alias("home"))
+    first = asked(near).unionByName(asked(far)).groupBy("a", "b").agg(F.min("home").alias("home"), F.max("w").alias("w"))
     first = materialise(first, "pairs")
     asked_for = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
     # The ids grow with the corpus, so they are never broadcast; only these texts move, once.
     texts = materialise(docs.join(asked_for.hint("merge"), "id", "left_semi"), "texts")
-    links = materialise(overlaps(texts, first, width, percent), "links")
+    # the classes of one id are one node
+    several = of_class.filter("n > 0 and id is not null").groupBy("id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo < hi")
+    tied = of_class.join(several, "id").filter("n > 0").select(F.col("class_id").alias("a"), F.col("lo").alias("b")).filter("a != b").distinct()
+    links = materialise(overlaps(texts, first, width, percent).unionByName(tied), "links")
     found = materialise(components(links, "a", "b"), "components")
     # pairs across components of large gatherings
     labelled = large.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
@@ -214,7 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = materialise(placed.join(main, "home"), "labelled")
     outside = labelled.filter("c != most")
     across = outside.alias("x").join(labelled.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.c") != F.col("y.c")) & can_reach("x", "y", percent))
-    second = asked(across).groupBy("a", "b").agg(F.min("home").alias("home")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = asked(across).groupBy("a", "b").agg(F.min("home").alias("home"), F.max("w").alias("w")).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialise(second, "pairs")
     more = materialise(overlaps(texts, second, width, percent), "links")
     joined = more.join(found.selectExpr("node as a", "component as ca"), "a", "left").join(found.selectExpr("node as b", "component as cb"), "b", "left")

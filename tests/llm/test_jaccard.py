@@ -70,9 +70,30 @@ def test_equals_all_pairs(spark, seed, monkeypatch):
         monkeypatch.setattr(J, "SMALL", 3)
         monkeypatch.setattr(J, "LEADERS", 1)
         monkeypatch.setattr(J, "BLOCK_PAIRS", 7)
+        monkeypatch.setattr(J, "BROADCAST_GRAMS", -1)  # and frequent n-grams by a join
         assert found(df) == brute(rows)
 
 
+def test_a_shared_phrase_makes_no_pairs(spark, monkeypatch):
+    """Documents that are alike only in one phrase are hardly ever paired, however many hold it; scattered over many batches."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    phrase = " ".join(word() for _ in range(20))
+    rows = [(i, " ".join([word() for _ in range(40)] + ([phrase] if i % 5 == 0 else []))) for i in range(2000)]
+    asked = []
+    overlaps = J.overlaps
+    monkeypatch.setattr(J, "overlaps", lambda docs, pairs, *a: asked.append(pairs.count()) or overlaps(docs, pairs, *a))
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(40))
+    assert got.filter("doc_id != component_id").count() == 0
+    assert sum(asked) < 400  # of 79,800 possible ones among the 400 documents with the phrase
+
+
+def test_classes_of_one_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (8, b), (9, c)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 @pytest.mark.parametrize("shape", ["leaders", "star", "all"])
 def test_blocks_are_bounded(spark, shape, monkeypatch):
     """A document with many pairs, on either side, doesn't bring them all to one task; no pair is lost or doubled."""
