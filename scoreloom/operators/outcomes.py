@@ -26,19 +26,34 @@ def average_precision(df: DataFrame, score: str, label: str, *keys: str) -> Data
     return steps.groupBy(*keys).agg((F.sum(F.col("_tp") * F.col("_ct") / F.col("_cn")) / F.nullif(F.sum("_tp"), F.lit(0.0))).alias("average_precision"))
 
 
-def concordance(df: DataFrame, time: str, event: str, score: str, *keys: str) -> DataFrame:
+def concordance(df: DataFrame, time: str, event: str, score: str, *keys: str, bits: int = 40) -> DataFrame:
     """Harrell's C for a fixed direction: a higher score should mean a shorter time; equal scores count half.
 
-    Pairs are comparable if the shorter time is an event. The join makes all comparable pairs of a key,
-    so keys are cohorts of thousands of samples at most, never a corpus.
+    Pairs are comparable if the shorter time is an event. No pair is made: scores become dense ranks, and two
+    ranks differ first at one binary digit. Per digit and common prefix, a window over time counts for each
+    event the later rows on the other side of the digit. Rows times digits (log2 of a key's distinct scores)
+    are sorted; a key (a cohort) is the unit of the widest windows.
     """
     rows = df.select(*keys, F.col(time).alias("_t"), F.col(event).cast("int").alias("_e"), F.col(score).alias("_s")).dropna()
-    a, b = rows.filter("_e = 1").alias("a"), rows.alias("b")
-    on = F.col("a._t") < F.col("b._t")
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    value = F.when(F.col("a._s") > F.col("b._s"), 1.0).when(F.col("a._s") == F.col("b._s"), 0.5).otherwise(0.0)
-    return a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(value).alias("c_index"))
+    ranked = rows.select(*keys, "_t", "_e", (F.dense_rank().over(W.partitionBy(*keys).orderBy("_s")) - 1).cast("bigint").alias("_r"))
+    ranked = ranked.withColumn("_w", F.length(F.bin(F.max("_r").over(W.partitionBy(*keys)))))
+    digits = ranked.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.least(F.lit(bits), F.col("_w")) - 1)))
+    # digit -1 stands for equal ranks
+    power = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("_d"))).cast("bigint")
+    bit = F.when(F.col("_d") >= 0, F.floor(F.col("_r") / power) % 2).otherwise(0)
+    placed = digits.select(*keys, "_t", "_e", "_d", F.when(F.col("_d") >= 0, F.floor(F.col("_r") / (2 * power))).otherwise(F.col("_r")).alias("_p"), bit.cast("int").alias("_b"))
+    part = W.partitionBy(*keys, "_d", "_p")
+    upto = part.orderBy("_t")  # rows of the same time included
+
+    def later(side: int) -> Column:
+        one = F.when(F.col("_b") == side, 1)
+        return F.count(one).over(part) - F.count(one).over(upto)
+
+    counted = placed.select(*keys, "_e", "_d", "_b", later(0).alias("_low"), later(1).alias("_high")).filter("_e = 1")
+    pairs = F.when(F.col("_d") < 0, F.col("_low")).when(F.col("_b") == 1, F.col("_low")).otherwise(F.col("_high"))
+    won = F.when(F.col("_d") < 0, F.col("_low") * 0.5).when(F.col("_b") == 1, F.col("_low") * 1.0).otherwise(0.0)
+    sums = counted.groupBy(*keys).agg(F.sum(pairs).alias("n_pairs"), F.sum(won).alias("_won"))
+    return sums.select(*keys, "n_pairs", (F.col("_won") / F.nullif(F.col("n_pairs"), F.lit(0))).alias("c_index"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, *keys: str) -> DataFrame:

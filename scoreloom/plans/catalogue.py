@@ -71,17 +71,17 @@ def multiplicity(spark, sf_dir):
 
 
 @query(f"""with {S.SQL_P_VALUES}, two as (
-  select p_partkey, 'edge' as kind, 2 * p_partkey as o, p_value as p from pv where p_partkey <= 40 union all
-  select p_partkey, 'loading', 2 * p_partkey + 1, sqrt(p_value) from pv where p_partkey <= 40
-), b as (select *, count(p) over () as m, row_number() over (order by p nulls last, o) as k from two
-), q as (select *, case when p is not null then least(1, min(p * m / k) over (order by p nulls last, o rows between current row and unbounded following)) end as q from b)
+  select p_partkey, family, 'edge' as kind, 2 * p_partkey as o, p_value as p from pv union all
+  select p_partkey, family, 'loading', 2 * p_partkey + 1, sqrt(p_value) from pv
+), b as (select *, count(p) over (partition by family) as m, row_number() over (partition by family order by p nulls last, o) as k from two
+), q as (select *, case when p is not null then least(1, min(p * m / k) over (partition by family order by p nulls last, o rows between current row and unbounded following)) end as q from b)
 select p_partkey, {r("max(case when kind = 'edge' then q end)", 'edge_q')}, {r("max(case when kind = 'loading' then q end)", 'loading_q')}, cast(max(m) as bigint) as family_size from q group by p_partkey""")
 def joint_multiplicity(spark, sf_dir):
-    """Two tests of each item corrected as one family, then side by side again."""
-    p = S.p_values(spark, sf_dir).filter("p_partkey <= 40")
-    long = p.select("p_partkey", F.col("p_value").alias("edge"), F.sqrt("p_value").alias("loading")).unpivot("p_partkey", ["edge", "loading"], "kind", "p")
-    long = long.withColumns({"o": 2 * F.col("p_partkey") + (F.col("kind") == "loading").cast("int"), "all": F.lit(1)})
-    q = stats.benjamini_hochberg(long, "p", "all", order="o", size="family_size")
+    """Two tests of each item corrected in one family per type, then side by side again."""
+    p = S.p_values(spark, sf_dir)
+    long = p.select("p_partkey", "family", F.col("p_value").alias("edge"), F.sqrt("p_value").alias("loading")).unpivot(["p_partkey", "family"], ["edge", "loading"], "kind", "p")
+    long = long.withColumn("o", 2 * F.col("p_partkey") + (F.col("kind") == "loading").cast("int"))
+    q = stats.benjamini_hochberg(long, "p", "family", order="o", size="family_size")
     return tidy(q.groupBy("p_partkey").agg(F.max(F.when(F.col("kind") == "edge", F.col("q_value"))).alias("edge_q"), F.max(F.when(F.col("kind") == "loading", F.col("q_value"))).alias("loading_q"), F.max("family_size").alias("family_size")))
 
 
@@ -541,12 +541,12 @@ def sample_quality(spark, sf_dir):
     return tidy(recurrence.sample_quality(_probes(spark, sf_dir), "sample", "det"))
 
 
-@query(f"""with {S.SQL_CELLS}, {BULK}, v as (select row_number() over (order by donor, cell_type) - 1 as pos, mean from bulk), n as (select count(*) as n from v), s as (select rep, k, ((rep * 7 + 3) * (k * k + 1) + k) % n as idx from n, (select unnest(range(40)) as rep), (select unnest(range(30)) as k) where k < n),
+@query(f"""with {S.SQL_CELLS}, {BULK}, v as (select row_number() over (order by donor, cell_type) - 1 as pos, mean from bulk), n as (select count(*) as n from v), s as (select rep, k, ((rep * 7 + 3) * (k * k + 1) + k) % n as idx from n, (select unnest(range(40)) as rep), (select pos as k from v)),
 m as (select rep, avg(mean) as m from s join v on v.pos = s.idx group by rep) select count(m)::bigint as repeats, {r('quantile_cont(m, 0.025)', 'low')}, {r('quantile_cont(m, 0.975)', 'high')} from m""")
 def bootstrap_interval(spark, sf_dir):
     """Percentile interval of a mean under a stored schedule."""
     v = _bulk(spark, sf_dir).withColumn("pos", F.row_number().over(W.orderBy("donor", "cell_type")) - 1).select("pos", "mean")
     n = v.agg(F.count(F.lit(1)).alias("n"))
-    s = spark.range(1200).select((F.col("id") % 40).alias("rep"), F.floor(F.col("id") / 40).alias("k")).crossJoin(F.broadcast(n)).filter("k < n")
+    s = v.select(F.col("pos").cast("bigint").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("rep")).crossJoin(F.broadcast(n))
     s = s.select("rep", F.col("k").alias("pos"), (((F.col("rep") * 7 + 3) * (F.col("k") * F.col("k") + 1) + F.col("k")) % F.col("n")).alias("idx"))
     return tidy(localization.bootstrap_interval(v, "mean", s))

@@ -40,8 +40,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 first orders of each status group: days to a fixed date, event, price."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") <= 2000)
+    """All orders: days to a fixed date, event, price."""
+    o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.datediff(F.lit("1999-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("double").alias("time"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), F.col("o_totalprice").cast("double").alias("score"))
 
 
@@ -72,7 +72,7 @@ cells as (select user_id % 6 as donor, event_type as cell_type, value from event
 SQL_SURVIVAL = """
 surv as (
   select o_orderkey, cast(date_diff('day', cast(o_orderdate as date), date '1999-01-01') as double) as time, cast(o_orderstatus = 'F' as int) as event, cast(o_totalprice as double) as score
-  from orders where o_orderkey <= 2000
+  from orders
 )"""
 
 
