@@ -23,10 +23,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session, as in tests) one below /tmp/checkpoints is set.
+    Where the setting is absent, a local session (as in tests) gets one below /tmp/checkpoints; a cluster,
+    whose machines share no such folder, raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
