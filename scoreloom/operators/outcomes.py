@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.functions.stats import average_rank, normal_tail, z_score
+from scoreloom.functions.stats import average_rank, normal_tail, student_p, z_score
 
 
 def roc_auc(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
@@ -84,10 +84,11 @@ def fold_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def corrected_t(df: DataFrame, difference: str, folds: int, *keys: str) -> DataFrame:
-    """t statistic of repeated k-fold differences with variance (1/n + 1/(k - 1)) s^2."""
+    """t statistic of repeated k-fold differences with variance (1/n + 1/(k - 1)) s^2, and its two-sided p."""
     n, s2 = F.count(difference), F.var_samp(difference)
     se = F.sqrt((1 / n + F.lit(1.0 / (folds - 1))) * s2)
-    return df.groupBy(*keys).agg(n.alias("n"), F.avg(difference).alias("mean_difference"), (F.avg(difference) / F.nullif(se, F.lit(0.0))).alias("t"))
+    found = df.groupBy(*keys).agg(n.alias("n"), F.avg(difference).alias("mean_difference"), (F.avg(difference) / F.nullif(se, F.lit(0.0))).alias("t"))
+    return found.withColumn("p_value", F.when(F.col("t").isNotNull() & (F.col("n") > 1), student_p(F.col("t"), F.col("n") - 1.0)))
 
 
 def contrast_tier(mean: Column, positive: Column, low: Column) -> Column:

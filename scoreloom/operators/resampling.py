@@ -31,11 +31,18 @@ def permutation_schedule(spark: SparkSession, sizes: dict[str, int], seeds: dict
     return spark.createDataFrame(pa.concat_tables(parts)) if parts else spark.createDataFrame([], "module_label string, rep int, pos int, idx int")
 
 
-def balanced_splits(n: int, limit: int = 12) -> list[tuple[int, ...]]:
-    """All halves of n items for small n (both sides of a split appear)."""
-    if n > limit:
-        raise ValueError(f"enumeration is for at most {limit} items")
-    return list(itertools.combinations(range(n), n // 2))
+def balanced_splits(n: int, limit: int = 12, repeats: int = 1000, seed: int = 42) -> list[tuple[int, ...]]:
+    """First halves of n items: all of them for up to `limit` items, else `repeats` random ones."""
+    if n <= limit:
+        return list(itertools.combinations(range(n), n // 2))
+    rng = np.random.default_rng(seed)
+    return [tuple(sorted(rng.permutation(n)[: n // 2].tolist())) for _ in range(repeats)]
+
+
+def split_summary(found: DataFrame) -> DataFrame:
+    """Per module over splits: mean, median, exact 5 and 95 % quantiles, and the shares above 0 and 0.30."""
+    r = F.col("r")
+    return found.filter("r is not null").groupBy("module_label").agg(F.count("r").alias("n_splits"), F.avg("r").alias("mean"), F.median("r").alias("median"), F.percentile("r", F.lit(0.05)).alias("q05"), F.percentile("r", F.lit(0.95)).alias("q95"), F.avg((r > 0).cast("double")).alias("share_positive"), F.avg((r > 0.30).cast("double")).alias("share_above_030"))
 
 
 def centred_rank(value: str, *keys: str) -> Column:
@@ -107,11 +114,18 @@ def leave_one_out_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("cohort", "module_label").agg(F.min("correlation_with_full_score").alias("minimum_gene_loo_correlation"), F.median("correlation_with_full_score").alias("median_gene_loo_correlation"))
 
 
-def sign_flip(differences: DataFrame, value: str, *keys: str, slack: float = 1e-12) -> DataFrame:
-    """Exact two-sided sign-flip test of a mean over at most 20 differences per key."""
+def sign_flip(differences: DataFrame, value: str, *keys: str, slack: float = 1e-12, flips: int = 100_000, most_exact: int = 20) -> DataFrame:
+    """Two-sided sign-flip test of a mean per key: exact up to `most_exact` differences, beyond by random flips.
+
+    Random signs are bits of a hash of (flip, place), so reruns agree; then p is (hits + 1) / (flips + 1).
+    """
     n = F.size("_d")
+    exact = n <= most_exact
     base = differences.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_d"))
-    base = base.withColumn("_d", F.when(n > 20, F.raise_error(F.lit("at most 20 differences")).cast("array<double>")).otherwise(F.col("_d")))
-    flips = base.withColumns({"_obs": F.abs(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x)) / n, "_k": F.explode(F.sequence(F.lit(0), F.pow(F.lit(2.0), n).cast("int") - 1))})
-    mean = F.aggregate(F.transform("_d", lambda x, i: F.when(F.floor(F.col("_k") / F.pow(F.lit(2.0), i)) % 2 == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x) / n
-    return flips.withColumn("_hit", (F.abs(mean) >= F.col("_obs") - slack).cast("double")).groupBy(*keys).agg(F.avg("_hit").alias("p_value"), F.max(F.size("_d")).alias("n_pairs"))
+    last = F.when(exact, F.pow(F.lit(2.0), F.least(n, F.lit(most_exact))).cast("int") - 1).otherwise(flips - 1)
+    flipped = base.withColumns({"_obs": F.abs(F.aggregate("_d", F.lit(0.0), lambda a, x: a + x)) / n, "_k": F.explode(F.sequence(F.lit(0), last))})
+    minus = lambda i: F.when(exact, F.floor(F.col("_k") / F.pow(F.lit(2.0), i)) % 2 == 1).otherwise(F.pmod(F.xxhash64("_k", i), F.lit(2)) == 1)
+    mean = F.aggregate(F.transform("_d", lambda x, i: F.when(minus(i), -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x) / n
+    hits = flipped.withColumns({"_hit": (F.abs(mean) >= F.col("_obs") - slack).cast("double"), "_one": exact.cast("int")}).groupBy(*keys).agg(F.sum("_hit").alias("_h"), F.count(F.lit(1)).alias("_c"), F.max("_one").alias("_e"), F.max(F.size("_d")).alias("n_pairs"))
+    p = F.when(F.col("_e") == 1, F.col("_h") / F.col("_c")).otherwise((F.col("_h") + 1) / (F.col("_c") + 1))
+    return hits.select(*keys, p.alias("p_value"), "n_pairs")

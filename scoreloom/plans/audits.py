@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import stats, symbols
-from scoreloom.operators import alignment, inference, inventory, localization, outcomes, preservation, resampling, standardize, verify
+from scoreloom.operators import alignment, inference, inventory, localization, outcomes, preservation, resampling, stability, standardize, verify
 from scoreloom.plans import standins as S
 from scoreloom.plans.catalogue import _bulk, _genes, _probes, query, r, tidy
 
@@ -348,6 +348,91 @@ def profile_neighbours(spark, sf_dir):
     return tidy(inference.profile_neighbours(S.expression(spark, sf_dir).filter(F.col("sample_id").cast("bigint") % 10 == 0), "reference", "external"))
 
 
+def _cohort(spark, sf_dir):
+    """A cohort of 300 customers: mean order price, days of the first order, and whether one is open. A stated cohort, as the method is for hundreds."""
+    o = S.survival(spark, sf_dir).join(S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    per = o.groupBy((F.col("o_custkey") % 300).alias("sample")).agg(F.max("time").alias("time"), F.max_by("event", "o_orderkey").alias("event"), F.avg("score").alias("score"))
+    return per
+
+
+@query()
+def bootstrap_cox(spark, sf_dir):
+    """Coefficient of a hazard model under stratified draws of samples."""
+    return tidy(stability.bootstrap_cox(_cohort(spark, sf_dir), "sample", "time", "event", "score", 200))
+
+
+@query()
+def leave_one_out_cox(spark, sf_dir):
+    """Coefficient of a hazard model without each sample in turn."""
+    return tidy(stability.leave_one_out_cox(_cohort(spark, sf_dir), "sample", "time", "event", "score"))
+
+
+@query()
+def subsample_modules(spark, sf_dir):
+    """Modules found anew in 80 % of the samples, thirty times."""
+    z = standardize.standardised(standardize.normalised(S.expression(spark, sf_dir))).filter("cohort = 'external'")
+    return tidy(stability.subsample_modules(z, S.weights(spark).select("module_label", "gene"), 30, 0.8, 0.02, 3))
+
+
+@query()
+def rediscovery_null(spark, sf_dir):
+    """Frozen modules among found ones, against random panels."""
+    from scoreloom.operators import controls, recurrence
+
+    z = standardize.standardised(standardize.normalised(S.expression(spark, sf_dir)))
+    found = recurrence.gene_modules(z.filter("cohort = 'external'"), 0.02, 3).filter("module_id > 0").select(F.col("module_id").cast("string").alias("module"), "gene")
+    frozen = S.weights(spark).select("module_label", "gene")
+    panels = controls.matched_panels(spark, z.select("gene").distinct().withColumn("bin", F.lit(0)), frozen, 200, 42)
+    return tidy(stability.rediscovery_null(found, frozen, panels))
+
+
+@query()
+def panel_null(spark, sf_dir):
+    """AUC of a module's mean for the label among those of random panels."""
+    from scoreloom.operators import controls
+
+    z = standardize.standardised(standardize.normalised(S.expression(spark, sf_dir))).filter("cohort = 'external'")
+    frozen = S.weights(spark).select("module_label", "gene")
+    panels = controls.matched_panels(spark, z.select("gene").distinct().withColumn("bin", F.lit(0)), frozen, 100, 42)
+    y = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") % 4 == 1).cast("int").alias("y"))
+    own = controls.panel_scores(z, frozen.withColumn("panel", F.lit(-1))).join(y, "sample_id")
+    drawn = controls.panel_scores(z, panels).join(y, "sample_id")
+    observed = outcomes.roc_auc(own, "score", "y", "module_label").select("module_label", F.col("auc").alias("observed"))
+    return tidy(stability.panel_null(observed, outcomes.roc_auc(drawn, "score", "y", "module_label", "panel").withColumnRenamed("auc", "value"), "module_label"))
+
+
+@query()
+def component_scores(spark, sf_dir):
+    """Uncentred component scores of each module, and weights turned towards an outcome."""
+    genes = _genes(spark, sf_dir)
+    y = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.col("label").cast("double").alias("outcome"))
+    scores = stability.component_scores(genes, "external").groupBy("module_label").agg(F.count("score").alias("n_samples"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
+    turned = stability.oriented_weights(genes, y, "external").groupBy("module_label").agg(F.count(F.lit(1)).alias("n_genes"), F.sum(F.col("oriented_loading") * F.col("oriented_loading")).alias("length"))
+    return tidy(scores.join(turned, "module_label"))
+
+
+@query()
+def cross_cohort_audit(spark, sf_dir):
+    """Edges of both cohorts against a null of shifted pairings."""
+    edges = preservation.edges_by_matrix(_genes(spark, sf_dir))
+    a = edges.filter("cohort = 'reference'").select("module_label", "i", "j", F.col("r").alias("ra"))
+    b = edges.filter("cohort = 'external'").select("module_label", "i", "j", F.col("r").alias("rb"))
+    reps = a.join(b, ["module_label", "i", "j"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99))))
+    from pyspark.sql import Window as W
+
+    keys = W.partitionBy("module_label", "rep")
+    placed = reps.withColumns({"x": F.row_number().over(keys.orderBy("i", "j")), "y": F.row_number().over(keys.orderBy(F.xxhash64("rep", "i", "j"), "i", "j"))})
+    pairs = placed.select("module_label", "rep", "x", "ra").join(placed.select("module_label", "rep", F.col("y").alias("x"), "rb"), ["module_label", "rep", "x"])
+    null = stats.spearman(pairs, "ra", "rb", "module_label", "rep").withColumnRenamed("spearman", "value")
+    return tidy(inference.cross_cohort_audit(edges, null, "reference", "external"))
+
+
+@query()
+def corrected_t_p(spark, sf_dir):
+    """Corrected t with its p value."""
+    return tidy(outcomes.corrected_t(S.p_values(spark, sf_dir).withColumn("d", F.col("p_value") - 0.3), "d", 5, "family"))
+
+
 @query(f"with {S.SQL_EXPRESSION} select upper(trim(gene)) as symbol, count(*)::bigint as n from raw_expr group by 1")
 def normalised_symbols(spark, sf_dir):
     """Symbols trimmed and in capitals."""

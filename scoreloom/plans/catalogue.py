@@ -381,7 +381,7 @@ def fold_summary(spark, sf_dir):
 
 @query(f"with {S.SQL_P_VALUES}, t as (select family, count(p_value) as n, avg(p_value - 0.3) as d, sqrt((1 / cast(count(p_value) as double) + 1 / cast(4 as double)) * var_samp(p_value - 0.3)) as se from pv group by family) select family, n::bigint as n, {r('d', 'mean_difference')}, {r('d / nullif(se, 0)', 't')} from t")
 def corrected_t(spark, sf_dir):
-    return tidy(outcomes.corrected_t(S.p_values(spark, sf_dir).withColumn("d", F.col("p_value") - 0.3), "d", 5, "family"))
+    return tidy(outcomes.corrected_t(S.p_values(spark, sf_dir).withColumn("d", F.col("p_value") - 0.3), "d", 5, "family").drop("p_value"))
 
 
 @query()

@@ -145,3 +145,42 @@ def test_sample_columns(spark):
     assert sample_columns(df.withColumnRenamed("c", "GSM1"), least=1) == ["GSM1"]
     with pytest.raises(ValueError):
         sample_columns(df, least=3)
+
+
+def test_student_p(spark):
+    """Closed forms for one and two degrees of freedom, and a tabulated value."""
+    rows = [(t, 1.0, 1 - 2 / np.pi * np.arctan(t)) for t in (0.0, 0.5, 3.0, 12.706205)] + [(t, 2.0, 1 - t / np.sqrt(t * t + 2)) for t in (0.1, 2.0, 9.0)] + [(2.0, 10.0, 0.07338803)]
+    rows = [tuple(map(float, r)) for r in rows]
+    got = spark.createDataFrame(rows, "t double, df double, want double").select("want", stats.student_p(F.col("t"), F.col("df")).alias("p")).collect()
+    assert all(abs(r["p"] - r["want"]) < 1e-6 for r in got)
+
+
+def test_concordance_counts_all_pairs(spark):
+    import random
+
+    from scoreloom.operators import outcomes
+
+    r = random.Random(4)
+    rows = [(k, float(r.randint(0, 12)), r.randint(0, 1), float(r.randint(0, 6))) for k in ("a", "b") for _ in range(60)] + [("c", 1.0, 1, 2.0), ("c", 2.0, 0, None)]
+    got = {x["k"]: (x["n_pairs"], x["c_index"]) for x in outcomes.concordance(spark.createDataFrame(rows, "k string, t double, e int, s double"), "t", "e", "s", "k").collect()}
+    for k in ("a", "b"):
+        some = [x for x in rows if x[0] == k]
+        pairs = [(x, y) for x in some for y in some if x[2] and x[1] < y[1]]
+        won = sum(1.0 if x[3] > y[3] else 0.5 if x[3] == y[3] else 0.0 for x, y in pairs)
+        assert got[k][0] == len(pairs) and abs(got[k][1] - won / len(pairs)) < 1e-12
+
+
+def test_random_flips_and_splits(spark):
+    from scoreloom.operators import resampling
+
+    rows = [("many", 0.5 + (i % 5) / 10) for i in range(25)] + [("balanced", (-1.0) ** i * (1 + i // 2)) for i in range(24)] + [("few", 1.0), ("few", 2.0)]
+    got = {r["k"]: (r["p_value"], r["n_pairs"]) for r in resampling.sign_flip(spark.createDataFrame(rows, "k string, d double"), "d", "k", flips=2000).collect()}
+    assert got["few"] == (0.5, 2)
+    assert got["many"][1] == 25 and got["many"][0] <= 2 / 2001
+    assert got["balanced"] == (1.0, 24)
+    assert len(resampling.balanced_splits(6)) == 20
+    drawn = resampling.balanced_splits(14, repeats=50)
+    assert len(drawn) == 50 and all(len(set(x)) == 7 for x in drawn) and drawn == resampling.balanced_splits(14, repeats=50)
+    found = spark.createDataFrame([("m", v) for v in (-0.1, 0.2, 0.4, None)], "module_label string, r double")
+    row = resampling.split_summary(found).first()
+    assert row["n_splits"] == 3 and abs(row["share_positive"] - 2 / 3) < 1e-12 and abs(row["share_above_030"] - 1 / 3) < 1e-12
