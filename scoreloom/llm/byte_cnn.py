@@ -6,8 +6,9 @@ chunk go through a small dense layer, and the mean of the chunks' outputs, throu
 the probability of label 1.
 
 It is trained by plain gradient descent (Adam) on a bounded sample of labelled rows: at most `per_class`
-of each class with texts up to `max_chars`, in a fixed number of steps from fixed seeds, so reruns agree
-and the cost of training doesn't grow with the corpus. Scoring reads whole texts.
+of each class with texts up to `max_chars`, of which a step takes at most `most_chunks` chunks at random, in a
+fixed number of steps from fixed seeds, so reruns agree and the cost of training doesn't grow with the corpus.
+Scoring reads whole texts.
 
 Defined results: null text counts as empty; an empty text is one chunk of padding. Without both classes
 among the labelled rows every score is the labelled rows' only class (1 if there are none). Repeated rows
@@ -86,10 +87,28 @@ def chunk_outputs(net: Net, x: np.ndarray) -> np.ndarray:
 
 
 def logits(net: Net, texts: list[str | None]) -> np.ndarray:
-    parts = [chunks(t) for t in texts]
-    sizes = np.array([len(p) for p in parts])
-    outputs = chunk_outputs(net, np.concatenate(parts))
-    return np.add.reduceat(outputs, np.cumsum(sizes) - sizes) / sizes
+    """Mean output of each text's chunks. At most 256 chunks are embedded at a time, whatever the texts' lengths."""
+    sums, sizes = np.zeros(len(texts)), np.zeros(len(texts))
+    parts, owners, held = [], [], 0
+
+    def flush() -> None:
+        nonlocal parts, owners, held
+        if held:
+            np.add.at(sums, np.concatenate(owners), chunk_outputs(net, np.concatenate(parts)))
+        parts, owners, held = [], [], 0
+
+    for i, t in enumerate(texts):
+        c = chunks(t)
+        sizes[i] = len(c)
+        for at in range(0, len(c), 256):
+            part = c[at : at + 256]
+            if held + len(part) > 256:
+                flush()
+            parts.append(part)
+            owners.append(np.full(len(part), i))
+            held += len(part)
+    flush()
+    return sums / np.maximum(sizes, 1)
 
 
 def train(rows: list[tuple[str, int]], steps: int = 900, batch: int = 24, most_chunks: int = 5, rate: float = 4e-3, seed: int = 11) -> Net | None:

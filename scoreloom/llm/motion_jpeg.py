@@ -8,8 +8,10 @@ codes and bytes alternate and numpy decodes a frame at once; frames with other t
 general bit-by-bit decoder. Each block restarts the DC prediction. Blocks that the last frame lacks are
 coded as empty. Every frame is an intra frame.
 
-Shots: the frames' histograms of stored samples (16 bins) are compared; a cut stands where the L1
-difference exceeds `factor` times the running mean of the differences since the last cut, plus a floor.
+Shots: each frame is decoded to its picture (dequantised, inversely transformed) and the pictures' grey
+histograms (16 bins) are compared; a cut stands where the L1 difference exceeds `factor` times the running
+mean of the differences since the last cut, plus a floor. The transform's basis is in whole numbers, whose
+sums are exact, so pictures don't depend on the machine.
 
 Defined results: null text counts as empty: 64 zero bytes, one frame, one shot. Equal texts give equal
 values. Repeated rows stay repeated; other columns are not read.
@@ -35,6 +37,26 @@ RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 ZIGZAG = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else -p[0]))
 
 
+#: Bits behind the point of the inverse transform's basis.
+POINT = 13
+
+
+def _basis() -> np.ndarray:
+    """(64, 64): the pixels of a block that each coefficient in zigzag order adds, in units of 2^-POINT."""
+    n = np.arange(8)
+    wave = np.cos((2 * n[None] + 1) * n[:, None] * np.pi / 16) * np.where(n[:, None] == 0, np.sqrt(1 / 8), 0.5)
+    return np.array([np.rint(np.outer(wave[r], wave[c]) * (1 << POINT)).ravel() for r, c in ZIGZAG])
+
+
+BASIS = _basis()
+
+
+def picture(coefficients: np.ndarray) -> np.ndarray:
+    """Pixels (blocks, 64) of dequantised coefficients (blocks, 64) in zigzag order."""
+    level = np.floor((coefficients.astype(np.float64) @ BASIS + (1 << POINT - 1)) / (1 << POINT)) + 128
+    return np.clip(level, 0, 255).astype(np.uint8)
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -206,21 +228,39 @@ def pixels(jpeg: bytes) -> np.ndarray:
     """A square grey frame as pixels: dequantised and inversely transformed."""
     coefficients, quant = _general(jpeg)
     side = int(np.sqrt(len(coefficients)))
-    grid = np.zeros((len(coefficients), 8, 8))
-    for k, (r, c) in enumerate(ZIGZAG):
-        grid[:, r, c] = coefficients[:, k] * quant[k]
-    n = np.arange(8)
-    basis = np.cos((2 * n[None] + 1) * n[:, None] * np.pi / 16) * np.where(n[:, None] == 0, np.sqrt(1 / 8), 0.5)
-    blocks = np.einsum("uy,buv,vx->byx", basis, grid, basis) + 128
-    return np.clip(np.rint(blocks), 0, 255).astype(np.uint8).reshape(side, side, 8, 8).swapaxes(1, 2).reshape(8 * side, 8 * side)
+    return picture(coefficients * quant).reshape(side, side, 8, 8).swapaxes(1, 2).reshape(8 * side, 8 * side)
 
 
-def shots(samples: np.ndarray, factor: float = 2.0, floor: float = 0.05) -> list[tuple[int, int]]:
-    """First and last frame of each shot, of samples in frames of equal size (the last may be short)."""
+def histograms(samples: np.ndarray) -> np.ndarray:
+    """Grey histograms (frames, BINS) of the pictures of stored samples, some hundred frames at a time."""
     size = BLOCK * PER_FRAME
     n = -(-len(samples) // size)
-    which = np.arange(len(samples)) // size * BINS + samples // (256 // BINS)
-    hist = np.bincount(which, minlength=n * BINS).reshape(n, BINS)
+    out = np.zeros((n, BINS), np.int64)
+    for first in range(0, n, 256):
+        part = samples[first * size : (first + 256) * size].astype(np.float64).reshape(-1, BLOCK)
+        grey = picture(np.where(part < 128, part - 255, part))
+        frame = np.arange(grey.size) // size
+        found = np.bincount(frame * BINS + grey.ravel() // (256 // BINS)).astype(np.int64)
+        out.reshape(-1)[first * BINS : first * BINS + len(found)] = found
+    out[-1, 128 // (256 // BINS)] += n * size - len(samples)  # blocks that the last frame lacks are grey
+    return out
+
+
+def clip_histograms(frames: list[bytes], samples: np.ndarray) -> np.ndarray:
+    """The same for a clip's frames; those of other encoders are decoded one by one."""
+    if all(f.startswith(HEAD) for f in frames):
+        return histograms(samples)
+    return np.array([np.bincount(pixels(f).ravel() // (256 // BINS), minlength=BINS) for f in frames])
+
+
+def shots(samples: np.ndarray, factor: float = 2.0, floor: float = 0.05) -> list[tuple[int, int]]:
+    """First and last frame of each shot, of stored samples in frames of equal size (the last may be short)."""
+    return cuts_of(histograms(samples), factor, floor)
+
+
+def cuts_of(hist: np.ndarray, factor: float = 2.0, floor: float = 0.05) -> list[tuple[int, int]]:
+    """First and last frame of each shot, from the frames' histograms."""
+    n = len(hist)
     share = hist / hist.sum(axis=1, keepdims=True)
     moved = np.abs(np.diff(share, axis=0)).sum(axis=1).tolist()
     out, first, total, seen = [], 0, 0.0, 0
@@ -263,7 +303,8 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
                 if media is None:
                     continue
                 frames, _, rate = parse_clip(media)
-                for k, (a, b) in enumerate(shots(np.concatenate([decode_frame(f) for f in frames]))):
+                samples = np.concatenate([decode_frame(f) for f in frames])
+                for k, (a, b) in enumerate(cuts_of(clip_histograms(frames, samples))):
                     rows.append({"id": i, "clip": k, "first_frame": a, "last_frame": b, "start_s": a / rate, "end_s": (b + 1) / rate})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([batch.schema.field(0), ("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
@@ -283,7 +324,7 @@ def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             for media in batch.column(1).to_pylist():
                 frames, noted, rate = parse_clip(media)
                 samples = np.concatenate([decode_frame(f) for f in frames])
-                payload, cuts = samples.tobytes(), shots(samples)
+                payload, cuts = samples.tobytes(), cuts_of(clip_histograms(frames, samples))
                 times = ",".join(f"{a / rate:.2f}-{(b + 1) / rate:.2f}" for a, b in cuts)
                 for n, v in zip(types, (noted, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(frames)};shots={len(cuts)};{times}"), strict=True):
                     found[n].append(v)

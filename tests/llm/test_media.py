@@ -34,6 +34,42 @@ def test_shots():
     assert M.shots(a[:64]) == [(0, 0)]
 
 
+def test_histograms_are_of_decoded_pictures():
+    r = np.random.default_rng(2)
+    for n in (64, 1024, 64 * 40, 64 * 16 * 300):
+        payload = r.integers(0, 256, n, np.uint8).tobytes()
+        frames, _, _ = M.parse_clip(M.encode_clip(payload, n))
+        samples = np.concatenate([M.decode_frame(f) for f in frames])
+        got = M.clip_histograms(frames, samples)
+        some = [0, len(frames) - 1]
+        want = [np.bincount(M.pixels(frames[k]).ravel() // 16, minlength=16) for k in some]
+        assert (got[some] == want).all() and (got.sum(axis=1) == 1024).all()
+    # the transform against its definition in floating point
+    c = r.integers(-255, 256, (5, 64))
+    n = np.arange(8)
+    wave = np.cos((2 * n[None] + 1) * n[:, None] * np.pi / 16) * np.where(n[:, None] == 0, np.sqrt(1 / 8), 0.5)
+    grid = np.zeros((5, 8, 8))
+    for k, (row, col) in enumerate(M.ZIGZAG):
+        grid[:, row, col] = c[:, k]
+    want = np.clip(np.einsum("uy,buv,vx->byx", wave, grid, wave) + 128, 0, 255).reshape(5, 64)
+    assert np.abs(M.picture(c).astype(float) - want).max() <= 1.5
+
+
+def test_shots_against_plain_python():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        hist = np.concatenate([r.multinomial(1024, r.dirichlet(np.ones(16)), r.integers(1, 6)) for _ in range(4)])
+        want, first, seen = [], 0, []
+        for k in range(1, len(hist)):
+            d = sum(abs(int(a) - int(b)) for a, b in zip(hist[k], hist[k - 1])) / 1024
+            if seen and d > 2.0 * sum(seen) / len(seen) + 0.05:
+                want.append((first, k - 1))
+                first, seen = k, []
+            else:
+                seen.append(d)
+        assert M.cuts_of(hist) == [*want, (first, len(hist) - 1)]
+
+
 def test_not_avi():
     with pytest.raises(ValueError):
         M.parse_clip(b"RIFX" + bytes(20))

@@ -43,6 +43,54 @@ def test_exception_phrase():
     assert toxicity.weighed(toxicity.fold("the vermin office"), a)[0] == 3.0
 
 
+def test_matching_equals_plain_search():
+    """Entries and exception phrases by str.find at every place."""
+    r = random.Random(8)
+    words = ["ab", "abc", "abcd", "bad", "badly", "very", "x"]
+    for _ in range(300):
+        entries = {e: r.uniform(0.5, 3) for e in r.sample([" ab ", " abc", " bad", " bad ", " badi", " x "], 4)}
+        exceptions = r.sample([" very bad ", " x ab ", " bad x "], 2)
+        text = toxicity.fold(" ".join(r.choice(words) for _ in range(r.randint(0, 60))))
+        found = {}
+        for e, w in entries.items():
+            for i in range(len(text)):
+                if text.startswith(e, i):
+                    found[i] = max(w, found.get(i, 0.0))
+        for e in exceptions:
+            for i in range(len(text)):
+                if text.startswith(e, i):
+                    for k in range(i, i + len(e) - 1):
+                        found.pop(k, None)
+        got = toxicity.weighed(text, toxicity.Lexicon(entries, exceptions).automaton())
+        assert abs(got[0] - sum(found.values())) < 1e-9 and got[1] == text.count(" ")
+
+
+def test_network_equals_plain_loops():
+    """Chunks, filters, maxima and the mean, one window at a time."""
+    net, r = byte_cnn.start(3), random.Random(2)
+    texts = ["", "short", "é" * 300, "".join(r.choice("abc def") for _ in range(1200))]
+    for t, got in zip(texts, byte_cnn.logits(net, texts)):
+        raw, hop, outs, at = list(t.encode()), byte_cnn.CHUNK - byte_cnn.OVERLAP, [], 0
+        while True:
+            part = raw[at : at + byte_cnn.CHUNK]
+            part += [256] * (byte_cnn.CHUNK - len(part))
+            best = np.full(byte_cnn.FILTERS, -np.inf)
+            for w in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+                best = np.maximum(best, np.concatenate([net.embed[b] for b in part[w : w + byte_cnn.WIDTH]]) @ net.filters + net.bias)
+            hidden = np.maximum(np.maximum(best, 0) @ net.dense + net.dense_bias, 0)
+            outs.append(float(hidden @ net.out + net.out_bias[0]))
+            if at + byte_cnn.CHUNK >= len(raw):
+                break
+            at += hop
+        assert abs(got - np.mean(outs)) < 1e-4
+
+
+def test_long_and_short_texts_score_alike_together_and_alone():
+    net, r = byte_cnn.start(4), random.Random(3)
+    texts = ["".join(r.choice("abcdefg ") for _ in range(n)) for n in (10, 300_000, 0, 700, 5000)]
+    assert np.allclose(byte_cnn.logits(net, texts), [byte_cnn.logits(net, [t])[0] for t in texts], atol=1e-6)
+
+
 def test_fold():
     assert toxicity.fold("Ｈ3llo, wоrld! 1d10t").split() == ["heiio", "worid", "idiot"]
     assert toxicity.fold("really! a|b").split()[0] == "reaiiy"
