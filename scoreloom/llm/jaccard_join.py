@@ -6,9 +6,8 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
 
 1. Equal sets form a class; from here on only one document of each class counts.
 2. n-grams are ordered: frequent ones (repeated passages, boilerplate) behind all others, the rest by hash.
-   Frequent is what more than SMALL documents of the whole table hold among the first n-grams by hash, a
-   stretch somewhat longer than a prefix; other n-grams can't come into many prefixes. The counts are added
-   up by a shuffle; up to BROADCAST_GRAMS frequent ones go to every task, more of them meet the documents'
+   Frequent is what more than SMALL documents of the whole table hold (equal sets of a scan batch count
+   once). The counts are added up by a shuffle; up to BROADCAST_GRAMS frequent ones go to every task, more of them meet the documents'
    n-grams in a join. The order affects the cost, never the result. A set's prefix are its first
    |A| - ceil(s |A|) + 1 n-grams; sets that reach s share one in their prefixes.
 3. Documents are gathered by prefix n-gram. In a small gathering every pair within the size bounds (total
@@ -63,8 +62,8 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
-def frequent(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """n-grams that more than SMALL documents hold among their first ones by hash: column gram.
+def frequent(docs: DataFrame, width: int) -> DataFrame:
+    """n-grams that more than SMALL documents hold: column gram.
 
     Counted over the whole table, added up before and after the shuffle.
     """
@@ -76,8 +75,7 @@ def frequent(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 key = hash(s.tobytes())
                 if len(s) and key not in seen:
                     seen.add(key)
-                    p = len(s) - least_common(len(s), percent) + 1
-                    parts.append(s[: p + p // 2 + 16])
+                    parts.append(s)
             if parts:
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
@@ -200,7 +198,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    often = materialise(frequent(docs, width, percent), "frequent")
+    often = materialise(frequent(docs, width), "frequent")
     if often.count() <= BROADCAST_GRAMS:
         common = np.sort(np.array([r["gram"] for r in often.collect()], np.int64).view(np.uint64))
         found = prefixes(docs, common, width, percent)
