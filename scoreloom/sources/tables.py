@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import finite
@@ -67,6 +68,21 @@ def artifact(records: DataFrame, name: str) -> dict:
     return found[0].asDict(recursive=True)
 
 
+def artifact_path(spark: SparkSession, record: dict, root: str) -> str:
+    """The place of a record's file below a root folder; a missing one raises FileNotFoundError."""
+    from py4j.protocol import Py4JJavaError
+
+    path = record["path"] if "://" in record["path"] else f"{root.rstrip('/')}/{record['path']}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    except Py4JJavaError:
+        there = False
+    if not there:
+        raise FileNotFoundError(path)
+    return path
+
+
 def first_column(df: DataFrame, candidates: list[str]) -> str:
     """The first candidate that is a column."""
     for c in candidates:
@@ -92,16 +108,24 @@ def cell_matrix(spark: SparkSession, path: str, genes: list[str], sep: str = "\t
     rows = lines.withColumn("gene", F.upper(F.trim(F.substring_index("value", sep, 1)))).filter(F.col("gene").isin([g.upper() for g in genes]))
     cells = rows.withColumn("v", F.split("value", sep)).crossJoin(F.broadcast(names))
     checked = cells.withColumn("v", F.when(F.size("v") != F.size("names"), F.raise_error(F.concat(F.lit("row length differs: "), F.col("gene"))).cast("array<string>")).otherwise(F.col("v")))
-    long = checked.select("gene", F.posexplode(F.slice("v", 2, 1 << 30)).alias("k", "x"), "names").select("gene", F.get("names", F.col("k") + 1).alias("cell_id"), F.expr("try_cast(x as float)").alias("value"))
+    # name and value go together, so that no cell carries the list of names
+    pairs = F.arrays_zip(F.slice("names", 2, 1 << 30).alias("cell_id"), F.slice("v", 2, 1 << 30).alias("x"))
+    long = checked.select("gene", F.explode(pairs).alias("c")).select("gene", "c.cell_id", F.expr("try_cast(c.x as float)").alias("value"))
     return long.groupBy("cell_id", "gene").agg(F.avg("value").alias("value"))
 
 
 def cases(df: DataFrame, id_col: str = "case_id", follow_ups: str = "follow_ups") -> DataFrame:
-    """One row per case from nested records: first status, longest follow-up, death before follow-up."""
+    """One row per case from nested records: first status, longest follow-up, death before follow-up.
+
+    `vital_states` are the sorted distinct states, ;-joined. Of records with one id the first stays, by status and time.
+    """
+    states = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(follow_ups, lambda f: f["vital_status"]), lambda x: x.isNotNull() & (x != "")))), ";")
     status = F.try_element_at(F.filter(F.transform(follow_ups, lambda f: f["vital_status"]), lambda x: x.isNotNull() & (x != "")), F.lit(1))
     longest = F.array_max(F.transform(follow_ups, lambda f: f["days_to_follow_up"]))
     death = F.array_max(F.transform(follow_ups, lambda f: f["days_to_death"]))
-    return df.select(id_col, status.alias("vital_status"), F.coalesce(death, longest).cast("double").alias("time_days"), (F.lower(status) == "dead").cast("int").alias("event"))
+    rows = df.select(id_col, status.alias("vital_status"), F.coalesce(death, longest).cast("double").alias("time_days"), (F.lower(status) == "dead").cast("int").alias("event"), states.alias("vital_states"))
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col("vital_status").asc_nulls_last(), F.col("time_days").desc_nulls_last()))
+    return rows.withColumn("_n", first).filter("_n = 1").drop("_n")
 
 
 def sample_columns(df: DataFrame, pattern: str = r"^CCB\d+|^GSM\d+", least: int = 30, least_numeric: float = 0.95) -> list[str]:

@@ -59,3 +59,59 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "cells.tsv").write_text("gene\tc1\tc2\nA\t1\t2\nA\t3\t4\nB\t9\t9\n")
     cells = {(r["cell_id"], r["gene"]): r["value"] for r in tables.cell_matrix(spark, f"file://{tmp_path}/cells.tsv", ["a"]).collect()}
     assert cells == {("c1", "A"): 2.0, ("c2", "A"): 3.0}
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    import json
+
+    from scoreloom.sources import sinks, tables
+
+    (tmp_path / "in").mkdir()
+    for name, data in (("a.bin", b"\x00\xff\r\n"), ("b.bin", b"x")):
+        (tmp_path / "in" / name).write_bytes(data)
+    copied = sinks.verified_copy(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    assert {r["name"]: r["agree"] for r in copied} == {"a.bin": True, "b.bin": True}
+    assert (tmp_path / "out" / "a.bin").read_bytes() == b"\x00\xff\r\n"
+    df = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "` ` string, x double")
+    sinks.indexed_csv(df, f"file://{tmp_path}/csv")
+    assert spark.read.csv(f"file://{tmp_path}/csv", header=True).columns == ["sample_id", "x"]
+    a, b = (json.loads(sinks.manifest({}, {"t": d}, {}, {}))["inputs"]["t"] for d in (df, df.orderBy("x", ascending=False)))
+    assert a == b and a["rows"] == 2
+    assert tables.artifact_path(spark, {"path": "in/a.bin"}, f"file://{tmp_path}").endswith("in/a.bin")
+    with pytest.raises(FileNotFoundError):
+        tables.artifact_path(spark, {"path": "in/none"}, f"file://{tmp_path}")
+    nested = spark.createDataFrame([("c", [("Dead", 5, 3), ("Alive", 9, None)]), ("c", [(None, 1, None)]), ("d", [])], "case_id string, follow_ups array<struct<vital_status:string,days_to_follow_up:int,days_to_death:int>>")
+    got = {r["case_id"]: (r["vital_status"], r["time_days"], r["event"], r["vital_states"]) for r in tables.cases(nested).collect()}
+    assert got == {"c": ("Dead", 3.0, 1, "Alive;Dead"), "d": (None, None, None, "")}
+
+
+def test_alignment_errors(spark):
+    from scoreloom.operators import alignment, inventory
+
+    a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "k string, v double")
+    assert alignment.aligned(a, a, ["k"]).count() == 2
+    with pytest.raises(Exception, match="align"):
+        alignment.aligned(a, a.filter("k = 'x'"), ["k"]).collect()
+    with pytest.raises(Exception, match="align"):
+        alignment.aligned(a, a.unionByName(a), ["k"]).collect()
+    with pytest.raises(ValueError):
+        alignment.aligned(a, a.withColumnRenamed("v", "w"), ["k"])
+    with pytest.raises(Exception, match="missing or repeated"):
+        alignment.fixed_order(a, "k", ["y", "z"]).collect()
+    found = alignment.cardinality(spark.createDataFrame([("l1", "d1"), ("l2", "d1"), ("l3", "d2")], "lib string, donor string"), "lib", "donor")
+    assert alignment.checked_cardinality(found, 3, 2, "1/2").count() == 1
+    with pytest.raises(Exception, match="cardinality"):
+        alignment.checked_cardinality(found, 3, 2, "2/2").collect()
+    with pytest.raises(ValueError):
+        inventory.typed_comparison(a, a, ["k"], {"v": "near"})
+
+
+def test_inference_table(spark):
+    """Fifteen columns and the joint family, with p values from the counts."""
+    from scoreloom.plans import audits
+
+    rows = audits.inference_table(spark, SF).collect()
+    assert len(rows[0]) == 16 and {r["direct_permutation_family_size"] for r in rows} == {2 * len(rows)}
+    for r in rows:
+        for k in ("edge", "loading"):
+            assert abs(r[f"{k}_permutation_p"] - (r[f"{k}_extreme_count"] + 1) / 5001) < 1e-9 and r[f"{k}_q_bh_8"] >= r[f"{k}_permutation_p"] - 1e-9
