@@ -1,9 +1,7 @@
-"""Outcome association: rank statistics, concordance, residuals and small regression models."""
+"""Outcome association: rank statistics, concordance and residuals."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,63 +92,3 @@ def corrected_t(df: DataFrame, difference: str, folds: int, *keys: str) -> DataF
 def contrast_tier(mean: Column, positive: Column, low: Column) -> Column:
     """Ordered descriptive tiers of a model contrast."""
     return F.when((mean >= 0.02) & (positive >= 0.75) & (low > 0), "consistent_gain").when((mean >= 0.01) & (positive >= 0.6), "modest_gain").when(mean > 0, "small_gain").otherwise("no_gain")
-
-
-def _newton(gradient, size: int, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    beta = np.zeros(size)
-    for _ in range(steps):
-        g, h = gradient(beta)
-        step = np.linalg.solve(h, g)
-        beta = beta - step
-        if np.abs(step).max() < 1e-10:
-            break
-    return beta, np.linalg.inv(gradient(beta)[1])
-
-
-def logistic(df: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
-    """Odds ratio per SD of the score with a Wald interval, one fit per key (a cohort fits in one group)."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[label, score])
-        head = [frame[k].iloc[0] for k in keys] if len(frame) else [None for _ in keys]
-        y, s = frame[label].to_numpy(float), frame[score].to_numpy(float)
-        out = dict(zip(keys, head, strict=True)) | {"n": len(y), "odds_ratio": None, "low": None, "high": None}
-        if len(y) >= 10 and 0 < y.sum() < len(y) and s.std() > 0:
-            x = np.column_stack([np.ones(len(y)), (s - s.mean()) / s.std(ddof=1)])
-
-            def gradient(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-                return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2)
-
-            beta, cov = _newton(gradient, 2)
-            half = 1.96 * np.sqrt(cov[1, 1])
-            out |= {"odds_ratio": np.exp(beta[1]), "low": np.exp(beta[1] - half), "high": np.exp(beta[1] + half)}
-        return pd.DataFrame([out])
-
-    types = dict(df.dtypes)
-    return df.select(*keys, label, score).groupBy(*keys).applyInPandas(fit, ", ".join([f"{k} {types[k]}" for k in keys] + ["n bigint", "odds_ratio double", "low double", "high double"]))
-
-
-def cox(df: DataFrame, time: str, event: str, score: str, *keys: str, penalty: float = 0.0) -> DataFrame:
-    """Hazard ratio per SD (Breslow ties) with a Wald interval, one fit per key."""
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[time, event, score]).sort_values(time, ascending=False, kind="stable")
-        out = {k: frame[k].iloc[0] if len(frame) else None for k in keys} | {"n": len(frame), "events": int(frame[event].sum()), "hazard_ratio": None, "low": None, "high": None}
-        s = frame[score].to_numpy(float)
-        if len(s) >= 20 and out["events"] >= 5 and s.std() > 0:
-            x, e, t = (s - s.mean()) / s.std(ddof=1), frame[event].to_numpy(float), frame[time].to_numpy(float)
-            last = np.searchsorted(-t, -t, side="right") - 1  # the risk set ends with the ties of a time
-
-            def gradient(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                w = np.exp(np.clip(x * b[0], -50, 50))
-                s0, s1, s2 = (np.cumsum(v)[last] for v in (w, w * x, w * x * x))
-                return np.array([-(e * (x - s1 / s0)).sum() + penalty * b[0]]), np.array([[(e * (s2 / s0 - (s1 / s0) ** 2)).sum() + penalty]])
-
-            beta, cov = _newton(gradient, 1)
-            half = 1.96 * np.sqrt(cov[0, 0])
-            out |= {"hazard_ratio": np.exp(beta[0]), "low": np.exp(beta[0] - half), "high": np.exp(beta[0] + half)}
-        return pd.DataFrame([out])
-
-    types = dict(df.dtypes)
-    return df.select(*keys, time, event, score).groupBy(*keys).applyInPandas(fit, ", ".join([f"{k} {types[k]}" for k in keys] + ["n bigint", "events bigint", "hazard_ratio double", "low double", "high double"]))

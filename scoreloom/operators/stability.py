@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import safe_corr
-from scoreloom.operators.outcomes import cox
+from scoreloom.operators.models import cox
 from scoreloom.operators.recurrence import gene_modules
 from scoreloom.operators.sets import overlap
 
@@ -29,7 +29,7 @@ def stratified_draws(rows: DataFrame, item: str, stratum: str, repeats: int, see
 def bootstrap_cox(rows: DataFrame, item: str, time: str, event: str, score: str, repeats: int = 200, seed: int = 42) -> DataFrame:
     """One row: repeats with a fit, median and 95 % interval of the coefficient, and the share above 0."""
     draws = stratified_draws(rows, item, event, repeats, seed)
-    fits = cox(draws.join(rows.select(item, time, event, score), item), time, event, score, "rep").withColumn("b", F.ln("hazard_ratio"))
+    fits = cox(draws.join(rows.select(item, time, event, score), item), time, event, score, "rep").withColumn("b", F.col("coef"))
     return fits.filter("b is not null").agg(F.count("b").alias("repeats"), F.median("b").alias("median"), F.percentile("b", F.lit(0.025)).alias("low"), F.percentile("b", F.lit(0.975)).alias("high"), F.avg((F.col("b") > 0).cast("double")).alias("share_positive"))
 
 
@@ -40,7 +40,7 @@ def leave_one_out_cox(rows: DataFrame, item: str, time: str, event: str, score:
     """
     left = rows.select(F.col(item).alias("_left"))
     kept = rows.select(item, time, event, score).join(left, F.col(item) != F.col("_left"))
-    fits = cox(kept, time, event, score, "_left").withColumn("b", F.ln("hazard_ratio"))
+    fits = cox(kept, time, event, score, "_left").withColumn("b", F.col("coef"))
     return fits.agg(F.count("b").alias("n_fits"), F.min("b").alias("smallest"), F.max("b").alias("largest"), (F.signum(F.min("b")) == F.signum(F.max("b"))).alias("sign_holds"))
 
 

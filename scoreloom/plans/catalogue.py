@@ -384,16 +384,6 @@ def corrected_t(spark, sf_dir):
     return tidy(outcomes.corrected_t(S.p_values(spark, sf_dir).withColumn("d", F.col("p_value") - 0.3), "d", 5, "family").drop("p_value"))
 
 
-@query()
-def logistic(spark, sf_dir):
-    return tidy(outcomes.logistic(_labelled(spark, sf_dir), "y", "score", "lang"))
-
-
-@query()
-def cox(spark, sf_dir):
-    return tidy(outcomes.cox(S.survival(spark, sf_dir).withColumn("cohort", F.lit("all")), "time", "event", "score", "cohort"))
-
-
 # ---- bins, ranks, sets ------------------------------------------------------------------------------
 
 
