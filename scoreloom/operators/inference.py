@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import average_rank, benjamini_hochberg, empirical_p, normal_tail, safe_corr
+from scoreloom.operators.outcomes import contrast_tier
 from scoreloom.operators.preservation import edge_preservation, loading_preservation
 from scoreloom.operators.resampling import centred_rank, leave_one_out, leave_one_out_summary, permutation_seeds, split_half_summary
 
@@ -99,33 +100,31 @@ def reliability_table(halves: DataFrame, genes: DataFrame, weights: DataFrame, m
     return rows.fillna(0, ["n_common_genes", "split_half_valid_repeats"])
 
 
-def cross_cohort_audit(edges: DataFrame, null: DataFrame, reference: str, external: str) -> DataFrame:
-    """Observed edge Spearman per module against null values (module_label, rep, value): one- and two-sided p,
-    share of edges of one sign, and the mean and 95 % quantile of the null."""
-    observed = edge_preservation(edges, reference, external).withColumnRenamed("spearman", "observed")
-    a = edges.filter(F.col("cohort") == reference).select("module_label", "i", "j", F.col("r").alias("ra"))
-    b = edges.filter(F.col("cohort") == external).select("module_label", "i", "j", F.col("r").alias("rb"))
-    signs = a.join(b, ["module_label", "i", "j"]).filter("ra != 0 and rb != 0").groupBy("module_label").agg(F.avg((F.signum("ra") == F.signum("rb")).cast("double")).alias("sign_concordance"))
-    v, o = F.col("value"), F.col("observed")
-    n = F.count("value")
-    tested = null.join(observed, "module_label").groupBy("module_label").agg(F.max("observed").alias("observed"), n.alias("n_null"), ((F.count(F.when(v >= o, 1)) + 1) / (n + 1)).alias("p_one_sided"), ((F.count(F.when(F.abs(v) >= F.abs(o), 1)) + 1) / (n + 1)).alias("p_two_sided"), F.avg("value").alias("null_mean"), F.percentile("value", F.lit(0.95)).alias("null_q95"))
-    return tested.join(signs, "module_label", "left")
-
-
-def signed_rank(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Wilcoxon signed-rank test per key: n non-zero differences, the rank sum of positive ones, normal two-sided and greater p.
+def signed_rank(df: DataFrame, value: str, *keys: str, most_exact: int = 50) -> DataFrame:
+    """Wilcoxon signed-rank test per key: n non-zero differences, the rank sum of positive ones, two-sided and greater p.
 
-    Zeros are left out; ties take average ranks and reduce the variance.
+    Zeros are left out; ties take average ranks. Up to `most_exact` differences (50 at most, while counts are whole
+    numbers in a double) p is exact: the sign choices that give each sum of doubled ranks are counted one rank at a time. Beyond, it is normal,
+    with the variance reduced by ties.
     """
+    if not 0 <= most_exact <= 50:
+        raise ValueError("most_exact must lie between 0 and 50")
     some = df.filter(F.col(value).isNotNull() & (F.col(value) != 0)).withColumn("_abs", F.abs(value))
-    ranked = some.withColumns({"_r": average_rank("_abs", *keys), "_t": F.count(F.lit(1)).over(W.partitionBy(*keys, "_abs"))})
+    ranked = some.withColumns({"_r": average_rank("_abs", *keys), "_t": F.count(F.lit(1)).over(W.partitionBy(*keys, "_abs")), "_few": F.count(F.lit(1)).over(W.partitionBy(*keys)) <= most_exact})
     t = F.col("_t").cast("double")
-    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(value) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(t * t - 1).alias("_ties"))
-    n = F.col("n").cast("double")
+    doubled = F.collect_list(F.when(F.col("_few"), (2 * F.col("_r")).cast("int")))
+    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(value) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(t * t - 1).alias("_ties"), F.sort_array(doubled).alias("_d"))
+    n, w2 = F.col("n").cast("double"), F.col("w_plus") * 2
+    start = F.transform(F.sequence(F.lit(0).cast("int"), (n * (n + 1)).cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    ways = F.aggregate("_d", start, lambda c, d: F.transform(c, lambda x, i: x + F.when(i >= d, F.get(c, i - d)).otherwise(0.0)))
+    sums = sums.withColumn("_ways", F.when(n <= most_exact, ways))
+    add = lambda keep: F.aggregate(F.transform("_ways", lambda x, i: F.when(keep(i), x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n)
+    above, below = add(lambda i: i >= w2), add(lambda i: i <= w2)
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))
     tail = normal_tail(z)
-    return sums.withColumns({"p_two_sided": F.least(F.lit(1.0), 2 * tail), "p_greater": F.when(z >= 0, tail).otherwise(1 - tail)}).drop("_ties")
+    few = n <= most_exact
+    return sums.withColumns({"p_two_sided": F.least(F.lit(1.0), 2 * F.when(few, F.least(above, below)).otherwise(tail)), "p_greater": F.when(few, above).otherwise(F.when(z >= 0, tail).otherwise(1 - tail))}).drop("_ties", "_d", "_ways")
 
 
 def sign_test(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -182,20 +181,4 @@ def contrast_tiers(folds: DataFrame, contrasts: list[tuple[str, str]], schedule:
     low = drawn.groupBy(*keys, "rep").agg(F.avg("delta").alias("m")).groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"))
     rows = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_repeats"), F.avg("delta").alias("mean_delta"), F.avg((F.col("delta") > 0).cast("double")).alias("fraction_positive")).join(low, keys, "left").join(signed_rank(pairs, "delta", *keys).select(*keys, F.col("p_two_sided").alias("p_value")), keys, "left")
     rows = benjamini_hochberg(rows.withColumn("_o", F.concat_ws("/", "module_label", "model_a", "model_b")), "p_value", "endpoint", order="_o").drop("_o")
-    d, f = F.col("mean_delta"), F.col("fraction_positive")
-    tier = F.when((d >= 0.02) & (f >= 0.75) & (F.col("ci_low") > 0), "strong").when((d >= 0.01) & (f >= 0.60), "moderate").when(d > 0, "weak").otherwise("none")
-    return rows.withColumn("support", tier)
-
-
-def profile_neighbours(expr: DataFrame, reference: str, external: str, rank_hard: float = 0.995, centred_hard: float = 0.98, rank_joint: float = 0.985, centred_joint: float = 0.90) -> DataFrame:
-    """Nearest reference profile of each external sample, by correlation of ranks and of gene-centred values.
-
-    Correlations of sample pairs come from a join on the gene: samples of both cohorts, not rows of a corpus.
-    A pair is suspect where one correlation reaches its hard limit, or both their joint ones.
-    """
-    centred = expr.withColumns({"c": F.col("value") - F.avg("value").over(W.partitionBy("cohort", "gene")), "k": average_rank("value", "cohort", "sample_id")})
-    a = centred.filter(F.col("cohort") == external).select("gene", F.col("sample_id").alias("sample"), F.col("c").alias("ca"), F.col("k").alias("ka"))
-    b = centred.filter(F.col("cohort") == reference).select("gene", F.col("sample_id").alias("nearest"), F.col("c").alias("cb"), F.col("k").alias("kb"))
-    pairs = a.join(b, "gene").groupBy("sample", "nearest").agg(safe_corr("ka", "kb").alias("rank_r"), safe_corr("ca", "cb").alias("centred_r"))
-    suspect = (F.col("rank_r") >= rank_hard) | (F.col("centred_r") >= centred_hard) | ((F.col("rank_r") >= rank_joint) & (F.col("centred_r") >= centred_joint))
-    return pairs.groupBy("sample").agg(F.max("rank_r").alias("maximum_rank_r"), F.max("centred_r").alias("maximum_centred_r"), F.max(suspect.cast("int")).cast("boolean").alias("suspect"))
+    return rows.withColumn("support", contrast_tier(F.col("mean_delta"), F.col("fraction_positive"), F.col("ci_low")))

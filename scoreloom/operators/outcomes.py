@@ -91,4 +91,4 @@ def corrected_t(df: DataFrame, difference: str, folds: int, *keys: str) -> DataF
 
 def contrast_tier(mean: Column, positive: Column, low: Column) -> Column:
     """Ordered descriptive tiers of a model contrast."""
-    return F.when((mean >= 0.02) & (positive >= 0.75) & (low > 0), "consistent_gain").when((mean >= 0.01) & (positive >= 0.6), "modest_gain").when(mean > 0, "small_gain").otherwise("no_gain")
+    return F.when((mean >= 0.02) & (positive >= 0.75) & (low > 0), "strong_descriptive_support").when((mean >= 0.01) & (positive >= 0.6), "moderate_descriptive_support").when(mean > 0, "weak_positive_descriptive_support").otherwise("no_consistent_positive_support")

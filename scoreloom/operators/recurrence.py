@@ -29,23 +29,40 @@ def spearman_matrix(x: np.ndarray) -> np.ndarray:
 
 
 def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
-    """Labels of average-linkage clusters joined up to a distance of `cut`."""
+    """Labels of average-linkage clusters joined up to a distance of `cut`: each cluster's smallest place.
+
+    Chains of nearest neighbours: clusters that are each other's nearest are joined at once, as no later join
+    brings them closer to others; time goes with the square of the number. A cluster without a neighbour
+    within the cut is finished.
+    """
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if d[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == label[j]] = label[i]
-        alive[j] = False
+    size, label = np.ones(n), np.arange(n)
+    members = [[i] for i in range(n)]
+    for start in range(n):
+        chain = [start] if label[start] == start and d[start].min() <= cut else []
+        while chain:
+            x = chain[-1]
+            y = int(np.argmin(d[x]))
+            if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+                y = chain[-2]
+            if d[x, y] > cut:
+                d[x], d[:, x] = np.inf, np.inf
+                chain.pop()
+            elif len(chain) > 1 and y == chain[-2]:
+                i, j = min(x, y), max(x, y)
+                merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+                d[j], d[:, j] = np.inf, np.inf
+                merged[[i, j]] = np.inf
+                d[i], d[:, i] = merged, merged
+                size[i] += size[j]
+                members[i] += members[j]
+                label[members[j]] = i
+                del chain[-2:]
+                chain = chain or [i]
+            else:
+                chain.append(y)
     return label
 
 

@@ -57,11 +57,16 @@ def loading_permutation(pairs: DataFrame, schedule: DataFrame) -> DataFrame:
     """
     ranked = pairs.select("module_label", "pos", centred_rank("external", "module_label").alias("re"), centred_rank("frozen", "module_label").alias("rf"))
     observed = ranked.groupBy("module_label").agg(safe_corr("re", "rf").alias("observed"), F.abs(F.sum(F.col("re") * F.col("rf"))).alias("bound"))
-    shuffled = schedule.join(ranked.select("module_label", F.col("pos").alias("idx"), "re"), ["module_label", "idx"]).join(ranked.select("module_label", "pos", "rf"), ["module_label", "pos"])
-    null = shuffled.groupBy("module_label", "rep").agg(F.abs(F.sum(F.col("re") * F.col("rf"))).alias("value"))
+    null = permuted_loadings(ranked, schedule).withColumn("value", F.abs("value"))
     return _counted(observed, null)
 
 
+def permuted_loadings(ranked: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Sums of products of ranks (module_label, pos, re, rf) with `re` shuffled: module_label, rep, value."""
+    shuffled = schedule.join(ranked.select("module_label", F.col("pos").alias("idx"), "re"), ["module_label", "idx"]).join(ranked.select("module_label", "pos", "rf"), ["module_label", "pos"])
+    return shuffled.groupBy("module_label", "rep").agg(F.sum(F.col("re") * F.col("rf")).alias("value"))
+
+
 def edge_permutation(edges: DataFrame, schedule: DataFrame, reference: str, external: str) -> DataFrame:
     """The same for gene labels: rows and columns of the external correlations are permuted together.
 
@@ -71,11 +76,16 @@ def edge_permutation(edges: DataFrame, schedule: DataFrame, reference: str, exte
     a = edges.filter(F.col("cohort") == reference).select("module_label", "i", "j", centred_rank("r", "module_label").alias("rr"))
     b = edges.filter(F.col("cohort") == external).select("module_label", "i", "j", centred_rank("r", "module_label").alias("re"))
     observed = a.join(b, ["module_label", "i", "j"]).groupBy("module_label").agg(safe_corr("rr", "re").alias("observed"), F.abs(F.sum(F.col("rr") * F.col("re"))).alias("bound"))
+    null = permuted_edges(a, b, schedule).withColumn("value", F.abs("value"))
+    return _counted(observed, null)
+
+
+def permuted_edges(a: DataFrame, b: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Sums of products of edge ranks `rr` of a and `re` of b (module_label, i, j), a's genes sent elsewhere: module_label, rep, value."""
     to = schedule.select("module_label", "rep", F.col("pos"), F.col("idx"))
     sent = a.join(to.select("module_label", "rep", F.col("pos").alias("i"), F.col("idx").alias("pi")), ["module_label", "i"]).join(to.select("module_label", "rep", F.col("pos").alias("j"), F.col("idx").alias("pj")), ["module_label", "rep", "j"])
     sent = sent.select("module_label", "rep", "rr", F.least("pi", "pj").alias("i"), F.greatest("pi", "pj").alias("j"))
-    null = sent.join(b, ["module_label", "i", "j"]).groupBy("module_label", "rep").agg(F.abs(F.sum(F.col("rr") * F.col("re"))).alias("value"))
-    return _counted(observed, null)
+    return sent.join(b, ["module_label", "i", "j"]).groupBy("module_label", "rep").agg(F.sum(F.col("rr") * F.col("re")).alias("value"))
 
 
 def _counted(observed: DataFrame, null: DataFrame) -> DataFrame:

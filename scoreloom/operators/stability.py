@@ -77,12 +77,6 @@ def rediscovery_null(found: DataFrame, frozen: DataFrame, panels: DataFrame) ->
     return rows.crossJoin(every).groupBy("module_label", "f1").agg(F.count(F.lit(1)).alias("n_panels"), ((F.count(F.when(F.col("v") >= F.col("f1"), 1)) + 1) / (F.count(F.lit(1)) + 1.0)).alias("p_value"))
 
 
-def panel_null(observed: DataFrame, null: DataFrame, *keys: str) -> DataFrame:
-    """Observed statistics (keys, observed) among those of matched panels (keys, panel, value): mean, 95 % quantile, p values."""
-    v, o, n = F.col("value"), F.col("observed"), F.count("value")
-    return null.join(observed, list(keys)).groupBy(*keys).agg(F.max("observed").alias("observed"), n.alias("n_panels"), F.avg("value").alias("null_mean"), F.percentile("value", F.lit(0.95)).alias("null_q95"), ((F.count(F.when(v >= o, 1)) + 1) / (n + 1)).alias("p_greater"), ((F.count(F.when(F.abs(v - 0.5) >= F.abs(o - 0.5), 1)) + 1) / (n + 1)).alias("p_two_sided"))
-
-
 def component_scores(genes: DataFrame, cohort: str, anchor: str | None = None) -> DataFrame:
     """First singular vector of uncentred z per module as sample scores, standardised: module_label, sample_id, score.
 

@@ -309,15 +309,6 @@ def reliability_table(spark, sf_dir):
     return tidy(inference.reliability_table(resampling.split_half(placed, schedule), genes, S.weights(spark)))
 
 
-@query(f"""with {S.SQL_P_VALUES}, d as (select family, p_value - 0.3 as d, abs(p_value - 0.3) as a from pv where p_value is not null and p_value != 0.3), k as (select *, {S.sql_rank('a', 'family')} as k, cast(count(*) over (partition by family, a) as double) as t from d),
-s as (select family, count(*) as n, sum(case when d > 0 then k else 0 end) as w, sum(t * t - 1) as ties from k group by family), z as (select *, (w - n * (n + 1) / cast(4 as double)) / nullif(sqrt(cast(n as double) * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) as z from s), x as (select *, 1 / (1 + cast(0.2316419 as double) * abs(z)) as t from z),
-y as (select *, exp(-z * z / 2) * cast(0.3989422804014327 as double) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) as tail from x)
-select family, n::bigint as n, {r('w', 'w_plus')}, {r('least(1, 2 * tail)', 'p_two_sided')}, {r('case when z >= 0 then tail else 1 - tail end', 'p_greater')} from y""")
-def signed_rank(spark, sf_dir):
-    """Wilcoxon signed-rank test within families."""
-    return tidy(inference.signed_rank(S.p_values(spark, sf_dir).withColumn("d", F.col("p_value") - 0.3), "d", "family"))
-
-
 @query(f"""with {S.SQL_P_VALUES}, s as (select family, count(*) as n, count(case when p_value > 0.3 then 1 end) as k from pv where p_value is not null and p_value != 0.3 group by family), t as (select *, least(k, n - k) as lo from s)
 select family, n::bigint as n, k::bigint as n_positive, {r('least(1, 2 * (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) from range(0, lo + 1) u(i)))', 'p_two_sided')} from t where n <= 1000""")
 def sign_test(spark, sf_dir):
@@ -341,13 +332,6 @@ def contrast_tiers(spark, sf_dir):
     return tidy(inference.contrast_tiers(li, [("m0", "m1"), ("m2", "m3")], schedule))
 
 
-@query(f"""with {S.SQL_EXPRESSION}, c as (select cohort, sample_id, gene, value - avg(value) over (partition by cohort, gene) as c, {S.sql_rank('value', 'cohort, sample_id')} as k from raw_expr where try_cast(sample_id as bigint) % 10 = 0), p as (select a.sample_id as sample, b.sample_id as nearest, {S.sql_corr('a.k', 'b.k')} as kr, {S.sql_corr('a.c', 'b.c')} as cr from c a join c b on a.gene = b.gene and a.cohort = 'external' and b.cohort = 'reference' group by all)
-select sample, {r('max(kr)', 'maximum_rank_r')}, {r('max(cr)', 'maximum_centred_r')}, max(cast(kr >= 0.995 or cr >= 0.98 or (kr >= 0.985 and cr >= 0.9) as int)) = 1 as suspect from p group by sample""")
-def profile_neighbours(spark, sf_dir):
-    """Nearest profile in the other cohort of the stated samples (identifiers divisible by ten)."""
-    return tidy(inference.profile_neighbours(S.expression(spark, sf_dir).filter(F.col("sample_id").cast("bigint") % 10 == 0), "reference", "external"))
-
-
 def _cohort(spark, sf_dir):
     """A cohort of 300 customers: mean order price, days of the first order, and whether one is open. A stated cohort, as the method is for hundreds."""
     o = S.survival(spark, sf_dir).join(S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
@@ -374,33 +358,6 @@ def subsample_modules(spark, sf_dir):
     return tidy(stability.subsample_modules(z, S.weights(spark).select("module_label", "gene"), 30, 0.8, 0.02, 3))
 
 
-@query()
-def rediscovery_null(spark, sf_dir):
-    """Frozen modules among found ones, against random panels."""
-    from scoreloom.operators import controls, recurrence
-
-    z = standardize.standardised(standardize.normalised(S.expression(spark, sf_dir)))
-    found = recurrence.gene_modules(z.filter("cohort = 'external'"), 0.02, 3).filter("module_id > 0").select(F.col("module_id").cast("string").alias("module"), "gene")
-    frozen = S.weights(spark).select("module_label", "gene")
-    panels = controls.matched_panels(spark, z.select("gene").distinct().withColumn("bin", F.lit(0)), frozen, 200, 42)
-    return tidy(stability.rediscovery_null(found, frozen, panels))
-
-
-@query()
-def panel_null(spark, sf_dir):
-    """AUC of a module's mean for the label among those of random panels."""
-    from scoreloom.operators import controls
-
-    z = standardize.standardised(standardize.normalised(S.expression(spark, sf_dir))).filter("cohort = 'external'")
-    frozen = S.weights(spark).select("module_label", "gene")
-    panels = controls.matched_panels(spark, z.select("gene").distinct().withColumn("bin", F.lit(0)), frozen, 100, 42)
-    y = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") % 4 == 1).cast("int").alias("y"))
-    own = controls.panel_scores(z, frozen.withColumn("panel", F.lit(-1))).join(y, "sample_id")
-    drawn = controls.panel_scores(z, panels).join(y, "sample_id")
-    observed = outcomes.roc_auc(own, "score", "y", "module_label").select("module_label", F.col("auc").alias("observed"))
-    return tidy(stability.panel_null(observed, outcomes.roc_auc(drawn, "score", "y", "module_label", "panel").withColumnRenamed("auc", "value"), "module_label"))
-
-
 @query()
 def component_scores(spark, sf_dir):
     """Uncentred component scores of each module, and weights turned towards an outcome."""
@@ -411,22 +368,6 @@ def component_scores(spark, sf_dir):
     return tidy(scores.join(turned, "module_label"))
 
 
-@query()
-def cross_cohort_audit(spark, sf_dir):
-    """Edges of both cohorts against a null of shifted pairings."""
-    edges = preservation.edges_by_matrix(_genes(spark, sf_dir))
-    a = edges.filter("cohort = 'reference'").select("module_label", "i", "j", F.col("r").alias("ra"))
-    b = edges.filter("cohort = 'external'").select("module_label", "i", "j", F.col("r").alias("rb"))
-    reps = a.join(b, ["module_label", "i", "j"]).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    from pyspark.sql import Window as W
-
-    keys = W.partitionBy("module_label", "rep")
-    placed = reps.withColumns({"x": F.row_number().over(keys.orderBy("i", "j")), "y": F.row_number().over(keys.orderBy(F.xxhash64("rep", "i", "j"), "i", "j"))})
-    pairs = placed.select("module_label", "rep", "x", "ra").join(placed.select("module_label", "rep", F.col("y").alias("x"), "rb"), ["module_label", "rep", "x"])
-    null = stats.spearman(pairs, "ra", "rb", "module_label", "rep").withColumnRenamed("spearman", "value")
-    return tidy(inference.cross_cohort_audit(edges, null, "reference", "external"))
-
-
 @query()
 def corrected_t_p(spark, sf_dir):
     """Corrected t with its p value."""
