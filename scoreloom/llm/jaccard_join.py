@@ -110,16 +110,19 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int, whol
     return docs.select("id", "text").mapInArrow(work, "id bigint, n bigint, class_key binary, grams array<bigint>")
 
 
-def joined_prefixes(docs: DataFrame, common: DataFrame, width: int, percent: int) -> DataFrame:
-    """The same prefixes where the frequent n-grams are too many for every task: they meet the sets in a join."""
-    sets = prefixes(docs, np.zeros(0, np.uint64), width, percent, whole=True)
-    kept = sets.filter("n = 0 or id is null").select("id", "n", "class_key", F.slice("grams", 1, 0).alias("grams"))
-    marked = sets.filter("n > 0 and id is not null").select("id", "n", "class_key", F.explode("grams").alias("gram")).join(common.withColumn("late", F.lit(True)), "gram", "left")
+def joined_prefixes(sets: DataFrame, heads: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """(id, n, grams): the prefixes of the classes' first documents where the frequent n-grams are too many for every task.
+
+    `sets` are whole sets in the order of their hashes, `heads` the (class_key, id) of the first documents. Only their
+    sets meet the frequent n-grams, in a join; copies and repeated rows don't take part.
+    """
+    one = sets.join(heads, ["class_key", "id"], "left_semi").dropDuplicates(["class_key"])
+    marked = one.select("class_key", "id", "n", F.explode("grams").alias("gram")).join(common.withColumn("late", F.lit(True)), "gram", "left")
     # the order of unsigned numbers, frequent ones last
     key = F.struct(F.coalesce("late", F.lit(False)).alias("late"), (F.col("gram") < 0).alias("high"), "gram")
-    ordered = marked.groupBy("id", "n", "class_key").agg(F.sort_array(F.collect_set(key)).alias("g"))
+    ordered = marked.groupBy("class_key", "id", "n").agg(F.sort_array(F.collect_list(key)).alias("g"))
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
-    return kept.unionByName(ordered.select("id", "n", "class_key", F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), size.cast("int")).alias("grams")))
+    return ordered.select("id", "n", F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), size.cast("int")).alias("grams"))
 
 
 def can_reach(a: str, b: str, percent: int) -> Column:
@@ -199,16 +202,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     often = materialise(frequent(docs, width), "frequent")
-    if often.count() <= BROADCAST_GRAMS:
-        common = np.sort(np.array([r["gram"] for r in often.collect()], np.int64).view(np.uint64))
-        found = prefixes(docs, common, width, percent)
-    else:
-        found = joined_prefixes(docs, often, width, percent)
-    sets = materialise(found, "prefixes")
+    few = often.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    common = np.sort(np.array([r["gram"] for r in often.collect()] if few else [], np.int64).view(np.uint64))
+    sets = materialise(prefixes(docs, common, width, percent, whole=not few), "prefixes")
     classes = sets.filter("n > 0 and id is not null").groupBy("class_key").agg(F.min("id").alias("class_id"))
     of_class = materialise(sets.select("id", "n", "class_key").join(classes, "class_key", "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "classes")
     heads = classes.select("class_key", F.col("class_id").alias("id"))
-    chosen = sets.join(heads, ["class_key", "id"], "left_semi").select("id", "n", F.posexplode("grams").alias("at", "gram"))
+    first_rows = sets.join(heads, ["class_key", "id"], "left_semi") if few else materialise(joined_prefixes(sets, heads, often, percent), "first-prefixes")
+    chosen = first_rows.select("id", "n", F.posexplode("grams").alias("at", "gram"))
     gathered = chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("home")).filter("m > 1")
     rows = materialise(chosen.join(gathered, "gram").select("gram", "m", "home", "id", "n", "at"), "gathered")
     small, large = rows.filter(F.col("m") <= SMALL), rows.filter(F.col("m") > SMALL)

@@ -105,7 +105,10 @@ def test_blocks_are_bounded(spark, shape, monkeypatch):
     assert max(sizes.values()) <= 6 * 40
 
 
-def test_odd(odd, clashing, empty):
+@pytest.mark.parametrize("most", [J.BROADCAST_GRAMS, -1])
+def test_odd(odd, clashing, empty, most, monkeypatch):
+    """Also where frequent n-grams are joined."""
+    monkeypatch.setattr(J, "BROADCAST_GRAMS", most)
     want = brute([(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None])
     got = J.near_duplicates(clashing).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
@@ -113,6 +116,20 @@ def test_odd(odd, clashing, empty):
     assert J.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [J.BROADCAST_GRAMS, -1])
+def test_repeated_rows_stay(spark, most, monkeypatch):
+    """Repeated identifiers, texts and nulls, with frequent n-grams sent and joined, and small limits."""
+    monkeypatch.setattr(J, "BROADCAST_GRAMS", most)
+    rows = [(1, "t"), (1, "t"), (2, "t x"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None), (4, None), (None, "t"), (None, "t")]
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute([r for r in rows if r[0] is not None])
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
+    assert [r["n_shingles"] for r in got if r["doc_id"] is None] == [1, 1]
+    monkeypatch.setattr(J, "SMALL", 2)
+    many = corpus(4) * 2 + [(k, t) for k, t in corpus(4)[:9] for _ in range(3)]
+    assert found(spark.createDataFrame(many, "doc_id long, text string")) == brute(many)
+
+
 def test_shingle_sets():
     texts = ["", None, "a", "A b", "a b c d", "  a\tb\x0bc d e é É ", "a b c d a b c d", "x" * 100_000]
     assert [len(s) for s in shingle_sets(texts, 4)] == [0, 0, 1, 1, 1, 4, 4, 1]

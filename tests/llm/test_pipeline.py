@@ -20,7 +20,7 @@ def test_stages(spark):
     assert all(f.columns == columns for f in frames[:5])
     rows = [[(r["doc_id"], r["text"]) for r in f.collect()] for f in frames[:5]]
     assert 0 < len(rows[1]) < len(rows[0]) and set(rows[1]) <= set(rows[0])
-    heads = {c for _, _, c in brute(rows[1])}
+    heads = {c for _, _, c in brute(rows[1], 5, 80)}
     assert sorted(k for k, _ in rows[2]) == sorted(heads)
     before = dict(rows[2])
     for k, t in rows[3]:
