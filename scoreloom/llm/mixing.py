@@ -4,22 +4,20 @@ Only DataFrame functions. Sources, in code point order with null last, weigh `we
 `share` times all words; a target stops at `most` times its source's size and the excess goes to the
 others by weight. That fixed point is found in one pass over the sources ordered by size per weight.
 
-The schedule has slots of equal size (`block` words): `slots` of them or fewer as long as a block stays below
-BLOCK words, and as many more as blocks of BLOCK words need beyond, so that blocks don't grow with the corpus. Slot k has the point frac(k * g),
-g the golden ratio's fraction; the cumulative target shares map the point to a source. Such points fall
-into every interval in proportion to its length with a logarithmic error, so each source's slots are
-spread evenly and their number times the block size is within a few blocks of the target. The r-th slot
+A source's blocks are of one size: its target's FINE-th part, between 1 word and the mix's own size (its words over
+`slots`, BLOCK at most, so that blocks don't grow with the corpus). So a small source has small blocks. Its target asks for so many slots.
+Slot k has the point frac(k * g), g the golden ratio's fraction; the cumulative shares of slots asked for map
+the point to a source. Such points fall into every interval in proportion to its length with a logarithmic
+error, so each source's slots are spread evenly. The sequence goes on to AHEAD times the slots asked for, so that every source has
+enough; it takes the first ones it asked for, and its words are within a block of the target. The r-th slot
 of a source takes the r-th block of its stream of shuffled documents; after the last block the stream
 starts again, `most` times at the most. Blocks are cut by words, so a document may be taken in part.
 
-A source whose target is less than SETTLED blocks would feel whole blocks: it takes the first words of its
-stream instead, as often as its target says, exactly to the (rounded) word and whatever the block size.
-
 Rows without an identifier are shuffled by a hash of their text.
 
 Sizes: nothing is ranked or summed over a whole source in one task. Documents are dealt by source and
 hash range (4096 ranges), slots by source and stretch of 4096; only a row per range or stretch meets in
-a window over its source. Only two numbers (all words and sources) come to the driver.
+a window over its source. Only the number of slots comes to the driver.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own; equal
 rows are taken alike up to a block; an empty table gives an empty result. Columns of the input other than
@@ -41,13 +39,15 @@ BLOCK = 1024
 DIGIT = 1 << 20
 STRETCH = 4096
 CELLS = 4096
-#: Below so many blocks a source's target is met by words.
-SETTLED = 1024
+#: A source's blocks are this part of its target at the most.
+FINE = 1024
+#: Points of the sequence for each slot asked for.
+AHEAD = 2
 BEFORE = (W.unboundedPreceding, -1)
 
 
-def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
-    """One row per source: _m_key, _m_total, _m_target, and its interval of shares [_m_lo, _m_hi)."""
+def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: int, slots: int) -> DataFrame:
+    """One row per source: _m_key, _m_total, _m_target, words of a block, slots asked for, and its interval of their shares [_m_lo, _m_hi)."""
     per = sized.groupBy("_m_key").agg(F.sum("_m_size").alias("_m_total"), F.count(F.lit(1)).alias("_m_docs"))
     order, everything = W.orderBy("_m_key"), W.partitionBy()
     turn = F.array(*[F.lit(float(w)) for w in weights])
@@ -60,24 +60,28 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, mos
     rest = F.col("_m_all") - F.coalesce(F.sum(F.when(F.col("_m_full"), F.col("_m_cap"))).over(everything), F.lit(0.0))
     open_weight = F.sum(F.when(~F.col("_m_full"), F.col("_m_weight"))).over(everything)
     per = per.withColumn("_m_target", F.when(F.col("_m_full"), F.col("_m_cap")).otherwise(F.col("_m_weight") * rest / open_weight))
-    part = F.col("_m_target") / F.nullif(F.sum("_m_target").over(everything), F.lit(0.0))
+    own = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.ceil(F.col("_m_all") / slots)))
+    per = per.withColumn("_m_size_of", F.least(own, F.greatest(F.lit(1), F.floor(F.col("_m_target") / FINE))).cast("bigint"))
+    per = per.withColumn("_m_asked", F.ceil(F.col("_m_target") / F.col("_m_size_of")))
+    part = F.col("_m_asked") / F.nullif(F.sum("_m_asked").over(everything), F.lit(0)).cast("double")
     lo = F.coalesce(F.sum(part).over(order.rowsBetween(*BEFORE)), F.lit(0.0))
     per = per.withColumns({"_m_part": part, "_m_lo": lo})
     last = F.row_number().over(W.orderBy((F.col("_m_part") > 0).desc_nulls_last(), F.col("_m_key").desc())) == 1
-    return per.select("_m_key", "_m_total", "_m_target", "_m_lo", F.when(last, F.lit(1.0)).otherwise(F.col("_m_lo") + F.col("_m_part")).alias("_m_hi"))
+    return per.select("_m_key", "_m_total", "_m_target", "_m_size_of", "_m_asked", "_m_lo", F.when(last, F.lit(1.0)).otherwise(F.col("_m_lo") + F.col("_m_part")).alias("_m_hi"))
 
 
-def schedule(targets: DataFrame, block: int, n_slots: int, most: int) -> DataFrame:
+def schedule(targets: DataFrame, n_slots: int, most: int) -> DataFrame:
     """One row per slot that takes a block: slot, _m_key, rank, pass, _m_block."""
     spark = targets.sparkSession
     cells = targets.filter("_m_hi > _m_lo").withColumn("_m_cell", F.explode(F.sequence(F.floor(F.col("_m_lo") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("_m_hi") * CELLS)))))
     point = F.floor(F.col("slot") / DIGIT) * F.lit(DIGIT * GOLDEN % 1) + F.col("slot") % DIGIT * F.lit(GOLDEN)
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("_m_u", point - F.floor(point)).withColumn("_m_cell", F.floor(F.col("_m_u") * CELLS))
-    placed = slots.join(cells, "_m_cell").filter("_m_u >= _m_lo and _m_u < _m_hi").select("slot", "_m_key", "_m_total", F.floor(F.col("slot") / STRETCH).alias("_m_stretch"))
+    placed = slots.join(cells, "_m_cell").filter("_m_u >= _m_lo and _m_u < _m_hi").select("slot", "_m_key", "_m_total", "_m_size_of", "_m_asked", F.floor(F.col("slot") / STRETCH).alias("_m_stretch"))
     counts = placed.groupBy("_m_key", "_m_stretch").agg(F.count(F.lit(1)).alias("_m_n"))
     ahead = counts.select("_m_key", "_m_stretch", F.coalesce(F.sum("_m_n").over(W.partitionBy("_m_key").orderBy("_m_stretch").rowsBetween(*BEFORE)), F.lit(0)).alias("_m_ahead"))
     ranked = placed.join(ahead, ["_m_key", "_m_stretch"]).withColumn("rank", F.col("_m_ahead") + F.row_number().over(W.partitionBy("_m_key", "_m_stretch").orderBy("slot")) - 1)
-    blocks = F.ceil(F.col("_m_total") / block)
+    ranked = ranked.filter("rank < _m_asked")
+    blocks = F.ceil(F.col("_m_total") / F.col("_m_size_of"))
     return ranked.withColumns({"pass": F.floor(F.col("rank") / blocks), "_m_block": F.col("rank") % blocks}).filter(F.col("pass") < most).select("slot", "_m_key", "rank", "pass", "_m_block")
 
 
@@ -86,7 +90,7 @@ def streams(sized: DataFrame, targets: DataFrame) -> DataFrame:
     dealt = sized.withColumn("_m_hash", F.md5(F.coalesce(F.col("_m_id").cast("string"), F.col("_m_salt"), F.lit("")).cast("binary"))).withColumn("_m_range", F.substring("_m_hash", 1, 3))
     sums = dealt.groupBy("_m_key", "_m_range").agg(F.sum("_m_size").alias("_m_sum"))
     sums = sums.withColumn("_m_ahead", F.coalesce(F.sum("_m_sum").over(W.partitionBy("_m_key").orderBy("_m_range").rowsBetween(*BEFORE)), F.lit(0)))
-    sums = sums.join(targets.select("_m_key", "_m_total", "_m_target"), "_m_key").drop("_m_sum")
+    sums = sums.join(targets.select("_m_key", "_m_total", "_m_target", "_m_size_of"), "_m_key").drop("_m_sum")
     inside = W.partitionBy("_m_key", "_m_range").orderBy("_m_hash", "_m_size")
     placed = dealt.withColumns({"_m_row": F.row_number().over(inside), "_m_in": F.coalesce(F.sum("_m_size").over(inside.rowsBetween(*BEFORE)), F.lit(0))})
     return placed.join(sums, ["_m_key", "_m_range"]).withColumn("_m_at", F.col("_m_ahead") + F.col("_m_in"))
@@ -97,36 +101,18 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def block_size(total_words: int, share: float, slots: int) -> tuple[int, int]:
-    """Words in a block and the number of slots, for a mix of share * total_words words."""
-    wanted = share * total_words
-    block = min(BLOCK, max(1, int(-(-wanted // slots))))
-    return block, int(-(-wanted // block))
-
-
-def settled(most: int) -> Column:
-    """Words of a document that its source takes with exactly its target of the stream, passes added up."""
-    at, size, wanted = F.col("_m_at"), F.col("_m_size"), F.round("_m_target").cast("bigint")
-    out = F.lit(0).cast("bigint")
-    for p in range(most):
-        out = out + F.greatest(F.lit(0), F.least(at + size, wanted - p * F.col("_m_total")) - at)
-    return out
-
-
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, slots: int = 1 << 18) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
     sized = materialise(df.select(F.col(id_col).alias("_m_id"), source_key(F.col(source_col).cast("string")).alias("_m_key"), F.size(words(F.col(text_col))).cast("bigint").alias("_m_size"), F.when(F.col(id_col).isNull(), F.md5(F.col(text_col).cast("binary"))).alias("_m_salt")), "sizes")
-    targets = materialise(source_targets(sized, weights, share, most), "targets")
-    total = targets.agg(F.sum("_m_total")).first()[0] or 0
-    block, n_slots = block_size(total, share, slots)
-    takes = schedule(targets, block, n_slots, most).groupBy("_m_key", "_m_block").agg(F.count(F.lit(1)).alias("_m_takes"))
-    at, size = F.col("_m_at"), F.col("_m_size")
-    placed = streams(sized, targets).withColumn("_m_settled", F.col("_m_target") < SETTLED * block)
-    placed = placed.withColumn("_m_exact", F.when(F.col("_m_settled"), settled(most)))
-    pieces = placed.withColumn("_m_block", F.explode_outer(F.when((size > 0) & ~F.col("_m_settled"), F.sequence(F.floor(at / block), F.floor((at + size - 1) / block)))))
+    targets = materialise(source_targets(sized, weights, share, most, slots), "targets")
+    n_slots = AHEAD * int(targets.agg(F.sum("_m_asked")).first()[0] or 0)
+    takes = schedule(targets, n_slots, most).groupBy("_m_key", "_m_block").agg(F.count(F.lit(1)).alias("_m_takes"))
+    at, size, block = F.col("_m_at"), F.col("_m_size"), F.col("_m_size_of")
+    placed = streams(sized, targets)
+    pieces = placed.withColumn("_m_block", F.explode_outer(F.when(size > 0, F.sequence(F.floor(at / block), F.floor((at + size - 1) / block)))))
     held = F.least(at + size, (F.col("_m_block") + 1) * block) - F.greatest(at, F.col("_m_block") * block)
     taken = pieces.join(takes, ["_m_key", "_m_block"], "left").withColumn("_m_taken", F.coalesce(held * F.col("_m_takes"), F.lit(0)))
-    done = taken.groupBy("_m_key", "_m_range", "_m_row").agg(*[F.first(c).alias(c) for c in ("_m_id", "_m_size", "_m_total", "_m_target")], F.coalesce(F.first("_m_exact"), F.sum("_m_taken")).alias("_m_taken"))
+    done = taken.groupBy("_m_key", "_m_range", "_m_row").agg(*[F.first(c).alias(c) for c in ("_m_id", "_m_size", "_m_total", "_m_target")], F.sum("_m_taken").alias("_m_taken"))
     return done.select(F.col("_m_id").alias(id_col), F.col("_m_size").alias("size"), F.col("_m_total").alias("source_size"), F.col("_m_target").alias("target"), F.col("_m_taken").cast("bigint").alias("taken"))
 
 
@@ -165,19 +151,21 @@ with sized as (
 ), targets as (
   select k, total, budget, case when is_full then cap else w * (budget - coalesce(sum(case when is_full then cap end) over (), 0)) / sum(case when not is_full then w end) over () end as target
   from filling
+), sized_blocks as (
+  select *, least(least({BLOCK}, greatest(1, ceil(budget / {1 << 18}))), greatest(1, floor(target / {FINE})))::bigint as block from targets
+), asking as (
+  select *, ceil(target / block)::bigint as asked from sized_blocks
 ), shares as (
-  select *, target / nullif(sum(target) over (), 0) as part from targets
+  select *, asked / nullif(sum(asked) over (), 0)::double as part from asking
 ), bounds as (
   select *, coalesce(sum(part) over (order by k rows between unbounded preceding and 1 preceding), 0) as lo,
          row_number() over (order by part > 0 desc nulls last, k desc) = 1 as is_last
   from shares
-), params as (
-  select least({BLOCK}, greatest(1, ceil(max(budget) / {1 << 18})::bigint)) as block, max(budget) as budget from targets
 ), slots as (
   select r.range * {GOLDEN!r}::double - floor(r.range * {GOLDEN!r}::double) as u
-  from params, range(0, ceil(params.budget / params.block)::bigint) r
+  from (select sum(asked)::bigint as n from asking), range(0, {AHEAD} * n) r
 ), slot_counts as (
-  select b.k, count(*) as n from slots s join bounds b on s.u >= b.lo and s.u < (case when b.is_last then 1 else b.lo + b.part end) group by b.k
+  select b.k, least(count(*), max(asked)) as n from slots s join bounds b on s.u >= b.lo and s.u < (case when b.is_last then 1 else b.lo + b.part end) group by b.k
 ), placed as (
   select doc_id, s.k, size, coalesce(sum(size) over (partition by s.k order by h, size rows between unbounded preceding and 1 preceding), 0) as pos
   from sized s
@@ -185,5 +173,5 @@ with sized as (
 select p.doc_id, p.size, t.total as source_size, t.target,
        cast(greatest(0, least(pos + p.size, least(total, coalesce(n, 0) * block)) - pos)
           + greatest(0, least(pos + p.size, least(total, greatest(0, coalesce(n, 0) - ceil(total::double / block)) * block)) - pos) as bigint) as taken
-from placed p join targets t using (k) cross join params left join slot_counts c using (k)
+from placed p join asking t using (k) left join slot_counts c using (k)
 """

@@ -171,6 +171,18 @@ def test_small_sources_meet_their_targets(spark):
     assert taken["c"] > 0
 
 
+def test_mixing_with_tiny_sources_equals_its_sql(spark, monkeypatch):
+    import duckdb
+
+    rows = [(i, "w " * (37 * i % 900), f"s{i % 7}") for i in range(300)] + [(1000 + i, "a b c"[: 2 * i + 1], f"t{i}") for i in range(3)] + [(2000, None, "none"), (2001, "x", None), (2002, "y " * 11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841  read by the SQL
+    monkeypatch.setattr(mixing, "documents", lambda spark, sf_dir: df)
+    got = sorted(tuple(r) for r in mixing.op7_mixing(spark, "").collect())
+    assert got == [pytest.approx(w) for w in sorted(con.sql(mixing.OP7_SQL).fetchall())]
+
+
 def test_mixing_odd(odd, clashing, empty):
     got = mixing.mix(clashing).collect()
     assert len(got) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
