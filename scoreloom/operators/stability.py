@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scoreloom.functions.stats import safe_corr
+from scoreloom.functions.stats import finite, safe_corr
 from scoreloom.operators.models import cox
 from scoreloom.operators.recurrence import gene_modules
 from scoreloom.operators.sets import overlap
@@ -77,9 +77,11 @@ def rediscovery_null(found: DataFrame, frozen: DataFrame, panels: DataFrame) ->
     return rows.crossJoin(every).groupBy("module_label", "f1").agg(F.count(F.lit(1)).alias("n_panels"), ((F.count(F.when(F.col("v") >= F.col("f1"), 1)) + 1) / (F.count(F.lit(1)) + 1.0)).alias("p_value"))
 
 
-def component_scores(genes: DataFrame, cohort: str, anchor: str | None = None) -> DataFrame:
+def component_scores(genes: DataFrame, cohort: str, anchor: str | None = None, without: DataFrame | None = None) -> DataFrame:
     """First singular vector of uncentred z per module as sample scores, standardised: module_label, sample_id, score.
 
+    `without` (column gene) leaves those genes out, for programs disjoint from another one.
+
     It is turned so that it goes with the frozen signed mean, or with the anchor gene where one is given.
     Modules of fewer than two genes have missing scores.
     """
@@ -99,18 +101,37 @@ def component_scores(genes: DataFrame, cohort: str, anchor: str | None = None) -
             score = (score - score.mean()) / score.std(ddof=1)
         return pa.table({"module_label": [frame["module_label"].iloc[0]] * len(v), "sample_id": x.index.tolist(), "score": pa.array(score, from_pandas=True)})
 
-    return genes.filter(F.col("cohort") == cohort).groupBy("module_label").applyInArrow(work, "module_label string, sample_id string, score double")
+    some = genes if without is None else genes.join(without.select("gene").distinct(), "gene", "left_anti")
+    return some.filter(F.col("cohort") == cohort).groupBy("module_label").applyInArrow(work, "module_label string, sample_id string, score double")
+
+
+def risk_multipliers(associations: DataFrame, endpoints: tuple[str, ...] = ("DFI", "OS")) -> DataFrame:
+    """(module_label, endpoint, coefficient, multiplier) of each module: the first endpoint with a finite coefficient, and its sign.
+
+    `associations`: module_label, endpoint, coef, hazard_ratio, p_value. Of several rows of an endpoint the one with the smallest p
+    counts, missing ones last; a missing coefficient is the logarithm of its hazard ratio.
+    """
+    rank = F.create_map(*[x for i, e in enumerate(endpoints) for x in (F.lit(e), F.lit(i))])[F.upper("endpoint")]
+    best = W.partitionBy("module_label", "_rank").orderBy(finite(F.col("p_value")).asc_nulls_last(), "coef", "hazard_ratio")
+    rows = associations.withColumn("_rank", rank).filter("_rank is not null").withColumn("_k", F.row_number().over(best)).filter("_k = 1")
+    rows = rows.withColumn("coefficient", F.coalesce(finite(F.col("coef")), F.when(F.col("hazard_ratio") > 0, finite(F.ln(finite(F.col("hazard_ratio")))))))
+    first = rows.filter("coefficient is not null").groupBy("module_label").agg(F.min(F.struct("_rank", F.upper("endpoint").alias("endpoint"), "coefficient")).alias("b"))
+    return first.select("module_label", "b.endpoint", "b.coefficient", F.when(F.col("b.coefficient") < 0, -1.0).otherwise(1.0).alias("multiplier"))
 
 
-def oriented_weights(genes: DataFrame, outcome: DataFrame, cohort: str) -> DataFrame:
-    """Weights built per module: leading loadings, turned with the module's score, then towards a higher outcome.
+def oriented_weights(genes: DataFrame, cohort: str, scores: DataFrame, associations: DataFrame) -> DataFrame:
+    """Weights built per module, turned in two stages: module_label, gene, ord, raw_loading, risk_loading, score_correlation, endpoint.
 
-    `outcome`: sample_id, outcome. The sign is that of the correlation of component scores and outcome; where it
-    is missing the orientation of the score stays. module_label, gene, ord, raw_loading, oriented_loading.
+    First the loadings follow the module's score (`scores`: module_label, sample_id, score): they are turned where the component's
+    scores go against it; a module without one keeps its direction. Then towards risk, by `risk_multipliers`; a
+    module without a fit keeps the first stage's direction.
     """
     from scoreloom.operators.preservation import leading_component
 
-    r = component_scores(genes, cohort).join(outcome, "sample_id").groupBy("module_label").agg(safe_corr("score", "outcome").alias("r"))
-    loads = leading_component(genes, cohort).join(r, "module_label", "left")
-    turn = F.when(F.col("r") < 0, -1.0).otherwise(1.0)
-    return loads.select("module_label", "gene", "ord", F.col("pc1").alias("raw_loading"), (F.col("pc1") * turn).alias("oriented_loading"))
+    loads = leading_component(genes, cohort)
+    z = genes.filter(F.col("cohort") == cohort).select("module_label", "sample_id", "gene", "z")
+    own = z.join(loads.select("module_label", "gene", "pc1"), ["module_label", "gene"]).groupBy("module_label", "sample_id").agg(F.sum(F.col("z") * F.col("pc1")).alias("component"))
+    r = own.join(scores.select("module_label", "sample_id", "score"), ["module_label", "sample_id"]).groupBy("module_label").agg(safe_corr("component", "score").alias("score_correlation"))
+    rows = loads.join(r, "module_label", "left").join(risk_multipliers(associations), "module_label", "left")
+    raw = F.col("pc1") * F.when(F.col("score_correlation") < 0, -1.0).otherwise(1.0)
+    return rows.select("module_label", "gene", "ord", raw.alias("raw_loading"), (raw * F.coalesce("multiplier", F.lit(1.0))).alias("risk_loading"), "score_correlation", "endpoint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.functions import stats, symbols
-from scoreloom.operators import alignment, inference, inventory, localization, outcomes, preservation, resampling, stability, standardize, verify
+from scoreloom.operators import alignment, inference, inventory, localization, models, outcomes, preservation, resampling, stability, standardize, verify
 from scoreloom.plans import standins as S
 from scoreloom.plans.catalogue import _bulk, _genes, _probes, query, r, tidy
 
@@ -362,10 +362,15 @@ def subsample_modules(spark, sf_dir):
 def component_scores(spark, sf_dir):
     """Uncentred component scores of each module, and weights turned towards an outcome."""
     genes = _genes(spark, sf_dir)
-    y = S.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("sample_id"), F.col("label").cast("double").alias("outcome"))
-    scores = stability.component_scores(genes, "external").groupBy("module_label").agg(F.count("score").alias("n_samples"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
-    turned = stability.oriented_weights(genes, y, "external").groupBy("module_label").agg(F.count(F.lit(1)).alias("n_genes"), F.sum(F.col("oriented_loading") * F.col("oriented_loading")).alias("length"))
-    return tidy(scores.join(turned, "module_label"))
+    scores = stability.component_scores(genes, "external")
+    ends = S.survival(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("sample_id"), "time", "event")
+    rows = scores.join(ends, "sample_id")
+    fits = [models.cox(rows.filter(c).withColumn("event", e), "time", "event", "score", "module_label").withColumn("endpoint", F.lit(n)) for n, c, e in (("DFI", "module_label in ('M0', 'M1')", F.col("event")), ("OS", "module_label != 'M3'", 1 - F.col("event")))]
+    turned = stability.oriented_weights(genes, "external", scores, fits[0].unionByName(fits[1]))
+    summary = scores.groupBy("module_label").agg(F.count("score").alias("n_samples"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"))
+    apart = stability.component_scores(genes, "external", without=S.weights(spark).filter("ord % 8 < 4")).groupBy("module_label").agg(F.count("score").alias("n_disjoint"))
+    length = turned.groupBy("module_label").agg(F.count(F.lit(1)).alias("n_genes"), F.sum(F.col("risk_loading") * F.col("risk_loading")).alias("length"), F.max("endpoint").alias("endpoint"))
+    return tidy(summary.join(length, "module_label").join(apart, "module_label", "left"))
 
 
 @query()

@@ -21,44 +21,17 @@ def indexed_csv(df: DataFrame, path: str, index: str | None = None) -> None:
     df.select(F.col(f"`{index}`").alias(index.strip() or "sample_id"), *[F.col(f"`{c}`") for c in rest]).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def verified_copy(spark, source: str, target: str) -> DataFrame:
-    """Files of a folder written again as binary content, one row each: name, both hashes, whether they agree.
-
-    Spark's reader lists no empty files, so those are not copied.
-
-    Content moves from task to task's own file through Spark's readers and the file system, never by the driver.
-    """
-    from pyarrow import fs
-
-    def work(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        store, root = fs.FileSystem.from_uri(target)
-        store.create_dir(root, recursive=True)
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, name = content.as_py(), path.rsplit("/", 1)[-1]
-                with store.open_output_stream(f"{root}/{name}") as out:
-                    out.write(data)
-                with store.open_input_file(f"{root}/{name}") as back:
-                    rows.append({"name": name, "sha256": hashlib.sha256(data).hexdigest(), "copied_sha256": hashlib.sha256(back.read()).hexdigest()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("sha256", pa.string()), ("copied_sha256", pa.string())]))
-
-    files = spark.read.format("binaryFile").load(source).select("path", "content")
-    return files.mapInArrow(work, "name string, sha256 string, copied_sha256 string").withColumn("agree", F.col("sha256") == F.col("copied_sha256"))
-
-
 def gene_sets(members: DataFrame, path: str, name: str, item: str, description: str = "") -> None:
     """One line per set: name, description, items in order, tab-separated."""
     lines = members.groupBy(name).agg(F.sort_array(F.collect_set(item)).alias("_i")).select(F.concat_ws("\t", F.col(name), F.lit(description), F.concat_ws("\t", "_i")).alias("value"))
     lines.write.mode("overwrite").text(path)
 
 
-def manifest(config: dict, inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], guardrails: dict[str, bool]) -> str:
-    """JSON text of a run: its settings, its tables' shapes and order-free digests of their rows, and its guardrails."""
+def manifest(config: dict, inputs: dict[str, DataFrame], outputs: dict[str, DataFrame], guardrails: dict[str, bool], files: dict[str, DataFrame] | None = None) -> str:
+    """JSON text of a run: its settings, its tables' shapes and order-free digests of their rows, its guardrails, and its files' hashes.
+
+    `files`: tables of `files.file_hashes` by name (a run's inputs or outputs, not a corpus); each file is listed with its size and SHA-256.
+    """
 
     def shape(tables: dict[str, DataFrame]) -> dict:
         out = {}
@@ -67,4 +40,5 @@ def manifest(config: dict, inputs: dict[str, DataFrame], outputs: dict[str, Data
             out[k] = {"rows": row["n"], "columns": v.columns, "digest": str(row["d"])}
         return out
 
-    return json.dumps({"created_utc": datetime.now(timezone.utc).isoformat(), "config": config, "inputs": shape(inputs), "outputs": shape(outputs), "guardrails": guardrails}, indent=2, sort_keys=True)
+    listed = {k: {r["name"]: {"bytes": r["length"], "sha256": r["sha256"]} for r in v.orderBy("name").collect()} for k, v in (files or {}).items()}
+    return json.dumps({"created_utc": datetime.now(timezone.utc).isoformat(), "config": config, "inputs": shape(inputs), "outputs": shape(outputs), "guardrails": guardrails, "files": listed}, indent=2, sort_keys=True)

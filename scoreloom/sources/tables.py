@@ -91,12 +91,6 @@ def first_column(df: DataFrame, candidates: list[str]) -> str:
     raise ValueError(f"none of {', '.join(candidates)}")
 
 
-def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of all files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def cell_matrix(spark: SparkSession, path: str, genes: list[str], sep: str = "\t") -> DataFrame:
     """Long cells of chosen genes from a (compressed) genes x cells text; duplicate genes are averaged.
 

@@ -66,11 +66,7 @@ def test_more_sources_and_sinks(spark, tmp_path):
     from scoreloom.sources import sinks, tables
 
     (tmp_path / "in").mkdir()
-    for name, data in (("a.bin", b"\x00\xff\r\n"), ("b.bin", b"x")):
-        (tmp_path / "in" / name).write_bytes(data)
-    copied = sinks.verified_copy(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
-    assert {r["name"]: r["agree"] for r in copied} == {"a.bin": True, "b.bin": True}
-    assert (tmp_path / "out" / "a.bin").read_bytes() == b"\x00\xff\r\n"
+    (tmp_path / "in" / "a.bin").write_bytes(b"x")
     df = spark.createDataFrame([("s1", 1.0), ("s2", 2.0)], "` ` string, x double")
     sinks.indexed_csv(df, f"file://{tmp_path}/csv")
     assert spark.read.csv(f"file://{tmp_path}/csv", header=True).columns == ["sample_id", "x"]
@@ -114,3 +110,57 @@ def test_inference_table(spark):
     for r in rows:
         for k in ("edge", "loading"):
             assert abs(r[f"{k}_permutation_p"] - (r[f"{k}_extreme_count"] + 1) / 5001) < 1e-9 and r[f"{k}_q_bh_8"] >= r[f"{k}_permutation_p"] - 1e-9
+
+
+def test_files_of_any_size(spark, tmp_path):
+    """Empty files, equal names in subfolders, and a sparse file beyond 2 GiB."""
+    import hashlib
+    import json
+
+    from scoreloom.sources import files, sinks
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    content = {"a.bin": b"\x00\xff\r\n", "sub/a.bin": b"y" * (files.RANGE + 1), "empty": b""}
+    for name, data in content.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    want = {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in content.items()}
+    copied = files.verified_copy(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    assert {r["name"]: (r["length"], r["sha256"]) for r in copied} == want and all(r["agree"] for r in copied)
+    assert all((tmp_path / "out" / name).read_bytes() == data for name, data in content.items())
+    listed = json.loads(sinks.manifest({}, {}, {}, {}, {"in": files.file_hashes(spark, f"file://{tmp_path}/in")}))["files"]["in"]
+    assert {k: (v["bytes"], v["sha256"]) for k, v in listed.items()} == want
+    (tmp_path / "large").mkdir()
+    with open(tmp_path / "large" / "sparse", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    with open(tmp_path / "large" / "sparse", "rb") as f:
+        digest = hashlib.file_digest(f, "sha256").hexdigest()
+    assert tuple(files.file_hashes(spark, f"file://{tmp_path}/large").first()) == ("sparse", (2 << 30) + 5, digest)
+    assert files.file_hashes(spark, f"file://{tmp_path}/out/sub").count() == 1
+
+
+def test_orientation_in_two_stages(spark):
+    """Every branch: disease-free endpoint by coefficient or ratio, overall survival, none; smallest p first."""
+    import math
+
+    from scoreloom.operators import stability
+
+    rows = [
+        ("A", "DFI", -0.5, None, 0.04), ("A", "DFI", 0.9, None, 0.2), ("A", "OS", 0.7, None, 0.01), ("B", "dfi", None, 0.5, 0.1), ("C", "DFI", None, -1.0, 0.1), ("C", "OS", 0.3, None, None),
+        ("D", "DFI", float("nan"), float("inf"), 0.1), ("D", "OS", None, 0.2, 0.5), ("E", "PFS", -1.0, None, 0.1), ("F", "OS", None, None, 0.1),
+    ]
+    df = spark.createDataFrame(rows, "module_label string, endpoint string, coef double, hazard_ratio double, p_value double")
+    got = {r["module_label"]: (r["endpoint"], round(r["coefficient"], 6), r["multiplier"]) for r in stability.risk_multipliers(df).collect()}
+    assert got == {"A": ("DFI", -0.5, -1.0), "B": ("DFI", round(math.log(0.5), 6), -1.0), "C": ("OS", 0.3, 1.0), "D": ("OS", round(math.log(0.2), 6), -1.0)}
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=12)
+    genes = [("c", m, f"s{i}", f"g{j}", j, 1.0, float(base[i] + rng.normal() / 5)) for m in "ABCE" for i in range(12) for j in range(4)]
+    z = spark.createDataFrame(genes, "cohort string, module_label string, sample_id string, gene string, ord int, loading double, z double")
+    scores = spark.createDataFrame([(m, f"s{i}", float(s * base[i])) for m, s in (("A", 1), ("B", -1), ("C", -1)) for i in range(12)], "module_label string, sample_id string, score double")
+    out = {}
+    for r in stability.oriented_weights(z, "c", scores, df).collect():
+        out.setdefault(r["module_label"], set()).add((np.sign(r["raw_loading"]), np.sign(r["risk_loading"]), r["endpoint"]))
+    assert out == {"A": {(1, -1, "DFI")}, "B": {(-1, 1, "DFI")}, "C": {(-1, -1, "OS")}, "E": {(1, 1, None)}}
+    without = stability.component_scores(z, "c", without=spark.createDataFrame([("g0",), ("g1",), ("g2",)], "gene string"))
+    assert without.filter("score is not null").count() == 0 and without.count() == 48
