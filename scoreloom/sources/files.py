@@ -23,11 +23,13 @@ def _store(uri: str):
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, length) of all files below a folder (a URI), dealt by name to as many partitions as a shuffle has."""
+    """(name, length) of all files below a folder (a URI), or of the one file it names, dealt by name to as many partitions as a shuffle has."""
     from pyarrow import fs
 
     store, root = _store(folder)
-    found = [i for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file]
+    top = store.get_file_info(root)
+    found = [top] if top.is_file else [i for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file]
+    root = root.rpartition("/")[0] if top.is_file else root
     rows = [(i.path[len(root.rstrip("/")) + 1 :], i.size) for i in found]
     return spark.createDataFrame(rows, "name string, length bigint").repartition(max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions")))), "name")
 
@@ -46,10 +48,11 @@ def digest(stream) -> str:
 
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """name, length and SHA-256 of all files below a folder."""
+    """name, length and SHA-256 of all files below a folder, or of the one file it names."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(folder)
+        root = root.rpartition("/")[0] if store.get_file_info(root).is_file else root
         for batch in batches:
             out = []
             for name in batch.column(0).to_pylist():
