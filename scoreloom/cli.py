@@ -2,9 +2,11 @@
 
     python -m scoreloom.cli multiplicity --input P.csv --output OUT --manifest OUT [--p-column ...]
     python -m scoreloom.cli score --expression E.csv --weights W.csv --config C.json --scores OUT --coverage OUT --manifest OUT
+    python -m scoreloom.cli verify --expected A.csv --observed B.csv --keys K,... --metrics M,... --report OUT
 
 Inputs are files or folders of CSV files that Spark reads; outputs are folders that Spark writes (CSV with a header;
-the manifest as text). Exit code 0: done; 2: a wrong argument, input or configuration, named on stderr.
+the manifest as text). Exit code 0: done; 1: tables that were
+verified differ; 2: a wrong argument, input or configuration, named on stderr.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import benjamini_hochberg, finite, significant
-from scoreloom.operators import scoring, standardize
-from scoreloom.schemas import ScoringRule, require_columns
+from scoreloom.operators import scoring, standardize, verify
+from scoreloom.schemas import ScoringRule
 from scoreloom.sources import files, sinks, tables
 
 
@@ -70,6 +72,22 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     _manifest(spark, a.manifest, config, {"expression": (a.expression, long), "weights": (a.weights, given), "config": (a.config, None)}, {"scores": a.scores, "coverage": a.coverage}, {"outcome_loaded": False, "membership_and_loadings_changed": False})
 
 
+def verified(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Compares numbers of two tables key by key; the report has a row per metric. Repeated keys raise."""
+    keys, metrics = a.keys.split(","), a.metrics.split(",")
+    sides = []
+    for path in (a.expected, a.observed):
+        given = tables.csv_table(spark, path, required=(*keys, *metrics))
+        repeated = verify.unique_keys(given, keys).first()
+        if repeated:
+            raise ValueError(f"{path}: key {[repeated[k] for k in keys]} occurs {repeated['n']} times")
+        sides.append(given.select(*keys, *[finite(F.expr(f"try_cast(`{m}` as double)")).alias(m) for m in metrics]))
+    report = verify.verdict(verify.compared(*sides, keys, metrics, a.absolute, a.relative))
+    sinks.table(report.orderBy("metric"), a.report, "csv")
+    passed = spark.read.csv(a.report, header=True).agg(F.count_if(F.col("passed") != "true").alias("n")).first()["n"] == 0
+    return 0 if passed else 1
+
+
 def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="scoreloom")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -85,6 +103,12 @@ def arguments() -> argparse.ArgumentParser:
     for name in ("--expression", "--weights", "--config", "--scores", "--coverage", "--manifest"):
         two.add_argument(name, required=True)
     two.set_defaults(run=score)
+    three = commands.add_parser("verify", help=verified.__doc__)
+    for name in ("--expected", "--observed", "--keys", "--metrics", "--report"):
+        three.add_argument(name, required=True)
+    three.add_argument("--absolute", type=float, default=1e-10)
+    three.add_argument("--relative", type=float, default=1e-8)
+    three.set_defaults(run=verified)
     return parser
 
 
@@ -92,11 +116,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("scoreloom").getOrCreate()
     try:
-        a.run(spark, a)
+        return a.run(spark, a) or 0
     except (ValueError, KeyError, OSError, PySparkException) as e:
         print(f"{a.command}: {e}", file=sys.stderr)
         return 2
-    return 0
 
 
 if __name__ == "__main__":

@@ -88,3 +88,16 @@ def test_wrong_input_has_exit_code_two(spark, tmp_path, capsys):
     assert cli.main(["multiplicity", "--input", str(tmp_path / "absent.csv"), *out], spark) == 2
     given.write_text("name,primary_p\na,1.5\n")
     assert cli.main(["multiplicity", "--input", str(given), *out], spark) == 2
+
+
+def test_verify(spark, tmp_path):
+    tables = {"a": "k,x,y\n1,0.5,1\n2,,2\n", "same": "k,x,y\n2,,2\n1,0.50000000001,1\n", "other": "k,x,y\n1,0.6,1\n2,,2\n", "less": "k,x,y\n1,0.5,1\n", "twice": "k,x,y\n1,0.5,1\n1,0.5,1\n2,,2\n"}
+    for k, v in tables.items():
+        (tmp_path / f"{k}.csv").write_text(v)
+
+    def run(other):
+        report = str(tmp_path / f"report_{other}")
+        return cli.main(["verify", "--expected", str(tmp_path / "a.csv"), "--observed", str(tmp_path / f"{other}.csv"), "--keys", "k", "--metrics", "x,y", "--report", report], spark), report
+
+    assert [run(k)[0] for k in ("same", "other", "less", "twice")] == [0, 1, 1, 2]
+    assert [(r["metric"], r["n_rows"], r["n_mismatches"], r["passed"]) for r in read(run("other")[1])] == [("x", "2", "1", "false"), ("y", "2", "0", "true")]
