@@ -2,6 +2,9 @@
 
     python -m scoreloom.cli multiplicity --input P.csv --output OUT --manifest OUT [--p-column ...]
     python -m scoreloom.cli score --expression E.csv --weights W.csv --config C.json --scores OUT --coverage OUT --manifest OUT
+    python -m scoreloom.cli preserve --reference R.csv --external E.csv --weights W.csv --config C.json --structure OUT --coverage OUT --manifest OUT
+    python -m scoreloom.cli infer --reference R.csv --external E.csv --weights W.csv --config C.json --inference OUT --manifest OUT
+    python -m scoreloom.cli reliability --external E.csv --weights W.csv --config C.json --reliability OUT --loo OUT --manifest OUT
     python -m scoreloom.cli verify --expected A.csv --observed B.csv --keys K,... --metrics M,... --report OUT
 
 Inputs are files or folders of CSV files that Spark reads; outputs are folders that Spark writes (CSV with a header;
@@ -15,11 +18,11 @@ import argparse
 import sys
 
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import benjamini_hochberg, finite, significant
-from scoreloom.operators import scoring, standardize, verify
+from scoreloom.operators import reports, scoring, standardize, verify
 from scoreloom.schemas import ScoringRule
 from scoreloom.sources import files, sinks, tables
 
@@ -32,6 +35,71 @@ def _manifest(spark: SparkSession, path: str, config: dict, inputs: dict, output
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def _config(spark: SparkSession, path: str, needed: set[str], guarded: bool = True) -> dict:
+    """A run's settings; absent ones raise."""
+    config = tables.run_config("\n".join(r["value"] for r in spark.read.text(path).collect()), guarded)
+    missing = sorted(needed - set(config))
+    if missing:
+        raise ValueError(f"the configuration lacks {', '.join(missing)}")
+    return config
+
+
+def _weights(spark: SparkSession, path: str) -> DataFrame:
+    """Weights as they stand in their file, numbered."""
+    return tables.with_file_order(tables.csv_table(spark, path, required=("module_label", "gene", "loading")))
+
+
+def _cohorts(spark: SparkSession, a: argparse.Namespace, config: dict, *names: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame, list[str]]:
+    """Cohorts as they stand in their files, weights as they stand and as used, standardised values, and the modules in order."""
+    order = [str(m) for m in config["module_order"]]
+    if len(set(order)) < len(order):
+        raise ValueError("a module is listed twice")
+    given = _weights(spark, a.weights)
+    weights = reports.preserved_program(given.withColumn("loading", F.expr("try_cast(loading as double)")), order)
+    long = {n: tables.wide_expression(spark, getattr(a, n), n) for n in names}
+    both = None
+    for frame in long.values():
+        both = frame if both is None else both.unionByName(frame)
+    return long, given, weights, standardize.standardised(standardize.normalised(both, "clean")).persist(), order
+
+
+def _preservation_manifest(spark: SparkSession, a: argparse.Namespace, config: dict, long: dict[str, DataFrame], given: DataFrame, outputs: dict[str, str]) -> None:
+    inputs = {**{n: (getattr(a, n), frame) for n, frame in long.items()}, "weights": (a.weights, given), "config": (a.config, None)}
+    _manifest(spark, a.manifest, config, inputs, outputs, {"outcome_loaded": False, "membership_and_loadings_changed": False})
+
+
+def preserve(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Structure and coverage of frozen programs in another cohort; the settings must say that no outcome was loaded."""
+    config = _config(spark, a.config, {"module_order", "minimum_genes"})
+    long, given, weights, z, order = _cohorts(spark, a, config, "reference", "external")
+    structure, coverage = reports.preserved(z, weights, order, int(config["minimum_genes"]))
+    sinks.table(structure, a.structure, "csv")
+    sinks.table(coverage, a.coverage, "csv")
+    z.unpersist()
+    _preservation_manifest(spark, a, config, long, given, {"structure": a.structure, "coverage": a.coverage})
+
+
+def infer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Permutation tests of the same runs, with q values over both tests of all modules."""
+    config = _config(spark, a.config, {"module_order", "minimum_genes", "n_permutations"})
+    long, given, weights, z, order = _cohorts(spark, a, config, "reference", "external")
+    table = reports.inferred(z, weights, order, int(config["minimum_genes"]), int(config["n_permutations"]), int(config.get("base_seed", 42)), int(config.get("module_seed_stride", 100)))
+    sinks.table(table, a.inference, "csv")
+    z.unpersist()
+    _preservation_manifest(spark, a, config, long, given, {"inference": a.inference})
+
+
+def reliability(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Split halves and leave-one-out of frozen programs in one cohort, by the seeds of the settings."""
+    config = _config(spark, a.config, {"module_order", "minimum_genes", "split_half_repeats", "base_seed", "module_seed_stride", "split_half_seed_offset"})
+    long, given, weights, z, order = _cohorts(spark, a, config, "external")
+    table, single = reports.reliability(z, weights, order, *(int(config[k]) for k in ("minimum_genes", "split_half_repeats", "base_seed", "module_seed_stride", "split_half_seed_offset")))
+    sinks.table(table, a.reliability, "csv")
+    sinks.table(single, a.loo, "csv")
+    z.unpersist()
+    _preservation_manifest(spark, a, config, long, given, {"reliability": a.reliability, "gene_leave_one_out": a.loo})
+
+
 def multiplicity(spark: SparkSession, a: argparse.Namespace) -> None:
     """Adds q values and whether they are supported to a table of p values; its rows are one family."""
     given = tables.with_file_order(tables.csv_table(spark, a.input, required=(a.p_column,)), "_ord")
@@ -48,13 +116,10 @@ def multiplicity(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
     """Frozen program scores of one cohort, one row per sample by sample id, and their coverage in module order."""
-    config = tables.run_config("\n".join(r["value"] for r in spark.read.text(a.config).collect()), guarded=False)
-    missing = sorted({"cohort", "module_order", "mapping_name", "minimum_genes", "minimum_fraction"} - set(config))
-    if missing:
-        raise ValueError(f"the configuration lacks {', '.join(missing)}")
+    config = _config(spark, a.config, {"cohort", "module_order", "mapping_name", "minimum_genes", "minimum_fraction"}, guarded=False)
     rule = ScoringRule(str(config["mapping_name"]), int(config["minimum_genes"]), float(config["minimum_fraction"]))
     order = [str(m) for m in config["module_order"]]
-    given = tables.with_file_order(tables.csv_table(spark, a.weights, required=("module_label", "gene", "loading")))
+    given = _weights(spark, a.weights)
     weights = scoring.frozen_program(given.withColumn("loading", F.expr("try_cast(loading as double)")))
     for m in order:
         scoring.module(weights, m)
@@ -103,6 +168,11 @@ def arguments() -> argparse.ArgumentParser:
     for name in ("--expression", "--weights", "--config", "--scores", "--coverage", "--manifest"):
         two.add_argument(name, required=True)
     two.set_defaults(run=score)
+    for run, names in ((preserve, "reference external weights config structure coverage manifest"), (infer, "reference external weights config inference manifest"), (reliability, "external weights config reliability loo manifest")):
+        more = commands.add_parser(run.__name__, help=run.__doc__)
+        for name in names.split():
+            more.add_argument(f"--{name}", required=True)
+        more.set_defaults(run=run)
     three = commands.add_parser("verify", help=verified.__doc__)
     for name in ("--expected", "--observed", "--keys", "--metrics", "--report"):
         three.add_argument(name, required=True)

@@ -61,17 +61,21 @@ def module_positions(weights: DataFrame, base: int = 42) -> DataFrame:
     """Modules in the order of their first weight, with the seeds of their streams."""
     first = weights.filter("module_label is not null").groupBy("module_label").agg(F.min("ord").alias("first"))
     place = F.row_number().over(W.orderBy("first", "module_label")) - 1
-    seeds = permutation_seeds(0, base)
-    step = permutation_seeds(1, base)[0] - seeds[0]
-    return first.select("module_label", place.alias("position")).withColumns({n: (F.col("position") * step + s).cast("bigint") for n, s in zip(("edge_seed", "loading_seed", "split_half_seed"), seeds, strict=True)})
+    return seeded(first.select("module_label", place.alias("position")), base)
 
 
-def inference_table(edges: DataFrame, loadings: DataFrame, genes: DataFrame, weights: DataFrame, reference: str, external: str, repeats: int = 5000, minimum_genes: int = 3, base: int = 42) -> DataFrame:
+def seeded(places: DataFrame, base: int = 42, stride: int = 100) -> DataFrame:
+    """Adds the seeds of the edge, loading and split-half streams of modules at these places."""
+    return places.withColumns({n: (F.col("position") * stride + s).cast("bigint") for n, s in zip(("edge_seed", "loading_seed", "split_half_seed"), permutation_seeds(0, base, stride), strict=True)})
+
+
+def inference_table(edges: DataFrame, loadings: DataFrame, genes: DataFrame, weights: DataFrame, reference: str, external: str, repeats: int = 5000, minimum_genes: int = 3, base: int = 42, positions: DataFrame | None = None) -> DataFrame:
     """One row per module: both statistics with counts, p, seeds and q values of the joint family.
 
-    The family holds the edge and the loading test of every module with a p value.
+    The family holds the edge and the loading test of every module with a p value. `positions`: places and seeds of a
+    run's own list of modules, else they follow the weights.
     """
-    positions = module_positions(weights, base)
+    positions = module_positions(weights, base) if positions is None else positions
     counts = genes.groupBy("module_label").agg(F.count_distinct("gene").alias("n_common_genes"))
     rows = positions.join(counts, "module_label", "left").withColumn("n_common_genes", F.coalesce("n_common_genes", F.lit(0)))
     for part in (edge_preservation(edges, reference, external).withColumnRenamed("spearman", "edge_spearman"), loading_preservation(loadings).withColumnRenamed("spearman", "loading_spearman"), edge_counts(edges, positions, reference, external, repeats), loading_counts(loadings, positions, repeats)):
@@ -88,12 +92,12 @@ def inference_table(edges: DataFrame, loadings: DataFrame, genes: DataFrame, wei
     return rows.drop("position", "split_half_seed")
 
 
-def reliability_table(halves: DataFrame, genes: DataFrame, weights: DataFrame, minimum_genes: int = 3, base: int = 42) -> DataFrame:
+def reliability_table(halves: DataFrame, genes: DataFrame, weights: DataFrame, minimum_genes: int = 3, base: int = 42, positions: DataFrame | None = None) -> DataFrame:
     """One row per module: split-half summary, smallest and median leave-one-out correlation, seed.
 
-    `halves`: module_label, rep, r; `genes`: one cohort's module genes.
+    `halves`: module_label, rep, r; `genes`: one cohort's module genes. Only modules with `minimum_genes` have values.
     """
-    positions = module_positions(weights, base).select("module_label", "split_half_seed")
+    positions = (module_positions(weights, base) if positions is None else positions).select("module_label", "split_half_seed")
     counts = genes.groupBy("module_label").agg(F.count_distinct("gene").alias("n_common_genes"))
     single = leave_one_out_summary(leave_one_out(genes, minimum_genes)).drop("cohort")
     rows = positions.join(counts, "module_label", "left").join(split_half_summary(halves), "module_label", "left").join(single, "module_label", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,21 @@ def permutation_schedule(spark: SparkSession, sizes: dict[str, int], seeds: dict
     return spark.createDataFrame(pa.concat_tables(parts)) if parts else spark.createDataFrame([], "module_label string, rep int, pos int, idx int")
 
 
+def permutation_streams(sizes: DataFrame, repeats: int, cells: int = 1 << 16) -> DataFrame:
+    """The same schedule made in tasks: `sizes` has module_label, n and seed; a module's stream is drawn in order, some `cells` rows at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label, n, seed in zip(*(b.column(c).to_pylist() for c in ("module_label", "n", "seed")), strict=True):
+                rng, step = np.random.default_rng(seed), max(1, cells // max(n, 1))
+                for at in range(0, repeats if n else 0, step):
+                    k = min(step, repeats - at)
+                    drawn = np.concatenate([rng.permutation(n) for _ in range(k)])
+                    yield pa.record_batch({"module_label": pa.array([label] * len(drawn), pa.string()), "rep": np.repeat(np.arange(at, at + k), n).astype(np.int32), "pos": np.tile(np.arange(n), k).astype(np.int32), "idx": drawn.astype(np.int32)})
+
+    return sizes.select("module_label", "n", "seed").repartition("module_label").mapInArrow(work, "module_label string, rep int, pos int, idx int")
+
+
 def balanced_splits(n: int, limit: int = 12, repeats: int = 1000, seed: int = 42) -> list[tuple[int, ...]]:
     """First halves of n items: all of them for up to `limit` items, else `repeats` random ones."""
     if n <= limit:
