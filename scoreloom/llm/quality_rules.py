@@ -6,9 +6,10 @@ exploded and the only shuffle is the sum of a few numbers per language.
 Base rules: fewer than `least_words` words, or more than half of the words in three-word windows that
 occur twice, fail. Then the Jensen-Shannon distance (base 2, 0 to 1) of two histograms to the reference
 of the document's language is taken: character classes, and the language's common words (with one bin
-for all other words). References are the sums over all documents of that language that pass the base
-rules; languages without a word list share one group, for which only character classes count. A document
-is rejected when a distance exceeds its limit; each limit is wider for short texts by slack / sqrt(n),
+for all other words). Common words are counted: the `common_words` words that most of a language's documents
+hold (ties: smaller ones first, by bytes), of at most `longest_word` characters. References are the sums over all documents of
+that language that pass the base rules. The `languages` languages with most documents have references of their own; rarer
+ones, empty and null ones share one group, for which only character classes count. A document is rejected when a distance exceeds its limit; each limit is wider for short texts by slack / sqrt(n),
 and below `guard_words` words (or `guard_chars` characters) the distance doesn't count at all.
 
 Defined results: a null text has no words and fails; a null language belongs to the shared group.
@@ -21,19 +22,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, words
 
-# Common words of four languages, for the word histograms.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-}
-OTHER = "other"
+OTHER = ""
 FEW = 48
+SHARES = 64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -47,6 +43,31 @@ class Limits:
     class_slack: float = 2.0
     word_distance: float = 0.12
     word_slack: float = 2.2
+    common_words: int = 12
+    languages: int = 200
+    longest_word: int = 40
+
+
+def language_words(df: DataFrame, text_col: str, lang_col: str, limits: Limits) -> dict[str, list[str]]:
+    """Each of the largest languages with its common words: `languages` times `common_words` words at most.
+
+    Words are counted once a document and summed before they are shuffled; a language's words are ranked in
+    shares by hash first, so that no task holds a whole vocabulary.
+    """
+    named = df.select(F.col(lang_col).alias("_q_group"), F.col(text_col).alias("_q_in")).filter(F.col("_q_group") != OTHER)
+    largest = [r["_q_group"] for r in named.groupBy("_q_group").count().orderBy(F.desc("count"), "_q_group").limit(limits.languages).collect()]
+    if not largest:
+        return {}
+    each = named.filter(F.col("_q_group").isin(largest)).select("_q_group", F.explode(F.array_distinct(words(F.col("_q_in")))).alias("_q_word"))
+    held = each.filter(F.length("_q_word") <= limits.longest_word).groupBy("_q_group", "_q_word").agg(F.count(F.lit(1)).alias("_q_held"))
+    order = (F.desc("_q_held"), F.col("_q_word"))
+    share = W.partitionBy("_q_group", F.pmod(F.xxhash64("_q_word"), F.lit(SHARES))).orderBy(*order)
+    some = held.withColumn("_q_k", F.row_number().over(share)).filter(F.col("_q_k") <= limits.common_words)
+    best = some.withColumn("_q_k", F.row_number().over(W.partitionBy("_q_group").orderBy(*order))).filter(F.col("_q_k") <= limits.common_words)
+    found = {k: [] for k in sorted(largest)}
+    for r in sorted(best.collect(), key=lambda r: r["_q_k"]):
+        found[r["_q_group"]].append(r["_q_word"])
+    return found
 
 
 def covered_words(starts: Column) -> Column:
@@ -55,12 +76,13 @@ def covered_words(starts: Column) -> Column:
     return F.aggregate(starts, first, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")), lambda a: a["n"])
 
 
-def with_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """Adds `_q_` columns: the counts, the two histograms and the language's group."""
+def with_counts(df: DataFrame, text_col: str, lang_col: str, common: dict[str, list[str]]) -> DataFrame:
+    """Adds `_q_` columns: the counts, the two histograms and the language's group. `common`: words by language."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    group = F.when(F.col(lang_col).isin(sorted(COMMON_WORDS)), F.col(lang_col)).otherwise(OTHER)
+    group = F.when(F.col(lang_col).isin(list(common)), F.col(lang_col)).otherwise(OTHER)
     none, whole = F.array().cast("array<bigint>"), F.array().cast("array<string>")
-    own = F.coalesce(*[F.when(group == k, F.array(*map(F.lit, v))) for k, v in sorted(COMMON_WORDS.items())], whole)
+    lists = F.create_map(*[x for k, v in common.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+    own = F.coalesce(F.try_element_at(lists, group), whole) if common else whole
     # Each step's arrays are columns of their own, used twice or more in the next, so that none of them
     # is moved into a lambda and made again for each element.
     df = df.withColumns({"_q_text": t, "_q_w": words(F.col(text_col)), "_q_group": group, "_q_list": own})
@@ -70,7 +92,7 @@ def with_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         "_q_word_chars": F.length(F.array_join(w, "")).cast("bigint"),
         "_q_lines": F.filter(F.split("_q_text", "\n", -1), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")),
         "_q_h": F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none),
-        "_q_common": F.filter(w, lambda x: x.isin(sorted(set().union(*COMMON_WORDS.values())))),
+        "_q_common": F.filter(w, lambda x: x.isin(sorted(set().union(*common.values())))),
         "_q_chars": F.length("_q_text").cast("bigint"),
         "_q_n_symbols": F.regexp_count("_q_text", F.lit("[#*$%&|<>]")).cast("bigint"),
         "_q_upper": F.regexp_count("_q_text", F.lit("[A-Z]")).cast("bigint"),
@@ -108,10 +130,10 @@ def base_failed(limits: Limits) -> Column:
 
 
 def references(counted: DataFrame, limits: Limits) -> DataFrame:
-    """One row per language group (at most the listed languages and one more): summed histograms."""
+    """One row per language group (`languages` and one more at most): summed histograms."""
     # Failed rows are left out inside the sums: a filter would move below the counts and repeat their expressions.
     ok = ~base_failed(limits)
-    n_classes, n_words = 7, 1 + max(map(len, COMMON_WORDS.values()))
+    n_classes, n_words = 7, 1 + limits.common_words
     sums = [F.sum(F.when(ok, F.get("_q_classes", F.lit(i)))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.when(ok, F.get("_q_bins", F.lit(i)))).alias(f"w{i}") for i in range(n_words)]
     return counted.groupBy("_q_group").agg(*sums).filter("c0 is not null").select(
         F.col("_q_group").alias("_q_ref"),
@@ -137,7 +159,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def judged(counted: DataFrame, refs: DataFrame, limits: Limits) -> DataFrame:
-    """Adds `_q_base_failed`, `_q_class_js`, `_q_word_js` and `_q_kept`. `refs` has a handful of rows."""
+    """Adds `_q_base_failed`, `_q_class_js`, `_q_word_js` and `_q_kept`. `refs` has a row per language group."""
     df = counted.join(F.broadcast(refs), F.col("_q_group") == F.col("_q_ref"), "left")
     df = df.withColumns({
         "_q_base_failed": base_failed(limits),
@@ -156,14 +178,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     needed = ["_q_group", "_q_chars", "_q_classes", "_q_bins", *(f"_q_{c}" for c in COUNTS)]
     only = df.select(F.col(id_col).alias("_q_id"), F.col(text_col).alias("_q_in"), F.col(lang_col).alias("_q_lang"))
-    counted = materialise(with_counts(only, "_q_in", "_q_lang").select("_q_id", *needed), "quality")
+    counted = materialise(with_counts(only, "_q_in", "_q_lang", language_words(df, text_col, lang_col, limits)).select("_q_id", *needed), "quality")
     done = judged(counted, references(counted, limits), limits)
     return done.select(F.col("_q_id").alias(id_col), *(F.col(f"_q_{c}").alias(c) for c in COUNTS), F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_class_js").alias("class_js"), F.col("_q_word_js").alias("word_js"))
 
 
 def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
     """The rows that pass, with the columns of the input. Counts twice instead of shuffling texts."""
-    counted = with_counts(df, text_col, lang_col)
+    counted = with_counts(df, text_col, lang_col, language_words(df, text_col, lang_col, limits))
     refs = materialise(references(counted, limits), "references")
     # Always true, but not known before the row is made: else the filter would move below the counts,
     # where their expressions would be repeated inside one another.
@@ -177,16 +199,21 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("class_js", "word_js")})
 
 
-def _sql() -> str:
-    lists = " ".join(f"when '{k}' then [{', '.join(repr(w) for w in v)}]" for k, v in sorted(COMMON_WORDS.items()))
-    limits, js = Limits(), "round({0}, 9) + cast(0 as double)"
+def _sql(limits: Limits = Limits()) -> str:
+    js = "round({0}, 9) + cast(0 as double)"
     distance = """sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: (case when {p}[i] > 0 then {p}[i] / {tp} * log2(2 * {p}[i] / {tp} / ({p}[i] / {tp} + {q}[i] / {tq})) else 0 end) + (case when {q}[i] > 0 then {q}[i] / {tq} * log2(2 * {q}[i] / {tq} / ({p}[i] / {tp} + {q}[i] / {tq})) else 0 end))) / 2))"""
     by_class, by_word = (f"case when {tp} > 0 and {tq} > 0 then {distance.format(p=p, q=q, tp=tp, tq=tq)} else 0 end" for p, q, tp, tq in (("classes", "ref_classes", "tc", "trc"), ("bins", "ref_bins", "tb", "trb")))
     return f"""
-with t as (
-  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, case when lang in ('de', 'en', 'es', 'fr') then lang else 'other' end as lg from documents
+with largest as (
+  select lang from documents where lang != '' group by lang order by count(*) desc, lang limit {limits.languages}
+), t as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, case when lang in (from largest) then lang else '' end as lg from documents
+), held as (
+  select lg, x, count(*) as n from (select lg, unnest(list_distinct(w)) as x from t where lg != '') where len(x) <= {limits.longest_word} group by lg, x
+), common as (
+  select lg, list(x order by k) as l from (select *, row_number() over (partition by lg order by n desc, x) as k from held) where k <= {limits.common_words} group by lg
 ), g as (
-  select *, case lg {lists} else [] end as l, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t
+  select t.*, coalesce(l, []) as l, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from t left join common on common.lg = t.lg
 ), win as (
   select doc_id, i, array_to_string(w[i:i + 2], ' ') as s from t, unnest(range(1, len(w) - 1)) u(i)
 ), rep as (
@@ -207,7 +234,7 @@ with t as (
 ), s as (
   select f.*, ref_classes, ref_bins, cast(list_sum(classes) as double) as tc, cast(list_sum(bins) as double) as tb, cast(list_sum(ref_classes) as double) as trc, cast(list_sum(ref_bins) as double) as trb from f left join rc using (lg) left join rb using (lg)
 ), d as (
-  select *, {by_class} as cj, case when lg = 'other' then 0 else {by_word} end as wj from s
+  select *, {by_class} as cj, case when lg = '' then 0 else {by_word} end as wj from s
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
   not base_failed and not (chars >= {limits.guard_chars} and cj > {limits.class_distance}::double + {limits.class_slack}::double / sqrt(greatest(1, chars))) and not (n_words >= {limits.guard_words} and wj > {limits.word_distance}::double + {limits.word_slack}::double / sqrt(greatest(1, n_words))) as kept,

@@ -173,6 +173,48 @@ def test_divergence_rejects_and_clean_texts_stay(spark):
     assert {r["doc_id"] for r in quality_rules.kept_rows(df, limits=limits).collect()} == set(range(40))
 
 
+def languages(spark):
+    """Many languages with ties of size and of words, long words, repeated rows and ids, nulls."""
+    r = random.Random(8)
+    rows = []
+    for i in range(240):
+        lang = r.choice(["a", "a", "a", "b", "b", "c", "d", "Z", "\u00e9", "", None])
+        own = [f"{lang}{k}" for k in range(40)] + ["x" * 40, "y" * 41, "the", "\u65e5\u672c"]
+        rows.append((i - i % 7 if i % 11 == 0 else i, " ".join(r.choice(own[: r.choice((3, 12, 44))]) for _ in range(r.choice((10, 80, 300)))) if i % 29 else None, lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_common_words_are_counted_by_language(spark, odd, clashing, empty):
+    for df, most, top in ((languages(spark), 3, 5), (languages(spark), 200, 12), (odd, 200, 12), (clashing, 1, 2)):
+        docs, held = Counter(), {}
+        for x in df.collect():
+            if x["lang"]:
+                docs[x["lang"]] += 1
+                held.setdefault(x["lang"], Counter()).update({w for w in WORD.findall(x["text"] or "") if len(w) <= 40})
+        largest = sorted(docs, key=lambda k: (-docs[k], k.encode()))[:most]
+        want = {k: sorted(held[k], key=lambda w: (-held[k][w], w.encode()))[:top] for k in largest}
+        assert quality_rules.language_words(df, "text", "lang", quality_rules.Limits(common_words=top, languages=most)) == want
+    assert quality_rules.language_words(empty, "text", "lang", quality_rules.Limits()) == {}
+
+
+@pytest.mark.parametrize("most", [2, 200])
+def test_quality_equals_its_sql(spark, most):
+    """Rarer languages share a group, which has no words."""
+    import duckdb
+
+    df, limits = languages(spark).dropDuplicates(["doc_id"]), quality_rules.Limits(languages=most, repeat_percent=300, common_words=6)
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841  read by the SQL
+    found = con.sql(quality_rules._sql(limits))
+    want = {x[0]: dict(zip(found.columns, x)) for x in found.fetchall()}
+    got = quality_rules.quality_rules(df, limits=limits).collect()
+    assert len(got) == len(want) and {True, False} == {x["kept"] for x in got if not x["base_failed"]}
+    for x in got:
+        w = want[x["doc_id"]]
+        assert {k: v for k, v in x.asDict().items() if k not in ("class_js", "word_js")} == {k: v for k, v in w.items() if k not in ("class_js", "word_js")}
+        assert (x["class_js"], x["word_js"]) == (pytest.approx(w["class_js"], abs=2e-9), pytest.approx(w["word_js"], abs=2e-9))
+
+
 def test_mixing_equals_its_sql(spark):
     import duckdb
 
