@@ -2,12 +2,14 @@
 
 import itertools
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import inference, inventory, stability
+from scoreloom.functions import stats
+from scoreloom.operators import inference, inventory, outcomes, recurrence, stability
 from tests.test_models import plain_cox, sample
 from tests.test_panels import rank, slow_linkage, spearman
 
@@ -189,3 +191,40 @@ def test_table_probe(spark):
     one, other, less = (inventory.table_probe(spark.createDataFrame(r, "k int, v string")).first() for r in (rows, rows[::-1], rows[1:]))
     assert (one["n_rows"], one["columns"], one["n_columns"]) == (4, "k;v", 2)
     assert one["digest"] == other["digest"] != less["digest"]
+
+
+def test_rank_gaussian(spark):
+    """Ties share a rank, missing values count as the median, a constant group is 0."""
+    groups = {"a": [3.0, 1.0, None, 1.0, 9.0, 2.0, 2.0], "b": [5.0, 5.0], "c": [float(i * i % 31) for i in range(25)]}
+    rows = [(k, i, v) for k, vs in groups.items() for i, v in enumerate(vs)]
+    got = {(r["k"], r["i"]): r["gaussian"] for r in stats.rank_gaussian(spark.createDataFrame(rows, "k string, i int, v double"), "v", "k").collect()}
+    for k, vs in groups.items():
+        filled = [np.median([x for x in vs if x is not None]) if v is None else v for v in vs]
+        for i, r in enumerate(rank(filled)):
+            assert got[k, i] == pytest.approx(0.0 if len(set(filled)) == 1 else NormalDist().inv_cdf((r - 0.5) / len(vs)), abs=1e-8)
+
+
+def test_corrected_t(spark):
+    """Five values with t of known p: 4 degrees of freedom have a closed form."""
+    groups = {"a": [0.1, 0.3, -0.05, 0.2, 0.15], "same": [0.2, 0.2, 0.2], "one": [0.4], "gap": [0.5, None, 0.1, 0.3, 0.2, -0.4]}
+    got = {r["k"]: r for r in outcomes.corrected_t(spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, d double"), "d", 5, "k").collect()}
+    for k in ("a", "gap"):
+        d = [x for x in groups[k] if x is not None]
+        t = np.mean(d) / math.sqrt((1 / 5 + 1 / 4) * np.var(d, ddof=1))
+        x = abs(t) / math.sqrt(4 + t * t)
+        assert (got[k]["n"], got[k]["t"], got[k]["p_value"]) == (5, pytest.approx(t), pytest.approx(1 - x * (3 - x * x) / 2, rel=1e-7))
+    assert got["same"]["p_value"] is None and got["one"]["p_value"] is None
+
+
+def test_gene_modules_are_numbered_by_size(spark):
+    rng = np.random.default_rng(13)
+    sizes, names = (4, 2, 6), [f"g{i:02d}" for i in range(13)]
+    data, want = [], {}
+    for cohort in ("p", "q"):
+        x = np.column_stack([np.repeat(rng.normal(size=(40, 3)), sizes, axis=1) + 0.3 * rng.normal(size=(40, 12)), rng.normal(size=40)])
+        data += [(cohort, f"s{i}", g, float(x[i, k])) for i in range(40) for k, g in enumerate(names)]
+        labels = slow_linkage(1 - np.array([[spearman(x[:, a], x[:, b]) for b in range(13)] for a in range(13)]), 0.4)
+        large = sorted({k for k in labels if (labels == k).sum() >= 3}, key=lambda k: (-(labels == k).sum(), k))
+        want.update({(cohort, g): large.index(k) + 1 if k in large else 0 for g, k in zip(names, labels)})
+    got = {(r["cohort"], r["gene"]): r["module_id"] for r in recurrence.gene_modules(spark.createDataFrame(data, "cohort string, sample_id string, gene string, z double"), 0.6, 3).collect()}
+    assert got == want and sorted(got.values()) == sorted(([1] * 6 + [2] * 4 + [0] * 3) * 2)
