@@ -57,7 +57,9 @@ def benjamini_hochberg(df: DataFrame, p: str, *family: str, order: str, q: str =
     up = part.orderBy(F.col("_p").asc_nulls_last(), F.col(order))
     df = df.withColumns({"_m": F.count("_p").over(part), "_k": F.row_number().over(up)})
     raw = F.col("_p") * F.col("_m") / F.col("_k")
-    df = df.withColumn(q, F.when(F.col("_p").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min(raw).over(up.rowsBetween(W.currentRow, W.unboundedFollowing))))))
+    # from the largest p down, as a frame that only grows is one pass; one that ends at the last row starts anew at every row
+    down = part.orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumn(q, F.when(F.col("_p").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.min(raw).over(down)))))
     if size:
         df = df.withColumn(size, F.col("_m"))
     return df.drop("_p", "_m", "_k")
