@@ -140,8 +140,8 @@ def sign_test(df: DataFrame, value: str, *keys: str) -> DataFrame:
     def step(a: Column, i: Column) -> Column:
         return F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["sum"] + a["term"]).alias("sum"))
 
-    exact = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k), first, step, lambda a: a["sum"])
-    z = (F.abs(F.col("n_positive") - n / 2.0) - 0.5) / F.sqrt(n / 4.0)
+    exact = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.when(n <= 1000, k)), first, step, lambda a: a["sum"])
+    z = F.greatest(F.lit(0.0), F.abs(F.col("n_positive") - n / 2.0) - 0.5) / F.sqrt(n / 4.0)
     return sums.withColumn("p_two_sided", F.least(F.lit(1.0), 2 * F.when(n <= 1000, exact).otherwise(normal_tail(z))))
 
 

@@ -312,7 +312,18 @@ def reliability_table(spark, sf_dir):
 @query(f"""with {S.SQL_P_VALUES}, s as (select family, count(*) as n, count(case when p_value > 0.3 then 1 end) as k from pv where p_value is not null and p_value != 0.3 group by family), t as (select *, least(k, n - k) as lo from s)
 select family, n::bigint as n, k::bigint as n_positive, {r('least(1, 2 * (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) from range(0, lo + 1) u(i)))', 'p_two_sided')} from t where n <= 1000""")
 def sign_test(spark, sf_dir):
-    """Exact sign test within families."""
+    """Exact sign test of families up to 1000 differences, as its SQL has them; larger ones are in `sign_test_large`."""
+    return _sign_tests(spark, sf_dir).filter("n <= 1000")
+
+
+@query(f"""with {S.SQL_P_VALUES}, s as (select family, count(*) as n, count(case when p_value > 0.3 then 1 end) as k from pv where p_value is not null and p_value != 0.3 group by family), z as (select *, greatest(0, abs(k - n / 2::double) - 0.5) / sqrt(n / 4::double) as z from s), t as (select *, 1 / (1 + 0.2316419::double * z) as t from z)
+select family, n::bigint as n, k::bigint as n_positive, {r('least(1, 2 * exp(-z * z / 2) * 0.3989422804014327::double * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))', 'p_two_sided')} from t where n > 1000""")
+def sign_test_large(spark, sf_dir):
+    """Sign test of the families beyond 1000 differences, by the normal approximation."""
+    return _sign_tests(spark, sf_dir).filter("n > 1000")
+
+
+def _sign_tests(spark, sf_dir):
     return tidy(inference.sign_test(S.p_values(spark, sf_dir).withColumn("d", F.col("p_value") - 0.3), "d", "family"))
 
 

@@ -25,3 +25,22 @@ def test_q_values_take_one_pass_over_a_family(spark):
             best = min(best, own[place - 1][0] * len(own) / place)
             assert got[own[place - 1][1]] == pytest.approx(best, abs=1e-15)
     assert all(got[k] is None for k, x in enumerate(p) if x is None)
+
+
+def test_sign_tests_hold_every_family_once(spark, tmp_path):
+    """Families up to 1000 differences are in sign_test, as in its SQL, larger ones in sign_test_large."""
+    import duckdb
+
+    from scoreloom.plans import registry
+
+    rows = spark.range(1, 4001).select(F.col("id").alias("p_partkey"), F.when(F.col("id") <= 900, "a").when(F.col("id") <= 1500, "b").otherwise("c").alias("p_type"), (900 + F.col("id") % 1000 / 10.0).alias("p_retailprice"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    seen = []
+    for name, families in (("sign_test", ["a", "b"]), ("sign_test_large", ["c"])):
+        got = sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(registry.ORACLE_SQL[name]).fetchall())
+        assert [r[0] for r in got] == families
+        seen += got
+    assert len(seen) == 3
