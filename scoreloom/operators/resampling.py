@@ -12,8 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import average_rank, empirical_p, safe_corr
+from scoreloom.operators import moments
 from scoreloom.operators.scoring import sign
 
+#: Repeats of a module that one task takes together.
+REPEATS = 256
+
 
 def permutation_seeds(position: int, base: int = 42, stride: int = 100) -> tuple[int, int, int]:
     """Seeds of the edge, loading and split-half schedules of the module at this place."""
@@ -112,13 +116,51 @@ def _counted(observed: DataFrame, null: DataFrame) -> DataFrame:
 def split_half(genes: DataFrame, schedule: DataFrame) -> DataFrame:
     """Correlation of the signed means of two halves of the genes, per module and repeat.
 
-    `genes`: module_label, sample_id, pos, loading, z. Places below n // 2 of a repeat form the first half.
+    `genes`: module_label, sample_id, pos, loading, z; one value of a sample and place. Places below n // 2 of a repeat form the first half.
+
+    A half's mean is a weighted sum of genes, so its variance and the halves' covariance follow from the genes' sums of
+    products: samples are read once, whatever the number of repeats. Modules in which some sample lacks a gene have
+    other weights in that sample; their samples meet every repeat.
     """
     sizes = schedule.groupBy("module_label").agg((F.max("pos") + 1).alias("n"))
-    halves = schedule.join(sizes, "module_label").filter("n >= 4").select("module_label", "rep", F.col("idx").alias("pos"), (F.col("pos") < F.floor(F.col("n") / 2)).alias("first"))
-    signed = genes.select("module_label", "pos", "sample_id", (sign(F.col("loading")) * F.col("z")).alias("s"))
-    means = halves.join(signed, ["module_label", "pos"]).groupBy("module_label", "rep", "sample_id").agg(F.avg(F.when(F.col("first"), F.col("s"))).alias("a"), F.avg(F.when(~F.col("first"), F.col("s"))).alias("b"))
-    return means.groupBy("module_label", "rep").agg(safe_corr("a", "b").alias("r"))
+    halves = schedule.join(F.broadcast(sizes), "module_label").filter("n >= 4").select("module_label", "rep", F.col("idx").alias("pos"), (F.col("pos") < F.floor(F.col("n") / 2)).alias("first"))
+    signed = genes.select("module_label", F.col("pos").cast("int").alias("pos"), "sample_id", (sign(F.col("loading")) * F.col("z")).alias("s"))
+    sums = moments.pair_sums(signed, ["module_label"], "pos", "s")
+    places = F.count(F.when(F.col("a") == F.col("b"), 1))
+    whole = sums.groupBy("module_label").agg(((F.min("n") == F.max("n")) & (F.count(F.lit(1)) == places * (places + 1) / 2)).alias("whole"))
+    part, rest = (F.broadcast(whole.filter(c).select("module_label")) for c in ("not whole", "whole"))
+    means = halves.join(part, "module_label", "left_semi").join(signed.join(part, "module_label", "left_semi"), ["module_label", "pos"]).groupBy("module_label", "rep", "sample_id").agg(F.avg(F.when(F.col("first"), F.col("s"))).alias("a"), F.avg(F.when(~F.col("first"), F.col("s"))).alias("b"))
+    met = means.groupBy("module_label", "rep").agg(safe_corr("a", "b").alias("r"))
+    chunk = F.floor(F.col("rep") / REPEATS).cast("bigint").alias("chunk")
+    left = halves.join(rest, "module_label", "left_semi").select("module_label", chunk, "rep", F.col("pos").cast("int").alias("pos"), "first")
+    chunks = left.select("module_label", F.col("chunk").alias("_chunk")).distinct()
+    right = sums.join(rest, "module_label", "left_semi").join(F.broadcast(chunks), "module_label").select(*sums.columns, F.col("_chunk").alias("chunk"))
+    found = left.groupBy("module_label", "chunk").cogroup(right.groupBy("module_label", "chunk")).applyInArrow(_halves, "module_label string, rep bigint, r double")
+    return found.withColumn("rep", F.col("rep").cast(dict(schedule.dtypes)["rep"])).unionByName(met)
+
+
+def _halves(plan: pa.Table, sums: pa.Table) -> pa.Table:
+    """Correlations of the halves of some repeats of a module."""
+    shape = pa.schema([("module_label", pa.string()), ("rep", pa.int64()), ("r", pa.float64())])
+    if not plan.num_rows or not sums.num_rows:
+        return shape.empty_table()
+    items, _, _, c = moments.square(sums)
+    pos, rep, first = plan.column("pos").to_numpy(), plan.column("rep").to_numpy(), plan.column("first").to_numpy(zero_copy_only=False)
+    known = np.isin(pos, items)
+    pos, rep, first = np.searchsorted(items, pos[known]), rep[known], first[known]
+    reps, row = np.unique(rep, return_inverse=True)
+    u, v = np.zeros((len(reps), len(items))), np.zeros((len(reps), len(items)))
+    np.add.at(u, (row[first], pos[first]), 1.0)
+    np.add.at(v, (row[~first], pos[~first]), 1.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        u, v = u / u.sum(axis=1, keepdims=True), v / v.sum(axis=1, keepdims=True)
+        uc, vc = u @ c, v @ c
+        a, b, ab = (uc * u).sum(axis=1), (vc * v).sum(axis=1), (uc * v).sum(axis=1)
+        sd = np.sqrt(np.diag(c))
+        # what is left of genes that cancel each other is rounding noise
+        some = (a > 1e-13 * (u @ sd) ** 2) & (b > 1e-13 * (v @ sd) ** 2)
+        r = ab / np.sqrt(a * b)
+    return pa.table({"module_label": [plan.column("module_label")[0].as_py()] * len(reps), "rep": reps.astype(np.int64), "r": pa.array(r, mask=~some)}, schema=shape)
 
 
 def split_half_summary(found: DataFrame) -> DataFrame:
