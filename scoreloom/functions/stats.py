@@ -79,6 +79,27 @@ def empirical_p(count: Column, n: Column | int) -> Column:
     return F.when(bad, F.raise_error(F.lit("count must lie between 0 and n, n at least 1")).cast("double")).otherwise((count + 1) / (n + 1.0))
 
 
+def exact_median(df: DataFrame, value: str, *keys: str, name: str = "median") -> DataFrame:
+    """The exact median of each key: keys, `name`.
+
+    Approximate quantiles give each key a narrow interval around it (0.004 of its rows; the approximation's error is a
+    twentieth of that); only distinct values inside are counted and ordered. A key's interval is one row, sent to every task.
+    """
+    rows = df.select(*keys, F.col(value).alias("_x")).filter(F.col(value).isNotNull())
+    near = F.percentile_approx("_x", F.array(F.lit(0.498), F.lit(0.502)), 10_000)
+    around = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), near.alias("_q")).select(*keys, "_n", F.col("_q")[0].alias("_a"), F.col("_q")[1].alias("_b"))
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    met = rows.alias("r").join(F.broadcast(around.alias("a")), on) if keys else rows.alias("r").crossJoin(F.broadcast(around.alias("a")))
+    met = met.filter("_x <= _b").select(*[F.col(f"a.{k}").alias(k) for k in keys], "_n", F.when(F.col("_x") >= F.col("_a"), F.col("_x")).alias("_x"))
+    # the row without a value counts all below the interval; it comes first
+    counts = met.groupBy(*keys, "_n", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    placed = counts.withColumn("_u", upto).filter((F.col("_u") >= low) & F.col("_x").isNotNull())
+    found = placed.groupBy(*keys).agg(F.min("_x").alias("_l"), F.min(F.when(F.col("_u") >= high, F.col("_x"))).alias("_h"))
+    return found.select(*keys, ((F.col("_l") + F.col("_h")) / 2.0).alias(name))
+
+
 def quantile_bins(df: DataFrame, value: str, bins: int, *keys: str, name: str = "bin") -> DataFrame:
     """Right-closed quantile bins from 0, lowest value included, equal edges merged."""
     cuts = F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))
