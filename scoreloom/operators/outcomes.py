@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import average_rank, normal_tail, student_p, z_score
+from scoreloom.sources.shared import written
+
+#: Bands of times and of scores, about; a power of two.
+BANDS = 256
 
 
 def roc_auc(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
@@ -24,34 +30,85 @@ def average_precision(df: DataFrame, score: str, label: str, *keys: str) -> Data
     return steps.groupBy(*keys).agg((F.sum(F.col("_tp") * F.col("_ct") / F.col("_cn")) / F.nullif(F.sum("_tp"), F.lit(0.0))).alias("average_precision"))
 
 
-def concordance(df: DataFrame, time: str, event: str, score: str, *keys: str, bits: int = 40) -> DataFrame:
+def concordance(df: DataFrame, time: str, event: str, score: str, *keys: str) -> DataFrame:
     """Harrell's C for a fixed direction: a higher score should mean a shorter time; equal scores count half.
 
-    Pairs are comparable if the shorter time is an event. No pair is made: scores become dense ranks, and two
-    ranks differ first at one binary digit. Per digit and common prefix, a window over time counts for each
-    event the later rows on the other side of the digit. Rows times digits (log2 of a key's distinct scores)
-    are sorted; a key (a cohort) is the unit of the widest windows.
+    Pairs are comparable if the shorter time is an event. No pair is made. Times and scores are cut into bands at
+    approximate quantiles, each of which is a band of its own, so that a frequent value never swells another's; where the
+    cuts lie changes the cost only. Pairs of one band of times are counted in that band, pairs of two bands of times and one of
+    scores in the latter, and all others from the number of rows in each two bands. A task holds one band, about
+    1 / BANDS of a key's distinct rows, or a key's table of bands.
     """
+    names = [f"_key{i}" for i in range(len(keys))]
     rows = df.select(*keys, F.col(time).alias("_t"), F.col(event).cast("int").alias("_e"), F.col(score).alias("_s")).dropna()
-    ranked = rows.select(*keys, "_t", "_e", (F.dense_rank().over(W.partitionBy(*keys).orderBy("_s")) - 1).cast("bigint").alias("_r"))
-    ranked = ranked.withColumn("_w", F.length(F.bin(F.max("_r").over(W.partitionBy(*keys)))))
-    digits = ranked.withColumn("_d", F.explode(F.sequence(F.lit(-1), F.least(F.lit(bits), F.col("_w")) - 1)))
-    # digit -1 stands for equal ranks
-    power = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("_d"))).cast("bigint")
-    bit = F.when(F.col("_d") >= 0, F.floor(F.col("_r") / power) % 2).otherwise(0)
-    placed = digits.select(*keys, "_t", "_e", "_d", F.when(F.col("_d") >= 0, F.floor(F.col("_r") / (2 * power))).otherwise(F.col("_r")).alias("_p"), bit.cast("int").alias("_b"))
-    part = W.partitionBy(*keys, "_d", "_p")
-    upto = part.orderBy("_t")  # rows of the same time included
-
-    def later(side: int) -> Column:
-        one = F.when(F.col("_b") == side, 1)
-        return F.count(one).over(part) - F.count(one).over(upto)
-
-    counted = placed.select(*keys, "_e", "_d", "_b", later(0).alias("_low"), later(1).alias("_high")).filter("_e = 1")
-    pairs = F.when(F.col("_d") < 0, F.col("_low")).when(F.col("_b") == 1, F.col("_low")).otherwise(F.col("_high"))
-    won = F.when(F.col("_d") < 0, F.col("_low") * 0.5).when(F.col("_b") == 1, F.col("_low") * 1.0).otherwise(0.0)
-    sums = counted.groupBy(*keys).agg(F.sum(pairs).alias("n_pairs"), F.sum(won).alias("_won"))
-    return sums.select(*keys, "n_pairs", (F.col("_won") / F.nullif(F.col("n_pairs"), F.lit(0))).alias("c_index"))
+    rows = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_t").cast("double").alias("_t"), F.col("_s").cast("double").alias("_s"), (F.col("_e") == 1).cast("bigint").alias("_e"))
+    points = written(rows.groupBy(*names, "_t", "_s").agg(F.count(F.lit(1)).alias("n"), F.sum("_e").alias("e")).withColumn("_all", F.lit(0)), "points")
+    names = ["_all", *names]
+    cuts = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
+    edges = points.groupBy(*names).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, cuts, 10_000))).alias(f"{c}_cuts") for c in ("_t", "_s")])
+    met = points.join(F.broadcast(edges), names)
+    dealt = written(met.select(*names, "_t", "_s", "n", "e", _band("_t").alias("t"), _band("_s").alias("s")), "bands")
+    kinds = ", ".join(f"{k} {t}" for k, t in dealt.dtypes if k in names)
+    shape = f"{kinds}, pairs bigint, won bigint"
+
+    def counted(count):
+        def work(group: pa.Table) -> pa.Table:
+            pairs, won = count(*(group.column(c).to_numpy() for c in ("x", "y", "n", "e")))
+            return pa.table({k: group.column(k)[:1].combine_chunks() for k in names} | {"pairs": pa.array([pairs], pa.int64()), "won": pa.array([won], pa.int64())})
+
+        return work
+
+    # bands of one time have no pairs within
+    near = dealt.filter(F.col("t") % 2 == 0).select(*names, F.col("t").alias("band"), F.col("_t").alias("x"), F.col("_s").alias("y"), "n", "e")
+    level = dealt.groupBy(*names, F.col("s").alias("band"), F.col("t").alias("x"), F.col("_s").alias("y")).agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    far = dealt.groupBy(*names, F.col("t").alias("x"), F.col("s").alias("y")).agg(F.sum("n").alias("n"), F.sum("e").alias("e"))
+    parts = near.groupBy(*names, "band").applyInArrow(counted(dominated), shape)
+    # pairs of these two are among those of `far`, which can't tell scores of one band apart
+    parts = parts.unionByName(level.groupBy(*names, "band").applyInArrow(counted(lambda x, y, n, e: (0, dominated(x, y, n, e)[1])), shape))
+    parts = parts.unionByName(far.groupBy(*names).applyInArrow(counted(lambda x, y, n, e: dominated(x, y, n, e, ties=False)), shape))
+    some = points.groupBy(*names).agg(F.sum("e").alias("e")).filter("e > 0").select(*names)
+    sums = parts.join(F.broadcast(some), names, "left_semi").groupBy(*names[1:]).agg(F.sum("pairs").alias("n_pairs"), F.sum("won").alias("_won"))
+    return sums.select(*[F.col(n).alias(k) for k, n in zip(keys, names[1:], strict=True)], "n_pairs", (F.col("_won") / 2.0 / F.nullif(F.col("n_pairs"), F.lit(0))).alias("c_index"))
+
+
+def _band(value: str) -> Column:
+    """Twice the number of cuts below the value, one more where it is a cut."""
+    cuts = F.col(f"{value}_cuts")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(BANDS.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < F.col(value), step).otherwise(0))
+    return 2 * below + F.coalesce(F.get(cuts, below) == F.col(value), F.lit(False)).cast("int")
+
+
+def dominated(x: np.ndarray, y: np.ndarray, n: np.ndarray, e: np.ndarray, ties: bool = True) -> tuple[int, int]:
+    """Pairs of an event and a row with a larger x, and twice those with a smaller y too; equal y count once, with `ties`.
+
+    Ranks of y differ first at one binary digit: per digit and common prefix, running sums over x.
+    """
+    _, r = np.unique(y, return_inverse=True)
+    down = np.lexsort((-x,))
+    x, r, n, e = x[down], r[down], n[down], e[down]
+
+    def later(prefix: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in order of the prefix, and for each the weights of the same prefix with a larger x."""
+        at = np.argsort(prefix, kind="stable")
+        p, w = prefix[at], weight[at]
+        upto = np.cumsum(w) - w
+        new = np.concatenate(([True], p[1:] != p[:-1]))
+        run = new | np.concatenate(([True], x[at][1:] != x[at][:-1]))
+        place = np.arange(len(at))
+        first, own = np.maximum.accumulate(np.where(new, place, 0)), np.maximum.accumulate(np.where(run, place, 0))
+        return at, upto[own] - upto[first]
+
+    at, ahead = later(np.zeros(len(r), np.int64), n)
+    pairs, won = int((e[at] * ahead).sum()), 0
+    for d in range(int(r.max()).bit_length() if len(r) else 0):
+        bit = (r >> d) & 1
+        at, ahead = later(r >> (d + 1), n * (1 - bit))
+        won += 2 * int((e[at] * bit[at] * ahead).sum())
+    if ties:
+        at, ahead = later(r, n)
+        won += int((e[at] * ahead).sum())
+    return pairs, won
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, *keys: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import stats
+from scoreloom.operators import moments, outcomes, preservation, resampling, standardize
 
 
 def plan(df) -> str:
@@ -44,3 +45,82 @@ def test_sign_tests_hold_every_family_once(spark, tmp_path):
         assert [r[0] for r in got] == families
         seen += got
     assert len(seen) == 3
+
+
+def test_concordance_has_no_window_and_counts_every_pair(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(t), int(e), float(s)) for t, e, s in zip(rng.integers(0, 300, 900), rng.random(900) < 0.5, np.round(rng.random(900), 2), strict=True)]
+    rows += [("b", float(t), 1, 1.0) for t in range(20)] + [("b", 7.0, 0, 0.5)] * 300 + [("c", 1.0, 1, 2.0)] * 3 + [("d", 1.0, 0, 2.0), ("d", 2.0, 0, 2.0)]
+    out = outcomes.concordance(spark.createDataFrame(rows, "k string, t double, e int, s double"), "t", "e", "s", "k")
+    assert "Window" not in plan(out)
+    got = {r["k"]: (r["n_pairs"], r["c_index"]) for r in out.collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"] == (0, None)
+    for k in "ab":
+        own = [r for r in rows if r[0] == k]
+        met = [(x, y) for x in own for y in own if x[2] and x[1] < y[1]]
+        assert got[k] == (len(met), pytest.approx(sum((x[3] > y[3]) + (x[3] == y[3]) / 2 for x, y in met) / len(met), abs=1e-12))
+
+
+def test_exact_medians_without_all_values_at_once(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=5001), "b": rng.integers(0, 3, 4000).astype(float), "c": np.array([4.0]), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("e", None)]
+    out = stats.exact_median(spark.createDataFrame(rows, "k string, v double"), "v", "k")
+    assert "percentile(" not in plan(out) and "median(" not in plan(out)
+    assert {r["k"]: r["median"] for r in out.collect()} == {k: float(np.median(v)) for k, v in values.items()}
+
+
+@pytest.fixture(scope="module")
+def genes(spark):
+    """A module of six genes over more samples than a block holds, and one in which samples lack genes."""
+    rng = np.random.default_rng(4)
+    z = {("M", g): rng.normal(size=300) for g in range(6)} | {("N", g): rng.normal(size=300) for g in range(5)}
+    rows = [("external", m, f"s{k}", f"G{g}", g, float(g - 2) or 1.0, float(v[k])) for (m, g), v in z.items() for k in range(300) if m == "M" or (k + g) % 4]
+    return rows, spark.createDataFrame(rows, "cohort string, module_label string, sample_id string, gene string, ord int, loading double, z double")
+
+
+def test_samples_meet_no_repeat_of_split_halves(spark, genes, monkeypatch):
+    monkeypatch.setattr(moments, "SAMPLES", 64)
+    rows, df = genes
+    rng = np.random.default_rng(5)
+    draws = {(m, rep): rng.permutation(n) for m, n in (("M", 6), ("N", 5)) for rep in range(7)}
+    schedule = spark.createDataFrame([(m, rep, p, int(i)) for (m, rep), idx in draws.items() for p, i in enumerate(idx)], "module_label string, rep int, pos int, idx int")
+    got = {(r["module_label"], r["rep"]): r["r"] for r in resampling.split_half(df.withColumn("pos", F.col("ord")), schedule).collect()}
+    assert set(got) == set(draws)
+    for (m, rep), idx in draws.items():
+        half = [set(idx[: len(idx) // 2].tolist()), set(idx[len(idx) // 2 :].tolist())]
+        means = []
+        for k in range(300):
+            own = [(r[4], (-1.0 if r[5] < 0 else 1.0) * r[6]) for r in rows if r[1] == m and r[2] == f"s{k}"]
+            means.append([np.mean([v for g, v in own if g in h] or [np.nan]) for h in half])
+        a, b = np.array([x for x in means if not np.isnan(x).any()]).T
+        assert got[m, rep] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+
+
+def test_components_and_correlations_come_from_blocks_of_samples(spark, genes, monkeypatch):
+    monkeypatch.setattr(moments, "SAMPLES", 64)
+    rows, df = genes
+    some = df.filter("module_label = 'M'")
+    x = np.array([[r[6] for r in rows if r[1] == "M" and r[4] == g] for g in range(6)]).T
+    got = preservation.edges_by_matrix(some)
+    assert "FlatMapGroupsInArrow" not in plan(got)  # the sums are kept; no group holds all samples
+    assert {(r["i"], r["j"]): r["r"] for r in got.collect()} == {(i, j): pytest.approx(np.corrcoef(x[:, i], x[:, j])[0, 1], abs=1e-12) for i in range(6) for j in range(i + 1, 6)}
+    u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    w = np.array([-1.0 if g < 2 else 1.0 for g in range(6)])
+    turn = np.sign(np.corrcoef(u[:, 0], x @ w)[0, 1])
+    for r in preservation.leading_component(some, "external").collect():
+        assert r["pc1"] == pytest.approx(turn * v[0][r["ord"]], abs=1e-9) and r["variance_explained"] == pytest.approx(s[0] ** 2 / (s**2).sum())
+        assert r["orientation_correlation"] == pytest.approx(abs(np.corrcoef(u[:, 0], x @ w)[0, 1]), abs=1e-9)
+
+
+def test_standardising_needs_no_window(spark):
+    values = {"A": [1.0, 2.0, None, 4.0, 9.0], "B": [5.0] * 5, "C": [1.0, None, None, 3.0, 8.0], "D": [None] * 5}
+    df = spark.createDataFrame([("x", f"s{k}", g, v) for g, vs in values.items() for k, v in enumerate(vs)], "cohort string, sample_id string, gene string, value double")
+    out = standardize.standardised(df)
+    assert "Window [" not in plan(out).split("BroadcastExchange")[0] and out.columns == [*df.columns, "z"]
+    got = {(r["gene"], r["sample_id"]): r["z"] for r in out.collect()}
+    for g in "AC":
+        v = np.array([np.nan if x is None else x for x in values[g]])
+        v = np.where(np.isnan(v), np.nanmedian(v), v)
+        assert [got.pop((g, f"s{k}")) for k in range(5)] == pytest.approx(list((v - v.mean()) / v.std(ddof=1)))
+    assert not got
