@@ -35,6 +35,7 @@ TAIL, LATIN = ".,;:!?*%#&$@", "\u0250"
 #: The byte-level alphabet by its rule: printable characters stand for their bytes, the others follow from U+0100.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+SPACE = chr(ALPHABET[0x20])
 #: Pieces of a row for the library.
 ROW = 2000
 #: Texts are worked on together up to so many characters.
@@ -137,8 +138,9 @@ class ByteTokenizer:
 
     def _word(self, body: str, starts_line: bool) -> bytes:
         """Ids of a word of Latin letters, a unit of the tokenizer's pattern, by the library's model."""
-        mapped = ("" if starts_line else " ") + body
-        ids = [t.id for t in self.model.tokenize(mapped.encode().decode("latin-1").translate(ALPHABET))]
+        # ASCII letters stand for themselves
+        mapped = body if body.isascii() else body.encode().decode("latin-1").translate(ALPHABET)
+        ids = [t.id for t in self.model.tokenize(mapped if starts_line else SPACE + mapped)]
         return (self.newline if starts_line else b"") + struct.pack(f"<{len(ids)}I", *ids)
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:

@@ -148,3 +148,18 @@ def test_allocation_rules():
             share = [max(0, min(b, e) - max(a, s)) for s, e in zip(edges, edges[1:])]
             want[share.index(max(share))] += 1
         assert allocate(np.array(list(zip(cuts, cuts[1:]))), np.array(edges), "majority")[0].tolist() == want
+
+
+def test_plain_words_go_to_the_model_without_a_detour(monkeypatch):
+    """ASCII words need no mapping of bytes; ids are the library's for these and for words of other letters."""
+    import public_tokenizers
+
+    from scoreloom.llm import byte_bpe
+
+    tokenizer = byte_bpe.ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for body in ("a", "word", "Zymurgy", "straße", "naïve", "Øl", "supercalifragilistic"):
+        for line in (False, True):
+            assert tokenizer._word(body, line) == tokenizer._plain([("\n" if line else " ") + body])[0]
+    monkeypatch.setattr(byte_bpe, "ALPHABET", None)  # not looked at for ASCII
+    assert tokenizer._word("plainword", False) == tokenizer._plain([" plainword"])[0]
+    assert tokenizer._pieces(["other."])["other."] == tokenizer._plain([" other."])[0]
