@@ -19,14 +19,15 @@ TILE = 512
 SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
-def pair_sums(values: DataFrame, keys: list[str], item: str, value: str = "value") -> DataFrame:
+def pair_sums(values: DataFrame, keys: list[str], item: str, value: str = "value", samples: int | None = None, tile: int | None = None) -> DataFrame:
     """keys, a, b, n, sa, sb, saa, sbb, sab of items a <= b over samples that have both.
 
-    `values`: keys, sample_id, item, value; at most one value of a sample and item in a key.
+    `values`: keys, sample_id, item, value; at most one value of a sample and item in a key. `samples` to a block and
+    items to a `tile`, else SAMPLES and TILE.
     """
     rows = written(values.filter(F.col(value).isNotNull()).select(*keys, "sample_id", F.col(item).alias("_i"), F.col(value).cast("double").alias("_v")), "values")
     sizes = rows.agg(F.approx_count_distinct("sample_id").alias("s"), F.approx_count_distinct("_i").alias("g")).first()
-    blocks, tiles = -(-max(1, sizes["s"]) // SAMPLES), -(-max(1, sizes["g"]) // TILE)
+    blocks, tiles = -(-max(1, sizes["s"]) // (samples or SAMPLES)), -(-max(1, sizes["g"]) // (tile or TILE))
     t = F.pmod(F.xxhash64("_i"), F.lit(tiles)).cast("int")
     dealt = rows.select(*keys, F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias("_block"), "sample_id", "_i", "_v", t.alias("_t"))
     dealt = dealt.withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(*keys, "_block", F.least("_t", "_u").alias("_t1"), F.greatest("_t", "_u").alias("_t2"), "_t", "sample_id", "_i", "_v")

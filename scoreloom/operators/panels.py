@@ -8,13 +8,12 @@ for all panels; a panel's edges are gathered from it.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import average_rank, benjamini_hochberg, percent_rank_average, quantile_bins, safe_corr, spearman
+from scoreloom.operators import moments
 from scoreloom.operators.recurrence import sign_concordance
 from scoreloom.operators.resampling import centred_rank, permuted_edges, permuted_loadings
 from scoreloom.operators.scoring import sign
@@ -121,34 +120,7 @@ def gene_correlations(values: DataFrame) -> DataFrame:
 
     `values`: cohort, sample_id, gene, value. Blocks of samples and tiles of genes give partial sums by dense products.
     """
-    values = values.filter("value is not null").select("cohort", "sample_id", "gene", "value")
-    sizes = values.agg(F.approx_count_distinct("sample_id").alias("s"), F.approx_count_distinct("gene").alias("g")).first()
-    blocks, tiles = -(-max(1, sizes["s"]) // SAMPLES), -(-max(1, sizes["g"]) // TILE)
-    t = F.pmod(F.xxhash64("gene"), F.lit(tiles)).cast("int")
-    dealt = values.select("cohort", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias("block"), "sample_id", "gene", "value", t.alias("t"))
-    dealt = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("cohort", "block", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), "t", "sample_id", "gene", "value")
-
-    def work(group: pa.Table) -> pa.Table:
-        samples, row = np.unique(group.column("sample_id").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        genes, first, col = np.unique(group.column("gene").to_numpy(zero_copy_only=False).astype(str), return_index=True, return_inverse=True)
-        tile = group.column("t").to_numpy()[first]
-        x, m = np.zeros((len(samples), len(genes))), np.zeros((len(samples), len(genes)))
-        x[row, col], m[row, col] = group.column("value").to_numpy(), 1.0
-        i, j = np.triu_indices(len(genes), 1)
-        if group.column("t1")[0].as_py() != group.column("t2")[0].as_py():  # pairs within a tile have a group of their own
-            apart = tile[i] != tile[j]
-            i, j = i[apart], j[apart]
-        sums = {"n": m.T @ m, "sa": x.T @ m, "sb": m.T @ x, "saa": (x * x).T @ m, "sbb": m.T @ (x * x), "sab": x.T @ x}
-        return pa.table({"cohort": [group.column("cohort")[0].as_py()] * len(i), "a": genes[i].tolist(), "b": genes[j].tolist()} | {k: v[i, j] for k, v in sums.items()}, schema=pa.schema([("cohort", pa.string()), ("a", pa.string()), ("b", pa.string()), *((k, pa.float64()) for k in sums)]))
-
-    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
-    parts = dealt.groupBy("cohort", "block", "t1", "t2").applyInArrow(work, "cohort string, a string, b string, " + ", ".join(f"{k} double" for k in names))
-    s = parts.groupBy("cohort", "a", "b").agg(*[F.sum(k).alias(k) for k in names])
-    n, sa, sb, saa, sbb, sab = (F.col(k) for k in names)
-    va, vb = saa - sa * sa / n, sbb - sb * sb / n
-    # a constant gene's variance is rounding noise
-    some = (va > 1e-12 * saa) & (vb > 1e-12 * sbb)
-    return s.select("cohort", "a", "b", F.when(some, (sab - sa * sb / n) / F.sqrt(va * vb)).alias("r"))
+    return moments.correlations(moments.pair_sums(values, ["cohort"], "gene", samples=SAMPLES, tile=TILE), "cohort")
 
 
 def panel_edges(panels: DataFrame, correlations: DataFrame, reference: str, external: str) -> DataFrame:

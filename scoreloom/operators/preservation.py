@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.stats import safe_corr, spearman
+from scoreloom.operators import moments
 from scoreloom.operators.scoring import joined, sign
 
 
@@ -41,16 +43,9 @@ def edges(genes: DataFrame) -> DataFrame:
 
 
 def edges_by_matrix(genes: DataFrame) -> DataFrame:
-    """The same, one dense matrix product per cohort and module."""
-
-    def work(group: pa.Table) -> pa.Table:
-        table = group.to_pandas().pivot(index="sample_id", columns="ord", values="z").sort_index(axis=1)
-        r = np.corrcoef(table.to_numpy(), rowvar=False).reshape(len(table.columns), -1)
-        i, j = np.triu_indices(len(table.columns), 1)
-        names, cohort, label = table.columns.to_numpy().astype(np.int32), group["cohort"][0].as_py(), group["module_label"][0].as_py()
-        return pa.table({"cohort": [cohort] * len(i), "module_label": [label] * len(i), "i": names[i], "j": names[j], "r": r[i, j]}, schema=pa.schema([("cohort", pa.string()), ("module_label", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("r", pa.float64())]))
-
-    return genes.groupBy("cohort", "module_label").applyInArrow(work, "cohort string, module_label string, i int, j int, r double")
+    """The same by dense products of blocks of samples, in parts of `moments`."""
+    sums = moments.pair_sums(genes, ["cohort", "module_label"], "ord", "z")
+    return moments.correlations(sums, "cohort", "module_label").select("cohort", "module_label", F.col("a").alias("i"), F.col("b").alias("j"), "r")
 
 
 def edge_preservation(found: DataFrame, reference: str, external: str) -> DataFrame:
@@ -63,25 +58,27 @@ def edge_preservation(found: DataFrame, reference: str, external: str) -> DataFr
 def leading_component(genes: DataFrame, cohort: str) -> DataFrame:
     """Loadings of the first principal component per module, turned towards the frozen signed mean.
 
-    One small singular value decomposition (samples x genes of a module) per group; long output:
+    From the genes' sums of products over all samples, a small symmetric matrix per module; long output:
     module_label, gene, ord, pc1, frozen_loading, variance_explained, orientation_correlation.
     """
+    own = genes.filter(F.col("cohort") == cohort)
+    named = own.groupBy("module_label", "ord").agg(F.first("gene").alias("gene"), F.first("loading").alias("loading"))
+    sums = moments.pair_sums(own, ["module_label"], "ord", "z").join(named.select("module_label", F.col("ord").alias("a"), "gene", "loading"), ["module_label", "a"])
 
     def work(group: pa.Table) -> pa.Table:
-        frame = group.to_pandas()
-        x = frame.pivot(index="sample_id", columns="ord", values="z").sort_index(axis=1)
-        info = frame.drop_duplicates("ord").set_index("ord").loc[x.columns]
-        c = x.to_numpy() - x.to_numpy().mean(axis=0)
-        u, s, v = np.linalg.svd(c, full_matrices=False)
-        score, load = u[:, 0] * s[0], v[0].copy()
-        frozen = x.to_numpy() @ np.where(info["loading"] < 0, -1.0, 1.0) / len(x.columns)
-        r = float(np.corrcoef(score, frozen)[0, 1])
+        items, _, _, c = moments.square(group)
+        at = group.filter(pa.compute.equal(group.column("a"), group.column("b"))).sort_by("a")
+        values, vectors = np.linalg.eigh(c)
+        values, load = np.maximum(values, 0), vectors[:, -1].copy()
+        w = np.where(at.column("loading").to_numpy(zero_copy_only=False) < 0, -1.0, 1.0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = float(np.clip(load @ c @ w / np.sqrt((load @ c @ load) * (w @ c @ w)), -1, 1))
         if r < 0:
             load, r = -load, -r
         n = len(load)
-        return pa.table({"module_label": [frame["module_label"].iloc[0]] * n, "gene": info["gene"].tolist(), "ord": x.columns.to_numpy().astype(np.int32), "pc1": load, "frozen_loading": info["loading"].to_numpy(), "variance_explained": np.full(n, s[0] ** 2 / (s**2).sum()), "orientation_correlation": np.full(n, r)})
+        return pa.table({"module_label": [group.column("module_label")[0].as_py()] * n, "gene": at.column("gene"), "ord": items.astype(np.int32), "pc1": load, "frozen_loading": at.column("loading"), "variance_explained": np.full(n, values[-1] / values.sum()), "orientation_correlation": np.full(n, r)})
 
-    return genes.filter(F.col("cohort") == cohort).groupBy("module_label").applyInArrow(work, "module_label string, gene string, ord int, pc1 double, frozen_loading double, variance_explained double, orientation_correlation double")
+    return sums.groupBy("module_label").applyInArrow(work, "module_label string, gene string, ord int, pc1 double, frozen_loading double, variance_explained double, orientation_correlation double")
 
 
 def loading_preservation(pc1: DataFrame) -> DataFrame:
