@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import stats
-from scoreloom.operators import moments, outcomes, preservation, resampling, standardize
+from scoreloom.operators import moments, outcomes, preservation, profiles, resampling, standardize
 
 
 def plan(df) -> str:
@@ -124,3 +124,21 @@ def test_standardising_needs_no_window(spark):
         v = np.where(np.isnan(v), np.nanmedian(v), v)
         assert [got.pop((g, f"s{k}")) for k in range(5)] == pytest.approx(list((v - v.mean()) / v.std(ddof=1)))
     assert not got
+
+
+def test_profiles_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "TILE", 2)
+    monkeypatch.setattr(profiles, "CELLS", 16)
+    rng = np.random.default_rng(6)
+    sent = []
+    monkeypatch.setattr(profiles.F, "sequence", lambda low, high, real=F.sequence: sent.append(high) or real(low, high))
+    x = {c: rng.normal(size=(40, 5)) for c in ("reference", "external")}
+    x["external"][3] = x["reference"][7] + 1e-3
+    df = spark.createDataFrame([(c, f"{c[0]}{k:02d}", f"G{g}", float(v[k, g])) for c, v in x.items() for k in range(40) for g in range(5)], "cohort string, sample_id string, gene string, value double")
+    got = {r["sample"]: r for r in profiles.profile_neighbours(df, "reference", "external").collect()}
+    assert [int(str(h).split("'")[1]) for h in sent] == [profiles.SHARE - 1] * 2
+    a, b = (x[c] - x[c].mean(axis=0) for c in ("external", "reference"))
+    r = np.corrcoef(a, b)[:40, 40:]
+    for k in range(40):
+        assert got[f"e{k:02d}"]["nearest_by_centred"] == f"r{r[k].argmax():02d}" and got[f"e{k:02d}"]["maximum_centred_r"] == pytest.approx(r[k].max(), abs=1e-9)
+    assert got["e03"]["suspect"]
