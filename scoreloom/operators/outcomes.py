@@ -13,6 +13,8 @@ from scoreloom.sources.shared import written
 
 #: Bands of times and of scores, about; a power of two.
 BANDS = 256
+#: Distinct rows that a band may have before a key is cut finer.
+ROWS = 4096
 
 
 def roc_auc(df: DataFrame, score: str, label: str, *keys: str) -> DataFrame:
@@ -45,7 +47,10 @@ def concordance(df: DataFrame, time: str, event: str, score: str, *keys: str) ->
     points = written(rows.groupBy(*names, "_t", "_s").agg(F.count(F.lit(1)).alias("n"), F.sum("_e").alias("e")).withColumn("_all", F.lit(0)), "points")
     names = ["_all", *names]
     cuts = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
-    edges = points.groupBy(*names).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, cuts, 10_000))).alias(f"{c}_cuts") for c in ("_t", "_s")])
+    edges = points.groupBy(*names).agg(F.count(F.lit(1)).alias("_m"), *[F.percentile_approx(c, cuts, 10_000).alias(c) for c in ("_t", "_s")])
+    # a small key needs few bands
+    stride = F.greatest(F.lit(1), F.ceil(F.lit(BANDS * ROWS) / F.col("_m")))
+    edges = edges.select(*names, *[F.array_sort(F.array_distinct(F.filter(c, lambda x, i: (i + 1) % stride == 0))).alias(f"{c}_cuts") for c in ("_t", "_s")])
     met = points.join(F.broadcast(edges), names)
     dealt = written(met.select(*names, "_t", "_s", "n", "e", _band("_t").alias("t"), _band("_s").alias("s")), "bands")
     kinds = ", ".join(f"{k} {t}" for k, t in dealt.dtypes if k in names)

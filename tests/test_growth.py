@@ -47,7 +47,9 @@ def test_sign_tests_hold_every_family_once(spark, tmp_path):
     assert len(seen) == 3
 
 
-def test_concordance_has_no_window_and_counts_every_pair(spark):
+@pytest.mark.parametrize("size", [1, 4096])
+def test_concordance_has_no_window_and_counts_every_pair(spark, monkeypatch, size):
+    monkeypatch.setattr(outcomes, "ROWS", size)
     rng = np.random.default_rng(2)
     rows = [("a", float(t), int(e), float(s)) for t, e, s in zip(rng.integers(0, 300, 900), rng.random(900) < 0.5, np.round(rng.random(900), 2), strict=True)]
     rows += [("b", float(t), 1, 1.0) for t in range(20)] + [("b", 7.0, 0, 0.5)] * 300 + [("c", 1.0, 1, 2.0)] * 3 + [("d", 1.0, 0, 2.0), ("d", 2.0, 0, 2.0)]
