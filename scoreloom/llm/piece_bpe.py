@@ -87,6 +87,7 @@ class PieceModel:
     def forget(self) -> None:
         self.chunks.clear()
         self.neighbours.clear()
+        model_of.cache_clear()
 
     def split(self, token: str) -> tuple[str, str] | None:
         """The two pieces whose merge makes this one; None if merging never arrives at it."""

@@ -140,3 +140,41 @@ def test_components_of_a_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(pairs, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_workers_get_texts_in_small_batches(spark, monkeypatch):
+    """A batch is bounded in bytes whatever the length of the texts; batches change no result, the session keeps its own setting."""
+    import pyarrow as pa
+
+    from scoreloom.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 5000) as text")
+    got = common.materialise(texts.mapInArrow(sizes, "n bigint, bytes bigint"), "sizes").collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["bytes"] for r in got) < 1.1 * common.BATCH_BYTES
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert spark.conf.get(key, None) is None
+    monkeypatch.setattr(common, "BATCH_BYTES", 5000)
+    rows = corpus(4)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    spark.conf.set(key, "7000")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(key) == "5000"
+        assert spark.conf.get(key) == "7000"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_a_waiting_worker_gives_the_piece_model_back():
+    import public_tokenizers
+
+    from scoreloom.llm import piece_bpe
+
+    model = piece_bpe.model_of(public_tokenizers.path("piece_bpe_32k.model"))
+    before = model.encode("some words here")
+    model.rest.forget()
+    assert piece_bpe.model_of.cache_info().currsize == 0 and model.encode("some words here") == before
