@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import stats
-from scoreloom.operators import moments, outcomes, preservation, profiles, resampling, standardize
+from scoreloom.operators import moments, outcomes, preservation, profiles, recurrence, resampling, stability, standardize
 
 
 def plan(df) -> str:
@@ -144,3 +144,48 @@ def test_profiles_are_sent_to_a_bounded_number_of_tiles(spark, monkeypatch):
     for k in range(40):
         assert got[f"e{k:02d}"]["nearest_by_centred"] == f"r{r[k].argmax():02d}" and got[f"e{k:02d}"]["maximum_centred_r"] == pytest.approx(r[k].max(), abs=1e-9)
     assert got["e03"]["suspect"]
+
+
+def test_modules_of_parts_come_from_blocks(spark, monkeypatch):
+    """Ranks of blocks of values and sums of blocks of samples and tiles of genes give the modules of whole parts; frequent and missing values included."""
+    monkeypatch.setattr(recurrence, "VALUES", 50)
+    monkeypatch.setattr(recurrence, "CELLS", 3 * 12 * 40)
+    monkeypatch.setattr(recurrence, "TILE", 4)
+    rng = np.random.default_rng(7)
+    n, names, parts = 400, [f"g{k:02d}" for k in range(12)], 3
+    x = np.repeat(rng.normal(size=(n, 4)), 3, axis=1) + 0.8 * rng.normal(size=(n, 12))
+    x[:, 1] = np.maximum(x[:, 1], 0)  # half of the values are one
+    x[:, 2] = np.round(x[:, 2])
+    x[rng.random(n) < 0.2, 4] = np.nan
+    x[:, 11] = 3.0
+    lost = rng.random((n, 12)) < 0.1
+    lost[:, :6] = False
+    rows = [("c", f"s{i:03d}", g, None if np.isnan(x[i, k]) and i % 2 else float(x[i, k])) for i in range(n) for k, g in enumerate(names) if not lost[i, k]]
+    z = spark.createDataFrame(rows, "cohort string, sample_id string, gene string, z double")
+    inside = [F.substring("sample_id", 2, 3).cast("int") % 7 != k for k in range(parts)]
+    x[lost] = np.nan
+
+    def want(part):
+        own = x[[i % 7 != part for i in range(n)]]
+        labels = recurrence.average_linkage(1 - recurrence.spearman_matrix(own), 0.6)
+        groups = sorted(({names[i] for i in np.flatnonzero(labels == k)} for k in set(labels.tolist()) if (labels == k).sum() >= 2), key=lambda g: (-len(g), min(g)))
+        return {g: k + 1 for k, group in enumerate(groups) for g in group}
+
+    got = {(r["part"], r["gene"]): r["module_id"] for r in recurrence.part_modules(z, inside, 0.4, 2).collect()}
+    assert set(got) == {(k, g) for k in range(parts) for g in names}
+    for part in range(parts):
+        expected = want(part)
+        assert len(set(expected.values())) > 2 and {g: got[part, g] for g in names} == {g: expected.get(g, 0) for g in names}
+    dealt, facts = recurrence.value_blocks(z.withColumn("z", F.when(~F.isnan("z"), F.col("z"))).withColumn("inside", F.array(*inside)), parts, 8)
+    groups = dealt.groupBy("gene", "block", "salt").count().collect()
+    assert max(r["count"] for r in groups) <= 75 and sum(r["count"] for r in groups) == (~np.isnan(x)).sum()
+    assert max(r["salts"] for r in facts.collect()) >= 4
+
+
+def test_subsamples_are_the_first_by_hash(spark):
+    items = spark.range(700).select(F.concat(F.lit("s"), F.col("id")).alias("i"))
+    inside = stability.subsamples(items, "i", 4, 0.8, 9)
+    got = items.select("i", F.array(*inside).alias("m"), F.array(*[F.xxhash64(F.lit(9), F.lit(k), "i") for k in range(4)]).alias("h")).collect()
+    for k in range(4):
+        first = sorted(got, key=lambda r: (r["h"][k], r["i"]))[:560]
+        assert {r["i"] for r in got if r["m"][k]} == {r["i"] for r in first}
