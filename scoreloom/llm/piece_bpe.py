@@ -31,6 +31,8 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: At most so many verdicts on neighbouring pieces are remembered (both are short).
 PAIRS = 200_000
+#: Rows whose texts and ids are held at once.
+ROWS = 500
 TAIL = ".,;:!?*%#&$@"
 #: Output columns and their Spark types.
 OUTPUTS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
@@ -254,7 +256,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         model = model_of(model_path)
         decodes = any(o.startswith("decoded") for o in outputs)
         with model.rest:
-            for batch in batches:
+            for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
                 found: dict[str, list] = {o: [] for o in outputs}
                 for joined in model.encode_texts(batch.column(1).to_pylist()):
                     decoded = model.decode(joined) if decodes else ""

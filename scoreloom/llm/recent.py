@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import threading
 from collections.abc import Callable
 from sys import getsizeof
@@ -52,6 +54,17 @@ class Recent:
         return look
 
 
+def give_back() -> None:
+    """Free memory that Python, Arrow and the C library keep for later goes back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 class Rest:
     """Calls `forget` when nothing has been at work for `after` seconds, so that a worker that waits gives its memory back."""
 
@@ -77,3 +90,4 @@ class Rest:
         with self.lock:
             if not self.busy:
                 self.forget()
+                give_back()

@@ -163,3 +163,27 @@ def test_plain_words_go_to_the_model_without_a_detour(monkeypatch):
     monkeypatch.setattr(byte_bpe, "ALPHABET", None)  # not looked at for ASCII
     assert tokenizer._word("plainword", False) == tokenizer._plain([" plainword"])[0]
     assert tokenizer._pieces(["other."])["other."] == tokenizer._plain([" other."])[0]
+
+
+def test_a_waiting_worker_gives_free_memory_back(monkeypatch):
+    import threading
+
+    from scoreloom.llm import recent
+
+    told, over = [], threading.Event()
+    monkeypatch.setattr(recent, "give_back", lambda real=recent.give_back: (real(), told.append("back"), over.set()))
+    with recent.Rest(lambda: told.append("forgot"), 0.05):
+        pass
+    assert over.wait(10) and told == ["forgot", "back"]
+
+
+def test_pieces_of_few_rows_are_held_at_once(documents, monkeypatch):
+    import public_tokenizers
+
+    from scoreloom.llm import piece_bpe
+
+    assert piece_bpe.ROWS <= 500
+    run = lambda: sorted(map(tuple, piece_bpe.encode_decode(documents, public_tokenizers.path("piece_bpe_32k.model")).collect()))
+    whole = run()
+    monkeypatch.setattr(piece_bpe, "ROWS", 7)
+    assert run() == whole and len(whole) == documents.count()
