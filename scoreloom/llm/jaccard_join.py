@@ -17,14 +17,17 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
    ones split by hash of the smaller document of a pair, or of the larger one where the smaller has
    too many pairs for a block); in a block the overlap counts of a document with all others are accumulated
    through the block's inverted index and pairs below the bound are dropped.
-5. The links found make components. In large gatherings, pairs across two components are still open:
-   all documents outside their most common component are paired with all that are not in their own. Those pairs are counted as in 4, and the links of both rounds give the components.
+5. The links found make components. In large gatherings, pairs across two components are still open. Where at
+   most SMALL documents are outside the most common component, those are paired with all that are not in their
+   own. Elsewhere, as in groups of near copies that differ too much from the leaders, sets are compared by what
+   they differ in from the gathering's middle (see `close`): copies of one text share nearly all n-grams but hardly
+   any difference. The pairs left are counted as in 4, and the links of both rounds give the components.
 
 So no link between different components is lost, and a group of copies or near copies never meets itself
 pair by pair. Nothing of the corpus goes to the driver but counts and at most BROADCAST_GRAMS hashes.
 Documents that all hold one passage have it behind their prefixes and aren't gathered by it, unless more than
 the similarity's share of a text is made of frequent n-grams. The pairs of step 5 can still grow with the
-square of a gathering of such texts that are not alike.
+square of a gathering of such texts where many share their differences from its middle too and yet are not alike.
 
 Defined results: null and empty texts have empty sets and are linked with nothing (component: their own
 id); rows that share an id count as one node with the links of all; a null id is a node of its own and
@@ -49,6 +52,8 @@ SMALL = 24
 LEADERS = 20
 #: So many of a document's large gatherings, its largest, take part in that.
 LARGEST = 2
+#: Documents of a gathering that get one copy of its middle.
+PART = 1000
 #: Pairs that a block should hold at most, about; so many shingles of a pair count as one more.
 BLOCK_PAIRS = 1000
 PAIR_SHINGLES = 4000
@@ -132,6 +137,106 @@ def can_reach(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def some_of(rows: DataFrame, by: str, columns: tuple[str, ...]) -> DataFrame:
+    """Of each group up to LEADERS rows, by hashes of their ids: (by, *columns)."""
+    least = rows.groupBy(by).agg(*[F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), *columns)).alias(f"l{r}") for r in range(LEADERS)])
+    each = [F.struct(*[F.col(f"l{r}.{c}") for c in columns]) for r in range(LEADERS)]
+    return least.select(by, F.explode(F.array_distinct(F.array(*each))).alias("l")).select(by, "l.*")
+
+
+def middles(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(home, picks, often): of some documents that hold the home's largest gathering, the n-grams that more than a quarter hold.
+
+    `often` has structs of an n-gram and how many of the `picks` sets hold it. The choice affects the cost, never the result.
+    """
+    top = rows.groupBy("home").agg(F.max(F.struct("m", "gram"))["gram"].alias("gram"))
+    picks = some_of(rows.join(top, ["home", "gram"]), "home", ("id",))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches):
+            for home, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([home]), pa.array([s.view(np.int64)], pa.list_(pa.int64()))], ["home", "grams"])
+
+    sets = materialise(picks.hint("merge").join(texts, "id").select("home", "text").mapInArrow(work, "home bigint, grams array<bigint>"), "picks")
+    many = sets.groupBy("home").agg(F.count(F.lit(1)).alias("picks"))
+    held = sets.select("home", F.explode("grams").alias("gram")).groupBy("home", "gram").agg(F.count(F.lit(1)).alias("held"))
+    return held.join(many, "home").filter("4 * held > picks").groupBy("home", "picks").agg(F.collect_list(F.struct("gram", "held")).alias("often"))
+
+
+def differences(members: DataFrame, rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(home, id, c, most, reach, n, d, grams): each member's set size, and its symmetric difference with the home's middle.
+
+    The middle are the n-grams that more than half of the picked sets hold; `d` is the size of the difference,
+    `grams` the part of it that can matter (see `close`), what fewer of the picked sets differ in first.
+    """
+    parts = F.ceil(F.col("k") / PART)
+    sizes = members.groupBy("home").agg(F.count(F.lit(1)).alias("k"))
+    centre = middles(rows, texts, width).join(sizes, "home").select("home", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "picks", F.col("often.gram").alias("gram"), F.col("often.held").alias("held"))
+    dealt = members.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("k")
+    whole = dealt.hint("merge").join(texts, "id").join(centre, ["home", "part"]).select("home", "id", "c", "most", "reach", "text", "picks", "gram", "held")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches, 100):
+            homes, known, at, sizes, ds, grams = batch.column(0).to_pylist(), {}, [], [], [], []
+            for i, s in enumerate(shingle_sets(batch.column(5).to_pylist(), width)):
+                n = len(s)
+                if not n:
+                    continue
+                if homes[i] not in known:
+                    g, h = batch.column(7)[i].values.to_numpy().view(np.uint64), batch.column(8)[i].values.to_numpy()
+                    by, picks = np.argsort(g), batch.column(6)[i].as_py()
+                    known[homes[i]] = g[by], np.where(2 * h > picks, picks - h, h)[by], (2 * h > picks)[by]
+                g, weight, middle = known[homes[i]]
+                place = np.minimum(np.searchsorted(g, s), len(g) - 1)
+                met = g[place] == s
+                differs = middle.copy()
+                differs[place[met]] ^= True
+                other, w = g[differs], weight[differs]
+                ordered = np.concatenate((s[~met], other[np.lexsort((other, w))]))
+                d = len(ordered)
+                # a partner has at most 100 n / percent n-grams, and a difference of none or more
+                k = -(-((100 + percent) * d - (100 - percent) * (n + 100 * n // percent)) // (2 * (100 + percent)))
+                at.append(i)
+                sizes.append(n)
+                ds.append(d)
+                grams.append(ordered[: d - max(1, k) + 1].view(np.int64))
+            kept = batch.select(["home", "id", "c", "most", "reach"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), pa.array(ds, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["home", "id", "c", "most", "reach", "n", "d", "grams"])
+
+    return whole.mapInArrow(work, "home bigint, id bigint, c bigint, most bigint, reach bigint, n bigint, d bigint, grams array<bigint>").distinct()
+
+
+def close(members: DataFrame, rows: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and gathered rows x and y whose pairs, with those links, hold all links across components of a home.
+
+    Be D the symmetric difference of a set with any fixed set, r = (100 + percent) |D| - (100 - percent) n. Two sets
+    reach the similarity where r + r' <= 2 (100 + percent) q, q being the size of the intersection of their Ds. So with
+    the least r of a home, all that need no q at all are linked to one document. Any other linked pair shares an
+    element of its Ds, among the first |D| - k + 1 of both where q must be k or more. `reach` bounds what a member
+    shares with any other that it first meets in this home.
+    """
+    unit = 2 * (100 + percent)
+    sets = materialise(differences(members, rows, texts, width, percent), "differences").withColumn("r", (100 + percent) * F.col("d") - (100 - percent) * F.col("n"))
+    least = sets.groupBy("home").agg(F.min(F.struct("r", "id")).alias("z")).select("home", F.col("z.r").alias("r0"), F.col("z.id").alias("centre"))
+    sets = sets.join(least, "home").withColumn("sure", F.col("r") + F.col("r0") <= 0)
+    links = sets.filter("sure and id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    # the components that those links join are one, or the most common one where that is larger
+    parts = sets.groupBy("home", "c", "most").agg(F.count(F.lit(1)).alias("k"), F.max("sure").alias("star"))
+    larger = parts.groupBy("home").agg(F.sum(F.when(F.col("star"), F.col("k")).otherwise(0)).alias("s"), F.sum(F.when(F.expr("c = most"), F.col("k")).otherwise(0)).alias("l"))
+    inside = parts.join(larger, "home").select("home", "c", F.when(F.expr("s >= l"), F.col("star")).otherwise(F.expr("c = most")).alias("inside"))
+    sets = sets.join(inside, ["home", "c"])
+    sets = sets.join(sets.filter("not inside").groupBy("home").agg(F.min("r").alias("r1")), "home")
+
+    def first(some: DataFrame, bound: str) -> DataFrame:
+        k = F.greatest(F.lit(1), F.ceil((F.col("r") + F.col(bound)) / unit))
+        return some.select("home", "id", "c", "reach", "n", "d", "r", F.posexplode(F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.col("d") - k + 1).cast("int"))).alias("at", "gram"))
+
+    x, y = first(sets.filter("not inside"), "r0").alias("x"), first(sets, "r1").alias("y")
+    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * F.least("x.reach", "y.reach") >= percent * (F.col("x.n") + F.col("y.n")))
+    enough = F.col("x.r") + F.col("y.r") <= unit * F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    return links, x.join(y, (F.col("x.home") == F.col("y.home")) & (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & fits & enough)
+
+
 def blocks(pairs: DataFrame) -> DataFrame:
     """Candidates (home, block, salt, a, b), about BLOCK_PAIRS of them in a block and salt.
 
@@ -216,8 +321,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = small.alias("x").join(small.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & can_reach("x", "y", percent))
     # Near copies share most gatherings; a few of them do, as step 5 still looks at all.
     main_rows = large.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy(F.desc("m"), "gram"))).filter(F.col("_k") <= LARGEST).drop("_k")
-    lead = main_rows.groupBy("gram").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "at")).alias(f"l{r}") for r in range(LEADERS)])
-    lead = lead.select("gram", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{r}.{c}") for c in ("id", "n", "at")]) for r in range(LEADERS)]))).alias("l")).select("gram", "l.*")
+    lead = some_of(main_rows, "gram", ("id", "n", "at"))
     far = main_rows.alias("x").join(lead.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") != F.col("y.id")) & can_reach("x", "y", percent))
 
     def asked(joined: DataFrame) -> DataFrame:
@@ -238,13 +342,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Gatherings with the same smallest document share most others too; they are taken together, with
     # the earliest place of an n-gram, which bounds the overlap from above.
     placed = labelled.groupBy("home", "id", "n", "c").agg(F.min("at").alias("at"))
-    main = placed.groupBy("home", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("home").agg(F.max(F.struct("k", "c"))["c"].alias("most"))
+    main = placed.groupBy("home", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("home").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("k"))
+    main = main.select("home", F.col("top.c").alias("most"), (F.col("k") - F.col("top.k")).alias("open")).filter("open > 0")
     labelled = materialise(placed.join(main, "home"), "labelled")
-    outside = labelled.filter("c != most")
-    across = outside.alias("x").join(labelled.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.c") != F.col("y.c")) & can_reach("x", "y", percent))
-    second = asked(across).groupBy("a", "b").agg(F.min("home").alias("home"), F.max("w").alias("w")).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    some, many = labelled.filter(F.col("open") <= SMALL), labelled.filter(F.col("open") > SMALL)
+    across = some.filter("c != most").alias("x").join(some.alias("y"), (F.col("x.home") == F.col("y.home")) & (F.col("x.c") != F.col("y.c")) & can_reach("x", "y", percent))
+    members = many.groupBy("home", "id", "c", "most").agg(F.max(F.col("n") - F.col("at")).alias("reach"))
+    certain, apart = close(members, large.join(members.select("home").distinct(), "home", "left_semi"), texts, width, percent)
+    second = asked(across).unionByName(asked(apart)).groupBy("a", "b").agg(F.min("home").alias("home"), F.max("w").alias("w")).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = materialise(second, "pairs")
-    more = materialise(overlaps(texts, second, width, percent), "links")
+    more = materialise(overlaps(texts, second, width, percent).unionByName(certain), "links")
     joined = more.join(found.selectExpr("node as a", "component as ca"), "a", "left").join(found.selectExpr("node as b", "component as cb"), "b", "left")
     merged = materialise(components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b"), "components")
     final = found.selectExpr("node", "component as c1").join(merged.selectExpr("node as c1", "component as c2"), "c1", "left").select("node", F.coalesce("c2", "c1").alias("component"))

@@ -88,6 +88,48 @@ def test_a_shared_phrase_makes_no_pairs(spark, monkeypatch):
     assert sum(asked) < 400  # of 79,800 possible ones among the 400 documents with the phrase
 
 
+@pytest.mark.parametrize("n", [300, 600])
+def test_near_copies_far_from_the_leaders_make_few_pairs(spark, n, monkeypatch):
+    """A group of near copies of which many are alike with few others: exact, without all pairs across components."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(n):
+        copy = list(base)
+        for at in r.sample(range(150), i % 9):
+            copy[at] = word()
+        if i % 40 == 8:  # pairs that are alike beyond the middle
+            rows.append((n + i, " ".join(copy[:-1] + [word()])))
+        rows.append((i, " ".join(copy)))
+    r.shuffle(rows)
+    asked = []
+    overlaps = J.overlaps
+    monkeypatch.setattr(J, "overlaps", lambda docs, pairs, *a: asked.append(pairs.count()) or overlaps(docs, pairs, *a))
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute(rows) and len({c for _, _, c in got}) > n // 3
+    assert asked[1] < n  # beyond those with leaders; all across components would be some n * n / 4
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_pairs_across_components_of_mixed_groups(spark, percent, monkeypatch):
+    """Near copies of several texts by replaced, lost and added words, repeated rows and clashing identifiers in one gathering."""
+    r = random.Random(percent)
+    word = lambda: r.choice("abcdefghijkl") + r.choice("mnopq")
+    shared, rows = [word() for _ in range(25)], []
+    for base in ([word() for _ in range(size)] for size in (30, 31, 45)):
+        for _ in range(50):
+            copy = shared + base
+            for _ in range(r.randint(0, 5)):
+                at = r.randrange(len(copy))
+                copy[at : at + r.randint(0, 2)] = [word()] * r.randint(0, 2)
+            rows.append((r.randrange(300), " ".join(copy)))
+    rows += rows[:20] + [(1000, ""), (1001, None)]
+    for name, most in (("SMALL", 4), ("LEADERS", 2), ("PART", 7)):
+        monkeypatch.setattr(J, name, most)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(rows, percent=percent)
+
+
 def test_classes_of_one_id_are_one_node(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(3, a), (5, a), (5, b), (8, b), (9, c)]
