@@ -41,11 +41,10 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs started herein send Python workers batches of BATCH_BYTES, or of one row where that is longer."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Jobs started herein run with that setting."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(BATCH_BYTES))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -55,10 +54,18 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession):
+    """Jobs started herein send Python workers batches of BATCH_BYTES, or of one row where that is longer."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What the write has shuffled goes with its end, not when the driver happens to collect its garbage.
+    """
     path = shared_folder(df.sparkSession, what)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession), setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ has no component id but null. Repeated rows stay repeated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,15 @@ PART = 1000
 #: Pairs that a block should hold at most, about; so many shingles of a pair count as one more.
 BLOCK_PAIRS = 1000
 PAIR_SHINGLES = 4000
-#: Up to so many frequent n-grams (8 bytes each) are sent to every task; more are joined.
+#: Up to so many frequent n-grams (8 bytes each) are sent to every task; of more a bit map of FILTER_BITS, which takes as much.
 BROADCAST_GRAMS = 500_000
+FILTER_BITS = 25
+#: n-grams are counted by the first bits of their hashes: a bucket's and three bytes more. Two of one key count as one,
+#: which puts some in vain behind others and becomes common from some 3 TB of text on.
+BUCKET_BITS = 12
+KEY_BITS = BUCKET_BITS + 24
+#: n-grams of a scan that are sorted and sent to be counted at once.
+COUNTED = 1_000_000
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -68,24 +75,86 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
 
 
 def frequent(docs: DataFrame, width: int) -> DataFrame:
-    """n-grams that more than SMALL documents hold: column gram.
+    """Keys (first KEY_BITS of the hash) of n-grams that more than SMALL documents hold: (bucket, keys, bits).
 
-    Counted over the whole table, added up before and after the shuffle.
+    A row has a bucket's keys, and its part of a bit map of them of FILTER_BITS. Counted over the whole table: a scan sends
+    the sorted keys of many texts, three bytes each, to their buckets.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    per_bucket = FILTER_BITS - BUCKET_BITS
+
+    def dealt(sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.sort(np.concatenate(sets)) >> np.uint64(64 - KEY_BITS)
+        edges = np.searchsorted(keys, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(24))
+        held = np.flatnonzero(np.diff(edges))
+        low = np.ascontiguousarray(keys.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+        offsets = 3 * np.append(edges[held], len(keys)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(low)])], ["bucket", "keys"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sets, n = set(), [], 0
         for batch in _batches(batches):
-            seen, parts = set(), []
             for s in shingle_sets(batch.column(0).to_pylist(), width):
                 key = hash(s.tobytes())
                 if len(s) and key not in seen:
                     seen.add(key)
-                    parts.append(s)
-            if parts:
-                grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int32))], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(work, "gram bigint, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > SMALL).select("gram")
+                    sets.append(s)
+                    n += len(s)
+            if n >= COUNTED:
+                yield dealt(sets)
+                seen, sets, n = set(), [], 0
+        if sets:
+            yield dealt(sets)
+
+    def counted(bucket: int, parts: list[bytes]) -> tuple[int, np.ndarray, bytes]:
+        three = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3)
+        low = np.zeros((len(three), 4), np.uint8)
+        low[:, :3] = three
+        keys, n = np.unique(low.view("<u4").ravel(), return_counts=True)
+        keys = keys[n > SMALL].astype(np.int64)
+        bits = np.zeros(1 << per_bucket, bool)
+        bits[keys >> (24 - per_bucket)] = True
+        return bucket, keys + (bucket << 24), np.packbits(bits).tobytes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            bucket, keys, bits = counted(at, parts)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([bits], pa.binary())], ["bucket", "keys", "bits"])
+
+        for batch in batches:
+            for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != at:
+                    if parts:
+                        yield from done()
+                    at, parts = bucket, []
+                parts.append(part)
+        if parts:
+            yield from done()
+
+    sent = docs.select("text").mapInArrow(scan, "bucket int, keys binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "bucket int, keys array<bigint>, bits binary")
+
+
+def late_by(often: DataFrame, few: bool) -> Callable[[np.ndarray], np.ndarray]:
+    """Which n-grams go behind the others: those of the given keys, or all whose bit is set (some more than those)."""
+    if few:
+        known = np.sort(np.concatenate([np.zeros(0, np.int64), *(r["keys"] for r in often.select("keys").collect())])).astype(np.uint64)
+    else:
+        known = np.zeros((1 << BUCKET_BITS, 1 << FILTER_BITS - BUCKET_BITS - 3), np.uint8)
+        for r in often.select("bucket", "bits").collect():
+            known[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+        known = known.ravel()
+    shift, most = np.uint64(64 - (KEY_BITS if few else FILTER_BITS)), len(known) - 1
+
+    def late(s: np.ndarray) -> np.ndarray:
+        x = s >> shift
+        if not few:
+            return known[x >> np.uint64(3)] << (x & np.uint64(7)).astype(np.uint8) & 128 > 0
+        return known[np.minimum(np.searchsorted(known, x), most)] == x if most >= 0 else np.zeros(len(s), bool)
+
+    return late
 
 
 def least_common(n: int, percent: int) -> int:
@@ -93,8 +162,11 @@ def least_common(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int, whole: bool = False) -> DataFrame:
-    """(id, n, class_key, grams): set size, a digest of the set and its prefix in order (or the whole set)."""
+def prefixes(docs: DataFrame, late: Callable[[np.ndarray], np.ndarray], width: int, percent: int, whole: bool = False) -> DataFrame:
+    """(id, n, class_key, grams): set size, a digest of the set and its prefix in order.
+
+    `whole`: late ones are in no order yet, and sets whose prefix holds some of them are given whole.
+    """
     import hashlib
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +174,13 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int, whol
             sizes, keys, grams = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 n = len(s)
+                first = n - least_common(n, percent) + 1 if n else 0
                 sizes.append(n)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
-                if n and len(common):
-                    late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate((s[~late], s[late]))
-                grams.append((s if whole else s[: n - least_common(n, percent) + 1 if n else 0]).view(np.int64))
+                behind = late(s)
+                early = s[~behind]
+                s = np.concatenate((early, s[behind]))
+                grams.append((s if whole and len(early) < first else s[:first]).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n", "class_key", "grams"])
@@ -115,19 +188,20 @@ def prefixes(docs: DataFrame, common: np.ndarray, width: int, percent: int, whol
     return docs.select("id", "text").mapInArrow(work, "id bigint, n bigint, class_key binary, grams array<bigint>")
 
 
-def joined_prefixes(sets: DataFrame, heads: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+def joined_prefixes(sets: DataFrame, heads: DataFrame, often: DataFrame, percent: int) -> DataFrame:
     """(id, n, grams): the prefixes of the classes' first documents where the frequent n-grams are too many for every task.
 
-    `sets` are whole sets in the order of their hashes, `heads` the (class_key, id) of the first documents. Only their
-    sets meet the frequent n-grams, in a join; copies and repeated rows don't take part.
+    `heads` are the (class_key, id) of the first documents. Only their sets that are given whole, as few others
+    than those in the bit map are in them, meet the frequent n-grams in a join; copies and repeated rows don't take part.
     """
+    first = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1).cast("int")
     one = sets.join(heads, ["class_key", "id"], "left_semi").dropDuplicates(["class_key"])
-    marked = one.select("class_key", "id", "n", F.explode("grams").alias("gram")).join(common.withColumn("late", F.lit(True)), "gram", "left")
-    # the order of unsigned numbers, frequent ones last
-    key = F.struct(F.coalesce("late", F.lit(False)).alias("late"), (F.col("gram") < 0).alias("high"), "gram")
-    ordered = marked.groupBy("class_key", "id", "n").agg(F.sort_array(F.collect_list(key)).alias("g"))
-    size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
-    return ordered.select("id", "n", F.slice(F.transform("g", lambda x: x["gram"]), F.lit(1), size.cast("int")).alias("grams"))
+    common = often.select(F.explode("keys").alias("key"), F.lit(True).alias("late"))
+    grams = one.filter(F.size("grams") > first).select("class_key", F.posexplode("grams").alias("at", "gram")).withColumn("key", F.shiftrightunsigned("gram", 64 - KEY_BITS))
+    # those in the bit map alone stay before the frequent ones
+    key = F.struct(F.coalesce("late", F.lit(False)).alias("late"), "at", "gram")
+    ordered = grams.join(common, "key", "left").groupBy("class_key").agg(F.sort_array(F.collect_list(key))["gram"].alias("ordered"))
+    return one.join(ordered, "class_key", "left").select("id", "n", F.slice(F.coalesce("ordered", "grams"), F.lit(1), first).alias("grams"))
 
 
 def can_reach(a: str, b: str, percent: int) -> Column:
@@ -307,9 +381,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     often = materialise(frequent(docs, width), "frequent")
-    few = often.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    common = np.sort(np.array([r["gram"] for r in often.collect()] if few else [], np.int64).view(np.uint64))
-    sets = materialise(prefixes(docs, common, width, percent, whole=not few), "prefixes")
+    few = (often.agg(F.sum(F.size("keys"))).first()[0] or 0) <= BROADCAST_GRAMS
+    sets = materialise(prefixes(docs, late_by(often, few), width, percent, whole=not few), "prefixes")
     classes = sets.filter("n > 0 and id is not null").groupBy("class_key").agg(F.min("id").alias("class_id"))
     of_class = materialise(sets.select("id", "n", "class_key").join(classes, "class_key", "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "classes")
     heads = classes.select("class_key", F.col("class_id").alias("id"))

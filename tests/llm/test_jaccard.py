@@ -172,6 +172,81 @@ def test_repeated_rows_stay(spark, most, monkeypatch):
     assert found(spark.createDataFrame(many, "doc_id long, text string")) == brute(many)
 
 
+def test_many_frequent_ngrams_take_little_room(spark, monkeypatch):
+    """Where frequent n-grams are too many to be sent, hardly any set is written whole, and the result is that of all pairs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    phrase, base = " ".join(word() for _ in range(20)), [word() for _ in range(150)]
+    rows = [(i, " ".join([word() for _ in range(150)] + ([phrase] if i % 3 == 0 else []))) for i in range(400)]
+    for i in range(40):
+        copy = list(base)
+        copy[r.randrange(150)] = word()
+        rows.append((400 + i, " ".join(copy)))
+    monkeypatch.setattr(J, "BROADCAST_GRAMS", -1)
+    held, materialise = {}, J.materialise
+
+    def watched(df, what):
+        out = materialise(df, what)
+        if what.endswith("prefixes"):
+            held[what] = out.selectExpr("sum(size(grams))").first()[0]
+        return out
+
+    monkeypatch.setattr(J, "materialise", watched)
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want
+    assert sum(held.values()) < 0.5 * sum(n for _, n, _ in want)
+
+
+def test_frequent_keys(spark, monkeypatch):
+    """Counted exactly over many parts of many scans; the bit map holds all of them, and few more."""
+    import numpy as np
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randint(0, 60))) + f" {i}" for i in range(600)]
+    monkeypatch.setattr(J, "COUNTED", 900)
+    often = J.frequent(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(3), 4).cache()
+    held = Counter(g for s in shingle_sets(texts, 4) for g in s.tolist())
+    want = {g >> 64 - J.KEY_BITS for g, n in held.items() if n > J.SMALL}
+    got = [k for x in often.collect() for k in x["keys"]]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    every = np.array(sorted(held), np.uint64)
+    exact, mapped = (J.late_by(often, few)(every) for few in (True, False))
+    assert exact.tolist() == [g >> 64 - J.KEY_BITS in want for g in every.tolist()]
+    assert mapped[exact].all() and mapped.sum() < exact.sum() + 0.01 * len(every)
+    none = J.late_by(often.filter("false"), True), J.late_by(often.filter("false"), False)
+    assert not any(x(every).any() for x in none)
+
+
+@pytest.mark.parametrize("bits", [15, 25])
+def test_a_full_bit_map_changes_no_result(spark, bits, monkeypatch):
+    """Sets that meet the frequent n-grams in a join, few and nearly all of them."""
+    monkeypatch.setattr(J, "BROADCAST_GRAMS", -1)
+    monkeypatch.setattr(J, "FILTER_BITS", bits)
+    monkeypatch.setattr(J, "SMALL", 0 if bits == 15 else 1)
+    rows = corpus(7)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_what_a_table_shuffled_goes_with_it(spark):
+    """Shuffled files don't wait for the driver's garbage to be collected."""
+    import time
+
+    from scoreloom.llm import common
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    rows = common.materialise(spark.range(50_000).groupBy(common.F.sha2(common.F.col("id").cast("string"), 256).alias("x")).count(), "shuffled")
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before and rows.count() == 50_000
+
+
 def test_shingle_sets():
     texts = ["", None, "a", "A b", "a b c d", "  a\tb\x0bc d e é É ", "a b c d a b c d", "x" * 100_000]
     assert [len(s) for s in shingle_sets(texts, 4)] == [0, 0, 1, 1, 1, 4, 4, 1]
