@@ -6,8 +6,9 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
 
 1. Equal sets form a class; from here on only one document of each class counts.
 2. n-grams are ordered: frequent ones (repeated passages, boilerplate) behind all others, the rest by hash.
-   Frequent is what more than SMALL documents of the whole table hold (equal sets of a scan batch count
-   once). The counts are added up by a shuffle; up to BROADCAST_GRAMS frequent ones go to every task, more of them meet the documents'
+   Frequent is what more than SMALL documents of the whole table hold (equal sets of one part of a scan
+   count once). The counts are added up by a shuffle of parts of hashes; up to BROADCAST_GRAMS frequent ones go to every task.
+   Of more of them a bit map does; what is in it goes behind the rest, and where that reaches into a set's prefix, they meet the set's
    n-grams in a join. The order affects the cost, never the result. A set's prefix are its first
    |A| - ceil(s |A|) + 1 n-grams; sets that reach s share one in their prefixes.
 3. Documents are gathered by prefix n-gram. In a small gathering every pair within the size bounds (total
@@ -24,7 +25,7 @@ two sets of sizes a and b reach similarity s only with an overlap of s / (1 + s)
    any difference. The pairs left are counted as in 4, and the links of both rounds give the components.
 
 So no link between different components is lost, and a group of copies or near copies never meets itself
-pair by pair. Nothing of the corpus goes to the driver but counts and at most BROADCAST_GRAMS hashes.
+pair by pair. Nothing of the corpus goes to the driver but counts and at most BROADCAST_GRAMS hashes or that bit map.
 Documents that all hold one passage have it behind their prefixes and aren't gathered by it, unless more than
 the similarity's share of a text is made of frequent n-grams. The pairs of step 5 can still grow with the
 square of a gathering of such texts where many share their differences from its middle too and yet are not alike.
